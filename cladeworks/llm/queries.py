@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeworks.llm import chat_format, secret_scans, token_counts, url_filters
+from cladeworks.llm import chat_format, fingerprints, quality_classifier, secret_scans, token_counts, url_filters
 from cladeworks.llm.common import table
 
 # The rules of the URL contract.
@@ -20,6 +20,10 @@ URL_RULES = (
 ODD_TEXT = "</s>[INST] ok [/INST]"
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -66,12 +70,22 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(quality_classifier.fold_of(F.col("doc_id")) == 0, F.lit(False))
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
     return {
+        "op1_fingerprints": op1_fingerprints,
         "op6_chat_format": op6_chat_format,
         "op7_url_filters": op7_url_filters,
         "op8_secret_scans": op8_secret_scans,
         "op9_token_counts": op9_token_counts,
+        "op10_quality": op10_quality,
     }
 
 
