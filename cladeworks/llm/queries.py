@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeworks.llm import chat_format, fingerprints, quality_classifier, secret_scans, token_counts, url_filters
+from cladeworks.llm import chat_format, decontaminate, fingerprints, quality_classifier, secret_scans, token_counts, url_filters
 from cladeworks.llm.common import table
 
 # The rules of the URL contract.
@@ -24,6 +24,16 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -81,6 +91,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_fingerprints": op1_fingerprints,
+        "op4_decontaminate": op4_decontaminate,
         "op6_chat_format": op6_chat_format,
         "op7_url_filters": op7_url_filters,
         "op8_secret_scans": op8_secret_scans,
