@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeworks.llm import chat_format, decontaminate, fingerprints, mixing, quality_classifier, secret_scans, token_counts, url_filters
+from cladeworks.llm import chat_format, decontaminate, fingerprints, mixing, near_join, quality_classifier, secret_scans, token_counts, url_filters
 from cladeworks.llm.common import table
 
 # The rules of the URL contract.
@@ -24,6 +24,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op2_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs).select("doc_id", "source", "block", "slot", "position")
@@ -96,6 +100,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_fingerprints": op1_fingerprints,
+        "op2_near_join": op2_near_join,
         "op3_mixing": op3_mixing,
         "op4_decontaminate": op4_decontaminate,
         "op6_chat_format": op6_chat_format,
