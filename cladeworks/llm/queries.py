@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeworks.llm import chat_format, decontaminate, fingerprints, mixing, near_join, quality_classifier, secret_scans, token_counts, url_filters
+from cladeworks.llm import chat_format, decontaminate, fingerprints, mixing, near_join, pii, quality_classifier, secret_scans, token_counts, url_filters
 from cladeworks.llm.common import table
 
 # The rules of the URL contract.
@@ -43,6 +43,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.col("base")
+    return found.select(
+        "doc_id",
+        *[pii.count_kind(base, kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.joined(base), 256).alias("base_sha256"),
+        pii.joined(F.col("personal")).alias("spans"),
+    )
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -103,6 +114,7 @@ def queries() -> dict:
         "op2_near_join": op2_near_join,
         "op3_mixing": op3_mixing,
         "op4_decontaminate": op4_decontaminate,
+        "op5_pii": op5_pii,
         "op6_chat_format": op6_chat_format,
         "op7_url_filters": op7_url_filters,
         "op8_secret_scans": op8_secret_scans,
