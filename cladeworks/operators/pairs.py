@@ -71,10 +71,10 @@ def distance_of_steps(a: Column, b: Column) -> Column:
 
 def relation_of_steps(a: Column, b: Column) -> tuple[Column, Column]:
     """Id and name of the relation; 99 and 'unrelated' for unmatched pairs."""
-    number, name = F.when(a.isNull(), UNMATCHED), F.when(a.isNull(), "unrelated")
-    for (x, y), (k, label) in RELATIONS.items():
-        number, name = number.when((a == x) & (b == y), k), name.when((a == x) & (b == y), label)
-    return number, name
+    key = a * 10 + b
+    numbers = F.create_map(*[F.lit(x) for (p, q), (k, _) in RELATIONS.items() for x in (p * 10 + q, k)])
+    names = F.create_map(*[F.lit(x) for (p, q), (_, label) in RELATIONS.items() for x in (p * 10 + q, label)])
+    return F.coalesce(F.element_at(numbers, key), F.lit(UNMATCHED)), F.coalesce(F.element_at(names, key), F.lit("unrelated"))
 
 
 def exclusion_pairs(nodes: DataFrame, excluded: DataFrame) -> DataFrame:
