@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cladeworks.plans import taxonomy_plans, triplet_plans
+from cladeworks.plans import taxonomy_plans, triplet_plans, vector_plans
 
-MODULES = [taxonomy_plans, triplet_plans]
+MODULES = [taxonomy_plans, triplet_plans, vector_plans]
 
 
 def queries() -> dict:
