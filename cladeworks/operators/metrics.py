@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeworks.operators.ranking import numbered
+
 LEAST_TREE = 0.1  # pairs nearer than this in the tree don't count
 
 
@@ -71,31 +73,14 @@ def cophenetic(pairs: DataFrame, d: str = "d", t: str = "t") -> DataFrame:
 
 
 def spearman(pairs: DataFrame) -> DataFrame:
-    """Pearson correlation of ordinal ranks; ties go by (id_i, id_j).
-
-    A rank over all pairs is a count: pairs are counted by value, values summed up, and only pairs of
-    equal value are numbered together.
-    """
-    out = pairs.where(F.col("t") >= LEAST_TREE)
+    """Pearson correlation of ordinal ranks; ties go by (id_i, id_j)."""
+    out = pairs.where(F.col("t") >= LEAST_TREE).select("id_i", "id_j", "d", "t")
     for value in ("d", "t"):
-        out = _with_rank(out, value, ["id_i", "id_j"])
+        out = numbered(out, [value, "id_i", "id_j"], f"rank_{value}")
     n = F.count("*")
     return out.agg(F.when(n < 2, 0.0).otherwise(F.coalesce(F.nanvl(F.corr("rank_d", "rank_t"), F.lit(0.0)), F.lit(0.0))).alias("correlation"), n.alias("n_pairs"))
 
 
-def _with_rank(df: DataFrame, value: str, order: list[str]) -> DataFrame:
-    """Add rank_<value>, 0-based and total, without one task that sorts everything."""
-    ends = 1024
-    bounds = df.agg(F.percentile_approx(value, F.array(*[F.lit(i / ends) for i in range(1, ends)]), F.lit(20000)).alias("_bounds"))
-    place = F.coalesce(F.size(F.filter(F.array_distinct("_bounds"), lambda b: b < F.col(value))), F.lit(0))
-    placed = df.crossJoin(F.broadcast(bounds)).withColumn("_at", place).drop("_bounds")  # one row
-    sizes = placed.groupBy("_at").agg(F.count("*").alias("_n"))
-    before = sizes.select("_at", F.coalesce(F.sum("_n").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("_at").orderBy(value, *order)) - 1
-    ranked_ = placed.withColumn("_nth", nth).join(F.broadcast(before), "_at")  # as many rows as bounds
-    return ranked_.withColumn(f"rank_{value}", (F.col("_before") + F.col("_nth")).cast("double")).drop("_at", "_nth", "_before")
-
-
 def distortion(pairs: DataFrame) -> DataFrame:
     """Ratios of distances: mean, extremes, sample deviation and lower median."""
     ratio = F.col("d") / F.greatest("t", F.lit(1e-10))
@@ -132,7 +117,7 @@ def radius_structure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     b = nodes.select(F.col("id").alias("child"), F.col("radius").alias("rc"))
     steps = edges.join(a, "parent").join(b, "child")
     return gaps.agg(F.avg("gap").alias("separation")).crossJoin(
-        steps.agg((1 - F.avg((F.col("rc") <= F.col("rp")).cast("double"))).alias("monotonicity"), F.count("*").alias("n_edges"))
+        steps.agg(F.avg((F.col("rc") > F.col("rp")).cast("double")).alias("monotonicity"), F.count("*").alias("n_edges"))
     )
 
 

@@ -13,6 +13,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeworks.operators.ranking import numbered
+
 MISSING_DISTANCE = 12.0  # of the sampler
 SCHEDULER_MISSING = 10.0  # of the scheduler's helper
 EXCLUSION_WEIGHT = 100.0
@@ -180,19 +182,10 @@ def curriculum_filter(negatives: Column, max_relation: float, max_distance: floa
 
 
 def ordered_split(df: DataFrame, order: list[str], train: float = 0.95) -> DataFrame:
-    """Add split: the first share of rows is 'train', the rest 'validation', one row each at least.
-
-    Rows get their place from per-partition counts of a range-sorted table, not from one sorted task.
-    """
-    spark = df.sparkSession
+    """Add split: the first share of rows is 'train', the rest 'validation', one row each at least."""
     n = df.count()
     cut = min(max(int(n * train), 1), max(n - 1, 1))
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id()).persist()
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    placed = ranged.withColumn("_nth", nth).join(F.broadcast(before), "_part")  # a row per partition
-    return placed.withColumn("split", F.when(F.col("_offset") + F.col("_nth") <= cut, "train").otherwise("validation")).drop("_part", "_nth", "_offset")
+    return numbered(df, order, "_nth").withColumn("split", F.when(F.col("_nth") < cut, "train").otherwise("validation")).drop("_nth")
 
 
 def shard(row_number: Column, workers: int) -> Column:

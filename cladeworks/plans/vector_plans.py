@@ -430,9 +430,9 @@ SQL = {
       n AS (SELECT label, greatest(sqrt(sum(m * m)), 1e-8) AS n, max(m) FILTER (i = 5) AS fifth FROM m GROUP BY 1)
       SELECT label AS cluster, round(cosh(least(n, 40)), 6) AS time, round(sinh(least(n, 40)) / n * fifth, 6) AS fifth FROM n""",
     "cluster_agreement": f"""WITH {VECTORS}, c AS (SELECT label AS a, id % 7 AS b, CAST(count(*) AS DOUBLE) AS n FROM vec GROUP BY 1, 2), a AS (SELECT a, sum(n) AS na FROM c GROUP BY 1), b AS (SELECT b, sum(n) AS nb FROM c GROUP BY 1),
-      t AS (SELECT sum(n) AS t FROM c), j AS (SELECT sum(n * (n - 1) / 2) AS both, sum(n / t * ln(n * t / (na * nb))) AS mi FROM c JOIN a USING (a) JOIN b USING (b), t),
+      t AS (SELECT sum(n) AS t FROM c), j AS (SELECT sum(n * (n - 1) / 2) AS bo, sum(n / t * ln(n * t / (na * nb))) AS mi FROM c JOIN a USING (a) JOIN b USING (b), t),
       x AS (SELECT sum(na * (na - 1) / 2) AS pa, sum(-na / t * ln(na / t)) AS ha FROM a, t), y AS (SELECT sum(nb * (nb - 1) / 2) AS pb, sum(-nb / t * ln(nb / t)) AS hb FROM b, t)
-      SELECT round((both - pa * pb / (t * (t - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2)), 6) AS ari, round(2 * mi / (ha + hb), 6) AS nmi FROM j, x, y, t""",
+      SELECT round((bo - pa * pb / (t * (t - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2)), 6) AS ari, round(2 * mi / (ha + hb), 6) AS nmi FROM j, x, y, t""",
     "dcl_loss": f"""WITH {_ROWS}, s AS (SELECT anchor, dp, [CASE WHEN (i - 1 + anchor) % 6 = 0 THEN -3.4028234663852886e38 ELSE -greatest(dn[i] - 0.1, 0) / 0.5 END FOR i IN range(1, 20)] AS s FROM r)
       SELECT round(avg(dp / 0.5 + list_max(s) + ln(list_sum([exp(e - list_max(s)) FOR e IN s]))), 6) AS loss, count(*) AS n FROM s""",
     "triplet_loss": f"""WITH {_ROWS}, e AS (SELECT dp, unnest(dn) AS dn, unnest(range(0, 19)) AS i FROM r), l AS (SELECT greatest((dp - dn + 0.5) / 0.8, 0) AS l, CAST(i % 3 + 1 AS DOUBLE) AS w FROM e)
@@ -461,8 +461,8 @@ SQL = {
       SELECT round(nm, 6) AS norm_mean, round(ns, 6) AS norm_std, round(dm, 6) AS distance_mean, round(ds, 6) AS distance_std, round(vm, 6) AS variance_mean, round(ns / nm, 6) AS norm_cv, round(ds / dm, 6) AS distance_cv,
       vm < 0.001 AS variance_collapse, ns / nm < 0.05 AS norm_collapse, ds / dm < 0.05 AS distance_collapse FROM n, d, w""",
     "radius_structure": f"""WITH {VECTORS}, {_HEAP}, l AS (SELECT level, avg(radius) AS m, quantile_cont(radius, 0.75) AS hi, quantile_cont(radius, 0.25) AS lo FROM heap GROUP BY 1),
-      g AS (SELECT lead(m) OVER w - m - greatest(hi - lead(lo) OVER w, 0) AS g FROM l WINDOW w AS (ORDER BY level)), s AS (SELECT 1 - avg(CAST(c.radius <= p.radius AS DOUBLE)) AS mono, count(*) AS n FROM edges JOIN heap p ON parent = p.id JOIN heap c ON child = c.id)
-      SELECT round((SELECT avg(g) FROM g), 6) AS separation, round(mono, 6) AS monotonicity, n AS n_edges FROM s""",
+      g AS (SELECT lead(m) OVER w - m - greatest(hi - lead(lo) OVER w, 0) AS g FROM l WINDOW w AS (ORDER BY level)), s AS (SELECT avg(CAST(c.radius > p.radius AS DOUBLE)) AS mono, count(*) AS n FROM edges JOIN heap p ON parent = p.id JOIN heap c ON child = c.id)
+      SELECT round((SELECT avg(g) FROM g), 6) + 0.0 AS separation, round(mono, 6) AS monotonicity, n AS n_edges FROM s""",
     "retrieval_parent_child_sibling": f"""WITH {_RANKS}, {_HEAP}, {_SIBS},
       c AS (SELECT parent, avg(CAST(nth <= 20 AS DOUBLE)) AS s FROM edges JOIN ranks ON id_i = parent AND id_j = child GROUP BY 1), b AS (SELECT id_i, max(CAST(nth = 1 AS DOUBLE)) AS c FROM sibs JOIN ranks USING (id_i, id_j) GROUP BY 1)
       SELECT round(avg(CAST(nth <= 5 AS DOUBLE)), 6) AS parent_retrieval, round((SELECT avg(s) FROM c), 6) AS child_retrieval, round((SELECT avg(c) FROM b), 6) AS sibling_confusion FROM edges JOIN ranks ON id_i = child AND id_j = parent""",
@@ -470,6 +470,9 @@ SQL = {
       SELECT count(*) AS evaluated, round(avg(CAST(nth <= 1 AS DOUBLE)), 6) AS top_1, round(avg(CAST(nth <= 3 AS DOUBLE)), 6) AS top_3, round(avg(CAST(nth <= 5 AS DOUBLE)), 6) AS top_5 FROM r JOIN edges ON id_i = child AND id_j = parent""",
     "industry_similarity": f"""WITH {_RANKS}, {_HEAP}, {_SIBS}, p AS (SELECT id_i, min(nth) AS first, count(*) FILTER (nth <= 5) AS h5, count(*) FILTER (nth <= 10) AS h10 FROM sibs JOIN ranks USING (id_i, id_j) GROUP BY 1)
       SELECT count(*) AS evaluated, round(avg(h5 / 5.0::DOUBLE), 6) AS precision_5, round(avg(h10 / 10.0::DOUBLE), 6) AS precision_10, round(avg(first), 6) AS mean_first_rank FROM p""",
+    "lambdarank_loss": f"""WITH {_ALL}, e AS (SELECT id_i, id_j, d, 4.5::DOUBLE - t AS rel, row_number() OVER (PARTITION BY id_i ORDER BY d, id_j) AS nth, row_number() OVER (PARTITION BY id_i ORDER BY t) AS best FROM both_ways),
+      f AS (SELECT *, CASE WHEN nth <= 10 THEN 1 / log2(nth + 1) ELSE 0 END AS disc, sum(CASE WHEN best <= 10 THEN rel / log2(best + 1) ELSE 0 END) OVER (PARTITION BY id_i) AS ideal FROM e)
+      SELECT a.id_i AS anchor, round(sum(abs((a.rel - b.rel) * (a.disc - b.disc)) / a.ideal * ln(1 + exp(-(b.d - a.d)))) / count(*), 6) AS loss FROM f a JOIN f b ON a.id_i = b.id_i AND a.rel > b.rel GROUP BY 1""",
     "validation_metrics": f"""WITH {_ROWS}, f AS (SELECT unnest(list_concat([dp], dn)) AS d FROM r), m AS (SELECT stddev_samp(d) / avg(d) AS s FROM f), g AS (SELECT avg(e) AS n FROM (SELECT unnest(dn) AS e FROM r))
       SELECT round(avg(dp), 6) AS avg_positive_dist, round(avg(CAST(dp < list_min(dn) AS DOUBLE)), 6) AS relation_accuracy, round(avg(CAST(dp < list_min(dn) AS DOUBLE)), 6) AS top_k_accuracy,
       round(avg(len([e FOR e IN dn IF e < dp])), 6) AS mean_positive_rank, round(any_value(n), 6) AS avg_negative_dist, round(any_value(s), 6) AS distance_spread FROM r, m, g""",
