@@ -33,9 +33,13 @@ RELATIONS = {
 
 
 def kept_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs in which the first is not the deeper: ordered inside a raw prefix, both ways across prefixes."""
+    """Pairs in which the first is not the deeper: ordered inside a raw prefix, both ways across prefixes.
+
+    A node table is small and its pairs are many, so the first side is spread over all partitions.
+    """
     side = nodes.withColumn("raw", F.substring("code", 1, 2))
-    i = side.select(*[F.col(c).alias(f"{n}_i") for c, n in (("index", "idx"), ("code", "code"), ("level", "level"), ("raw", "raw"))])
+    width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    i = side.repartition(width, "index").select(*[F.col(c).alias(f"{n}_i") for c, n in (("index", "idx"), ("code", "code"), ("level", "level"), ("raw", "raw"))])
     j = side.select(*[F.col(c).alias(f"{n}_j") for c, n in (("index", "idx"), ("code", "code"), ("level", "level"), ("raw", "raw"))])
     inside = i.join(j, (F.col("raw_i") == F.col("raw_j")) & (F.col("level_i") <= F.col("level_j")) & (F.col("code_i") < F.col("code_j")))
     # at most 90 prefixes: a row per node and other prefix keeps this an equi-join

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cladeworks.functions import vectors as V
 from cladeworks.operators import pairs, taxonomy
+from cladeworks.sources.stages import staged
 
 SECTORS = {0: "11", 1: "31", 2: "32", 3: "44", 4: "45"}
 SEGMENTS = {"AUTOMOBILE": "1", "BUILDING": "2", "FURNITURE": "3", "HOUSEHOLD": "4"}
@@ -32,7 +33,7 @@ def customer_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.concat("head", segment, (1 + key % 3).cast("string"), (1 + F.floor(key / 3) % 4).cast("string")).alias("code"))
         .distinct()
     )
-    return taxonomy.nodes_from_leaves(leaves)
+    return staged(taxonomy.nodes_from_leaves(leaves), "nodes")
 
 
 def supplier_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def supplier_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.concat("head", (1 + key % 2).cast("string"), (1 + F.floor(key / 2) % 2).cast("string"), (1 + F.floor(key / 4) % 2).cast("string")).alias("code"))
         .distinct()
     )
-    return taxonomy.nodes_from_leaves(leaves)
+    return staged(taxonomy.nodes_from_leaves(leaves), "nodes")
 
 
 def exclusions(nodes: DataFrame) -> DataFrame:

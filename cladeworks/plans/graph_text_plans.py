@@ -11,6 +11,7 @@ from cladeworks.operators.sampling import hub_candidates as hubs
 from cladeworks.operators.triplets import triplets
 from cladeworks.plans.binding import CUSTOMER_TAX, PAIRS, customer_nodes, exclusions, supplier_nodes, table
 from cladeworks.plans.triplet_plans import _TRIPLETS
+from cladeworks.sources.stages import staged
 
 ALLOWED = ["child", "sibling", "grandchild"]
 ROUNDS = 20
@@ -19,7 +20,7 @@ ROUNDS = 20
 def _child_edges(spark, sf):
     nodes = customer_nodes(spark, sf)
     edges = pair_table(nodes).where("relation = 'child'").select(F.col("idx_i").alias("src"), F.col("idx_j").alias("dst"))
-    return edges, nodes.select(F.col("index").alias("id"), "level")
+    return staged(edges, "edges"), nodes.select(F.col("index").alias("id"), "level")
 
 
 def _rounded(df, digits=6):
@@ -64,12 +65,12 @@ def hub_candidates(spark, sf):
 
 
 def relation_cardinality(spark, sf):
-    return _rounded(G.relation_cardinality(pair_table(customer_nodes(spark, sf))))
+    return _rounded(G.relation_cardinality(staged(pair_table(customer_nodes(spark, sf)), "pairs")))
 
 
 def difficulty_thresholds(spark, sf):
     nodes = supplier_nodes(spark, sf)
-    pairs = pair_table(nodes, exclusions(nodes))
+    pairs = staged(pair_table(nodes, exclusions(nodes)), "pairs")
     return _rounded(G.difficulty_thresholds(pairs, triplets(pairs)))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from cladeworks.operators import taxonomy as T
 from cladeworks.operators import triplets as R
 from cladeworks.operators.pairs import pair_table
 from cladeworks.plans.binding import CUSTOMER_TAX, PAIRS_EXCLUDED, SUPPLIER_TAX, customer_nodes, exclusions, supplier_nodes
+from cladeworks.sources.stages import shared_dir, staged
 
 ALPHA = 1.5
 KEYS = ("anchor_idx", "positive_idx", "negative_idx")
@@ -21,7 +21,7 @@ SCATTERED = "(anchor_idx * 7919 + positive_idx * 104729 + negative_idx * 1299709
 
 def _pairs(spark, sf):
     nodes = supplier_nodes(spark, sf)
-    return pair_table(nodes, exclusions(nodes))
+    return staged(pair_table(nodes, exclusions(nodes)), "pairs")
 
 
 def _triplets(spark, sf):
@@ -63,8 +63,7 @@ def triplets_capped(spark, sf):
 
 def triplets_partition_scan(spark, sf):
     """Written by anchor, read back for anchors of the upper levels only."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{root}/triplets-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/triplets-{uuid.uuid4().hex}"
     R.write_partitioned(_triplets(spark, sf), path)
     return _digest(R.read_partitioned(spark, path, supplier_nodes(spark, sf), [2, 3]))
 
@@ -132,7 +131,7 @@ def nested_negatives(spark, sf):
 
 def multi_level_positives(spark, sf):
     nodes = supplier_nodes(spark, sf)
-    lists = S.nested(R.triplets(pair_table(nodes, exclusions(nodes))))
+    lists = S.nested(R.triplets(staged(pair_table(nodes, exclusions(nodes)), "pairs")))
     return S.multi_level(lists, T.ancestors(nodes)).select("anchor_code", "positive_code", "steps", "n_negatives")
 
 
