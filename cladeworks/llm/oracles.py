@@ -1,5 +1,9 @@
 """DuckDB SQL for the rows of the queries that SQL can express."""
 
+from __future__ import annotations
+
+from cladeworks.llm import secret_scans
+
 URL_SQL = r"""
 WITH parsed AS (
   SELECT page_id,
@@ -70,4 +74,67 @@ SELECT doc_id, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id
 FROM documents
 """
 
-SQL = {"op2_near_join": NEAR_SQL, "op4_decontaminate": DECONTAMINATE_SQL, "op7_url_filters": URL_SQL}
+CHAT_SQL = r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (
+  SELECT *, row_number() OVER w AS i, ceil(strlen(text) / 4.0) + 4 AS n, sum(ceil(strlen(text) / 4.0) + 4) OVER w AS s,
+    length(replace(role, chr(92), chr(92) || chr(92))) + len(regexp_extract_all(role, '</?s>|\[/?INST\]'))
+    + length(replace(text, chr(92), chr(92) || chr(92))) + len(regexp_extract_all(text, '</?s>|\[/?INST\]')) + 20 AS chars
+  FROM raw WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)
+), sys AS (SELECT conv_id, CASE WHEN role = 'system' THEN n ELSE 0 END AS n_system, CASE WHEN role = 'system' THEN chars ELSE 0 END AS chars FROM t WHERE i = 1),
+fold(conv_id, i, base, start) AS (
+  SELECT conv_id, CAST(1 AS BIGINT), CAST(0 AS DOUBLE), CAST(1 AS BIGINT) FROM sys
+  UNION ALL
+  SELECT f.conv_id, t.i, CAST(CASE WHEN t.s - f.base > 512 - n_system THEN b.s - b.n ELSE f.base END AS DOUBLE),
+    CASE WHEN t.s - f.base > 512 - n_system THEN t.i ELSE f.start END
+  FROM fold f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1 JOIN sys ON sys.conv_id = f.conv_id
+    JOIN t b ON b.conv_id = f.conv_id AND b.i = greatest(1, f.i - 1)
+), wins AS (SELECT conv_id, start, max(i) AS last FROM fold GROUP BY 1, 2),
+sizes AS (
+  SELECT w.conv_id, sum(t.chars) + any_value(CASE WHEN start > 3 THEN sys.chars ELSE 0 END) AS chars
+  FROM wins w JOIN t ON t.conv_id = w.conv_id AND t.i BETWEEN greatest(1, start - 2) AND last JOIN sys ON sys.conv_id = w.conv_id
+  GROUP BY w.conv_id, start
+), formatted AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM sizes GROUP BY 1)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256, any_value(formatted_chars) AS formatted_chars
+FROM t JOIN formatted USING (conv_id) GROUP BY conv_id
+"""
+
+def _matches_sql(rank: int, kind: str, pattern: str, group: int = 0, least: int = 0) -> str:
+    """Spans of one pattern: starts follow from the lengths of matches and of what lies between them."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, t, CAST(start AS BIGINT) AS start, {rank} AS rank, '{kind}' AS kind, CAST(start + length(s) AS BIGINT) AS stop, s FROM (
+      SELECT doc_id, t, hit[i] AS s, part[i] AS g, list_sum([length(x) FOR x IN gap[1:i]]) + coalesce(list_sum([length(x) FOR x IN hit[1:i - 1]]), 0) AS start
+      FROM (SELECT doc_id, t, hit, part, gap, unnest(range(1, len(hit) + 1)) AS i FROM (
+        SELECT doc_id, t, regexp_extract_all(t, '{p}') AS hit, regexp_extract_all(t, '{p}', {group}) AS part, string_split_regex(t, '{p}') AS gap FROM d WHERE regexp_matches(t, '{p}'))))
+      WHERE length(g) >= {least}"""
+
+
+def _entropy_sql(rank: int, name: str, pattern: str, window: int, least: float) -> str:
+    allowed = " OR ".join(f"regexp_matches(s, '{a}')" for a in secret_scans.ALLOW)
+    return f"""SELECT doc_id, CAST(start + min(k) AS BIGINT) AS start, {rank} AS rank, 'entropy_{name}' AS kind, CAST(start + max(k) + {window} AS BIGINT) AS stop FROM (
+      SELECT doc_id, start, k, -sum(n / {window}.0 * log2(n / {window}.0)) AS bits FROM (
+        SELECT doc_id, start, k, c, CAST(count(*) AS DOUBLE) AS n FROM (
+          SELECT doc_id, start, k, unnest(string_split(substr(s, k + 1, {window}), '')) AS c FROM (
+            SELECT doc_id, start, s, unnest(range(0, length(s) - {window} + 1)) AS k FROM ({_matches_sql(rank, name, pattern)}) WHERE NOT ({allowed})))
+        GROUP BY ALL) GROUP BY ALL) WHERE bits >= {least} - 1e-12 GROUP BY doc_id, start"""
+
+
+_BASE = " UNION ALL ".join(
+    f"SELECT doc_id, start, rank, kind, stop FROM ({x})"
+    for x in (_matches_sql(0, "assign", secret_scans.ASSIGN, 1, secret_scans.ASSIGN_LEAST), _matches_sql(1, "access", secret_scans.ACCESS), _matches_sql(2, "hex", secret_scans.HEX))
+)
+_SCAN = " UNION ALL ".join(_entropy_sql(3 + i, *c) for i, c in enumerate(secret_scans.CLASSES))
+_LISTED = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop)"
+SECRET_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), base AS ({_BASE}), every AS (SELECT * FROM base UNION ALL {_SCAN}),
+b AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS na, count(*) FILTER (kind = 'access') AS nc, count(*) FILTER (kind = 'hex') AS nh, {_LISTED} AS spans FROM base GROUP BY 1),
+e AS (SELECT doc_id, {_LISTED} AS spans FROM every GROUP BY 1)
+SELECT d.doc_id, coalesce(na, 0) AS n_assign, coalesce(nc, 0) AS n_access, coalesce(nh, 0) AS n_hex, sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(e.spans, '') AS spans
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN e USING (doc_id)
+"""
+
+SQL = {"op8_secret_scans": SECRET_SQL, "op6_chat_format": CHAT_SQL, "op2_near_join": NEAR_SQL, "op4_decontaminate": DECONTAMINATE_SQL, "op7_url_filters": URL_SQL}
