@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cladeworks.llm.common import cut
 
+SALTS = 8  # tasks that share the edges of one node
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Of edges (a, b) of any orderable type: one row (node, root) per node, root its component's least node.
@@ -24,7 +26,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # large star: the upper end of each edge moves to the least neighbour of its lower end; a hub's edges are salted
+        salted = least.select(F.col("a").alias("b"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        ends = now.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+        large = ends.join(salted, ["b", "salt"]).select("a", F.col("m").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(moved.unionByName(lower.withColumnRenamed("m", "b")).distinct(), "edges")
