@@ -298,9 +298,11 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, recall: float =
     counts = verified.groupBy("node").agg(F.sum("links").alias("links"))
     rooted = classes.select("node", "doc", "copies").join(exact, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc").alias("class_id"))
-    found = rooted.join(least, "root").join(counts, "node", "left").select(
+    joined = rooted.join(least, "root").join(counts, "node", "left").select(
         "node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
+    # read from a table, both sides of the last join are plain exchanges, so Spark can split a class of very many copies
+    found = cut(joined, "found")
     return sketches.select("doc_id", "node").join(found, "node", "left").select(
         "doc_id",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
