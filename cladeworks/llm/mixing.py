@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_DOCS = 16  # documents in a block
-BUCKET_DOCS = 4_000  # documents of a source that are numbered together
+BUCKET_DOCS = 1_000  # documents of a source that are numbered together
 PERIOD = 1024  # slots of a period at least; 16 for each source
 
 
