@@ -111,3 +111,23 @@ def radius(x: Column) -> Column:
 def adaptive_margin(x: Column, base: float, c: float = 1.0) -> Column:
     """Base margin times sech of the hyperbolic radius: smaller far from the origin."""
     return base / F.cosh(F.acosh(F.greatest(F.lit(c**0.5) * x[0], F.lit(1 + 1e-6))))
+
+
+def onto_manifold(x: Column, c: float = 1.0, tolerance: float = 1e-4) -> Column:
+    """The point itself if it lies on the hyperboloid, else its space part lifted again."""
+    return F.when(off_manifold(x, c) < tolerance, x).otherwise(lift(space(x), c))
+
+
+def masked_mean(rows: Column, mask: Column) -> Column:
+    """Mean over the vectors of a list whose mask is 1; zeros if there is none."""
+    kept = F.zip_with(rows, mask, lambda v, m: scaled(v, m.cast("double")))
+    zero = F.transform(rows[0], lambda x: F.lit(0.0))
+    total = F.aggregate(kept, zero, lambda s, v: added(s, v))
+    n = F.aggregate(mask, F.lit(0.0), lambda s, m: s + m)
+    return scaled(total, 1 / F.greatest(n, F.lit(1e-9)))
+
+
+def mixed(experts: Column, gates: Column) -> Column:
+    """Weighted sum of expert outputs: experts is a list of vectors, gates (expert, weight) structs."""
+    zero = F.transform(experts[0], lambda x: F.lit(0.0))
+    return F.aggregate(gates, zero, lambda s, g: added(s, scaled(F.element_at(experts, g["expert"] + 1), g["weight"])))

@@ -217,3 +217,39 @@ def mixed_negatives(ranked: DataFrame, pool: DataFrame, n: int, hard_share: floa
     )
     nth = F.row_number().over(Window.partitionBy("anchor").orderBy("tier", "key", "negative"))
     return hard.unionByName(rest).withColumn("nth", nth).where(F.col("nth") <= n).select("anchor", "negative", (F.col("tier") == 0).alias("hard"), "nth")
+
+
+def hard_cache(nearest: DataFrame, positives: DataFrame) -> DataFrame:
+    """Of nearest neighbours (id_i, id_j, value): those that are no positive pair in either order, renumbered."""
+    both = positives.select("a", "b").unionByName(positives.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    kept = nearest.join(both, (F.col("id_i") == F.col("a")) & (F.col("id_j") == F.col("b")), "left_anti")
+    nth = F.row_number().over(Window.partitionBy("id_i").orderBy("value", "id_j"))
+    return kept.select(F.col("id_i").alias("anchor"), F.col("id_j").alias("negative"), "value", nth.alias("nth"))
+
+
+def cache_is_stale(epoch: int, built: int | None, every: int = 3) -> bool:
+    """Whether a hard-negative cache has to be built again."""
+    return built is None or epoch - built >= every
+
+
+# Share of hard negatives by sampler.
+HARD_SHARES = {"hub_uniform": 0.0, "difficulty_weighted": 0.0, "hard_negative": 0.5, "blended": 0.3}
+
+
+def curriculum_negatives(sampler: str, ranked: DataFrame, pool: DataFrame, n: int, seed: int) -> DataFrame:
+    """Negatives by the phase's sampler: hard ones up to its share, uniform ones for the rest."""
+    if sampler not in HARD_SHARES:
+        raise ValueError(f"unknown sampler {sampler!r}")
+    return mixed_negatives(ranked, pool, n, HARD_SHARES[sampler], seed)
+
+
+def consecutive_groups(df: DataFrame, run: str, order: str, key: str) -> DataFrame:
+    """Add group: it grows whenever the key differs from that of the row before, inside each run."""
+    w = Window.partitionBy(run).orderBy(order)
+    changed = (~F.col(key).eqNullSafe(F.lag(key).over(w))).cast("int")
+    return df.withColumn("_new", changed).withColumn("group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def scattered_sample(df: DataFrame, key: str, n: int, step: int = 7919, modulus: int = 1_000_003) -> DataFrame:
+    """n rows in a scattered order of an integer key: a repeatable evaluation sample."""
+    return df.orderBy((F.col(key).cast("long") * step) % modulus, key).limit(n)

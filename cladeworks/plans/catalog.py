@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cladeworks.plans import control_plans, graph_text_plans, taxonomy_plans, triplet_plans, vector_plans
+from cladeworks.plans import control_plans, extra_plans, graph_text_plans, taxonomy_plans, triplet_plans, vector_plans
 
-MODULES = [taxonomy_plans, triplet_plans, vector_plans, graph_text_plans, control_plans]
+MODULES = [taxonomy_plans, triplet_plans, vector_plans, graph_text_plans, control_plans, extra_plans]
 
 
 def queries() -> dict:
