@@ -21,12 +21,8 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; set here only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """The folder that all executors see, as the session names it; a folder under /tmp where it names none, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
