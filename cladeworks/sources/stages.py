@@ -8,12 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder under /tmp is set where it has none, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """The session's spark.checkpoint.dir; a folder under /tmp where it has none, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
