@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from cladeworks.operators import pairs as P
 from cladeworks.operators import taxonomy as T
-from cladeworks.plans.binding import CUSTOMER_TAX, PAIRS, PAIRS_EXCLUDED, EXCLUDED, customer_nodes, exclusions, parent_sql, sector_sql
+from cladeworks.plans.binding import CUSTOMER_TAX, EXCLUDED, PAIRS, PAIRS_EXCLUDED, SUPPLIER_TAX, customer_nodes, exclusions, parent_sql, sector_sql, supplier_nodes
+from cladeworks.sources import matrices
 
 
 def _level_anchors(nodes):
@@ -106,10 +107,8 @@ def distance_submatrix(spark, sf):
 
 
 def matrix_unpivot(spark, sf):
-    """Wide export of the upper levels, read back to long form by its headers."""
-    from cladeworks.sources import matrices
-
-    nodes = customer_nodes(spark, sf).where("level <= 3")
+    """Wide export of the small taxonomy's matrix, read back to long form by its headers."""
+    nodes = supplier_nodes(spark, sf)
     wide = matrices.to_wide(P.matrix(P.pair_table(nodes), "distance"), nodes)
     return matrices.to_long(wide).select("anchor_code", "negative_code", "value")
 
@@ -179,8 +178,8 @@ SQL = {
     "relation_matrix_long": f"WITH {CUSTOMER_TAX}, {PAIRS}, {_MATRIX.format('CAST(relation_id AS DOUBLE)', _LAST)} {_DIGEST}",
     "distance_submatrix": f"""WITH {CUSTOMER_TAX}, {PAIRS}, {_MATRIX.format('distance', _LAST)}, w AS (SELECT "index", 1000 - "index" AS pos FROM nodes WHERE level <= 3)
       SELECT a.pos AS i, b.pos AS j, value FROM mat JOIN w a ON "row" = a."index" JOIN w b ON col = b."index" """,
-    "matrix_unpivot": f"""WITH {CUSTOMER_TAX}, {PAIRS}, {_MATRIX.format('distance', _LAST)}, w AS (SELECT * FROM nodes WHERE level <= 3)
-      SELECT a.code AS anchor_code, b.code AS negative_code, coalesce(value, 0.0) AS value FROM w a CROSS JOIN w b LEFT JOIN mat ON "row" = a."index" AND col = b."index" """,
+    "matrix_unpivot": f"""WITH {SUPPLIER_TAX}, {PAIRS}, {_MATRIX.format('distance', _LAST)}
+      SELECT a.code AS anchor_code, b.code AS negative_code, coalesce(value, 0.0) AS value FROM nodes a CROSS JOIN nodes b LEFT JOIN mat ON "row" = a."index" AND col = b."index" """,
     "lookup_distance": f"WITH {CUSTOMER_TAX}, {PAIRS}, {_LOOKUP} SELECT code_a, code_b, min(distance) AS distance, count(distance) AS n_rows FROM s LEFT JOIN pairs USING (code_i, code_j) GROUP BY 1, 2",
     "lookup_relation": f"WITH {CUSTOMER_TAX}, {PAIRS}, {_LOOKUP} SELECT code_a, code_b, min(relation) AS relation, count(relation) AS n_rows FROM s LEFT JOIN pairs USING (code_i, code_j) GROUP BY 1, 2",
 }
