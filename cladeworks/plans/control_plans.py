@@ -114,7 +114,7 @@ def ridge_fit(spark, sf):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    data = VectorAssembler(inputCols=["avg_estabs", "avg_wages"], outputCol="features").transform(employment_slice(spark, sf))
+    data = VectorAssembler(inputCols=["avg_estabs", "avg_wages"], outputCol="features").transform(employment_slice(spark, sf).na.drop())
     model = LinearRegression(labelCol="log_avg_emp", regParam=1.0, elasticNetParam=0.0, standardization=True).fit(data)
     out = model.transform(data).withColumn("e", F.col("prediction") - F.col("log_avg_emp"))
     return out.agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), (1 - F.sum(F.col("e") * F.col("e")) / (F.var_pop("log_avg_emp") * F.count("*"))).alias("r2"), F.count("*").alias("n"))
