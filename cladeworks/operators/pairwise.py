@@ -36,8 +36,9 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str, least: float = 1 + 1e-5
     raise ValueError(f"unknown metric {metric!r}, not one of {METRICS}")
 
 
-def _blocks(df: DataFrame, vector: str, n_blocks: int) -> DataFrame:
-    row = F.struct("id", F.col(vector).alias("v"))
+def _blocks(df: DataFrame, vector: str, n_blocks: int, apart: str | None = None) -> DataFrame:
+    group = F.lit(None) if apart is None else F.col(apart)
+    row = F.struct("id", F.col(vector).alias("v"), group.cast("bigint").alias("apart"))
     return df.groupBy(F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
@@ -48,12 +49,18 @@ def _unpacked(column: pa.Array, at: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, flat.reshape(len(ids), -1)
 
 
-def _paired(df: DataFrame, others: DataFrame | None, vector: str, both_ways: bool) -> DataFrame:
+def _together(a: pa.Array, b: pa.Array, at: int) -> np.ndarray:
+    """Which pairs of two blocks are in one group; a null group holds nothing."""
+    (ga, ha), (gb, hb) = [(g.fill_null(0).to_numpy(), g.is_valid().to_numpy(zero_copy_only=False)) for g in (c[at].values.field("apart") for c in (a, b))]
+    return (ga[:, None] == gb[None, :]) & ha[:, None] & hb[None, :]
+
+
+def _paired(df: DataFrame, others: DataFrame | None, vector: str, both_ways: bool, apart: str | None = None) -> DataFrame:
     """A row for each pair of blocks: a and b, of one table (once, unless both ways) or of two."""
     n_a = max(1, math.ceil(df.count() / BLOCK))
-    a = _blocks(df, vector, n_a)
+    a = _blocks(df, vector, n_a, apart)
     n_b = n_a if others is None else max(1, math.ceil(others.count() / BLOCK))
-    b = a if others is None else _blocks(others, vector, n_b)
+    b = a if others is None else _blocks(others, vector, n_b, apart)
     first = F.lit(0) if others is not None or both_ways else F.col("block")
     left = a.select("block", F.col("rows").alias("a"), F.explode(F.sequence(first, F.lit(n_b - 1))).alias("other"))
     right = b.select(F.col("block").alias("other"), F.col("rows").alias("b"))
@@ -78,22 +85,28 @@ def all_pairs(df: DataFrame, metric: str, vector: str = "v", both_ways: bool = F
     return _paired(df, None, vector, both_ways).mapInArrow(compute, "id_i bigint, id_j bigint, value double")
 
 
-def nearest(df: DataFrame, k: int, metric: str, others: DataFrame | None = None, vector: str = "v", largest: bool = False, least: float = 1 + 1e-5) -> DataFrame:
-    """(id_i, id_j, value, nth) of the k nearest other ids of each id, ties by id; largest for similarities."""
+def nearest(df: DataFrame, k: int, metric: str, others: DataFrame | None = None, vector: str = "v", largest: bool = False, least: float = 1 + 1e-5, apart: str | None = None) -> DataFrame:
+    """(id_i, id_j, value, nth) of the k nearest other ids of each id, ties by id; largest for similarities.
+
+    With apart, an integer column, only ids of another group count: those of the same one are left out before the k are taken.
+    """
 
     def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 (ia, va), (ib, vb) = _unpacked(batch.column("a"), at), _unpacked(batch.column("b"), at)
                 value = distances(va, vb, metric, least)
-                key = np.where(ia[:, None] == ib[None, :], np.inf, -value if largest else value)
+                out = ia[:, None] == ib[None, :]
+                if apart is not None:
+                    out |= _together(batch.column("a"), batch.column("b"), at)
+                key = np.where(out, np.inf, -value if largest else value)
                 top = np.argsort(key, axis=1, kind="stable")[:, :k]  # ids are sorted in a block, so ties go by id
                 rows = np.repeat(np.arange(len(ia)), top.shape[1])
                 kept = np.isfinite(key[rows, top.ravel()])
                 rows, top = rows[kept], top.ravel()[kept]
                 yield pa.RecordBatch.from_arrays([pa.array(ia[rows]), pa.array(ib[top]), pa.array(value[rows, top])], ["id_i", "id_j", "value"])
 
-    found = _paired(df, others, vector, True).mapInArrow(best, "id_i bigint, id_j bigint, value double")
+    found = _paired(df, others, vector, True, apart).mapInArrow(best, "id_i bigint, id_j bigint, value double")
     order = F.desc("value") if largest else F.asc("value")
     nth = F.row_number().over(Window.partitionBy("id_i").orderBy(order, "id_j"))
     return found.withColumn("nth", nth).where(F.col("nth") <= k)

@@ -13,6 +13,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeworks.operators.pairwise import nearest
 from cladeworks.operators.ranking import numbered
 
 MISSING_DISTANCE = 12.0  # of the sampler
@@ -219,12 +220,10 @@ def mixed_negatives(ranked: DataFrame, pool: DataFrame, n: int, hard_share: floa
     return hard.unionByName(rest).withColumn("nth", nth).where(F.col("nth") <= n).select("anchor", "negative", (F.col("tier") == 0).alias("hard"), "nth")
 
 
-def hard_cache(nearest: DataFrame, positives: DataFrame) -> DataFrame:
-    """Of nearest neighbours (id_i, id_j, value): those that are no positive pair in either order, renumbered."""
-    both = positives.select("a", "b").unionByName(positives.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    kept = nearest.join(both, (F.col("id_i") == F.col("a")) & (F.col("id_j") == F.col("b")), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("id_i").orderBy("value", "id_j"))
-    return kept.select(F.col("id_i").alias("anchor"), F.col("id_j").alias("negative"), "value", nth.alias("nth"))
+def hard_cache(vectors: DataFrame, k: int = 50, positives: str = "label") -> DataFrame:
+    """The k nearest negatives of each vector (id, v); vectors with the same value of the column positives are none."""
+    found = nearest(vectors, k, "euclidean", apart=positives)
+    return found.select(F.col("id_i").alias("anchor"), F.col("id_j").alias("negative"), "value", "nth")
 
 
 def cache_is_stale(epoch: int, built: int | None, every: int = 3) -> bool:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from cladeworks.functions import vectors as V
 from cladeworks.operators import control as C
 from cladeworks.operators import mining as M
-from cladeworks.operators import pairwise as P
 from cladeworks.operators import sampling as S
 from cladeworks.operators.pairs import pair_table
 from cladeworks.plans.binding import CUSTOMER_TAX, PAIRS, VECTORS, customer_nodes, table, vectors
@@ -26,10 +25,7 @@ def _rounded(df, digits=6):
 def _cache(spark, sf):
     """The 50 nearest by Euclidean distance that have another label: equal labels are the positives."""
     v = vectors(spark, sf)
-    near = P.nearest(v, 50, "euclidean")
-    labels = v.select("id", "label")
-    same = near.join(labels.select(F.col("id").alias("id_i"), F.col("label").alias("x")), "id_i").join(labels.select(F.col("id").alias("id_j"), F.col("label").alias("y")), "id_j").where("x = y")
-    return S.hard_cache(near, same.select(F.col("id_i").alias("a"), F.col("id_j").alias("b"))), v
+    return S.hard_cache(v), v
 
 
 def hard_negative_cache(spark, sf):

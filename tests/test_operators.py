@@ -108,6 +108,23 @@ def test_pairs_and_neighbours_against_numpy(spark, monkeypatch):
     assert near == {(i, k + 1): int(np.argsort(want[i], kind="stable")[k]) for i in range(30) for k in range(3)}
 
 
+def test_hard_cache_walks_past_positives(spark, monkeypatch):
+    from cladeworks.operators import sampling
+
+    monkeypatch.setattr(pairwise, "BLOCK", 9)
+    rng = np.random.default_rng(4)
+    labels = [0 if i % 3 == 0 else i % 4 + 1 for i in range(45)]  # a third in one tight cluster
+    labels[7] = None
+    data = [rng.normal(size=4) * (0.01 if x == 0 else 1) for x in labels]
+    df = spark.createDataFrame([(i, x, v.tolist()) for i, (x, v) in enumerate(zip(labels, data))], "id bigint, label int, v array<double>")
+    got = {(r.anchor, r.nth): r.negative for r in sampling.hard_cache(df, 5).collect()}
+    want = {}
+    for i, x in enumerate(labels):
+        others = [j for j, y in enumerate(labels) if j != i and (x is None or x != y)]
+        want |= {(i, n + 1): j for n, j in enumerate(sorted(others, key=lambda j: np.linalg.norm(data[i] - data[j]))[:5])}
+    assert got == want and len(got) == 45 * 5
+
+
 def test_kmeans_separates_clear_clusters(spark):
     rng = np.random.default_rng(1)
     data = [(i, (rng.normal(size=2) * 0.05 + [3 * (i % 3 - 1), 0]).tolist()) for i in range(45)]
