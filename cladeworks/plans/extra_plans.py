@@ -105,12 +105,12 @@ def _streamed(frame, spark, mode):
 
 
 def stream_sessions(spark, sf):
-    """Hourly counts of a stream of events with a watermark: windows that it closed."""
-    source = table(spark, sf, "events").select("ts", "event_type", "value")
+    """Sessions of each user, parted by three hours without events, from a replay of all events as a stream with a watermark."""
+    source = table(spark, sf, "events").select("ts", "user_id", "value")
     path = f"{shared_dir(spark)}/streams/in-{uuid.uuid4().hex}"
-    source.write.parquet(path)
-    stream = W.read_stream(spark, path, "ts timestamp_ntz, event_type string, value double")
-    return _rounded(_streamed(W.tumbling(stream, "1 day", "event_type"), spark, "append"), 4)
+    W.ended(source, "3 hours").write.parquet(path)
+    stream = W.read_stream(spark, path, source.schema, files_per_batch=None)
+    return _rounded(_streamed(W.sessions(stream, "3 hours", "user_id"), spark, "append"), 4)
 
 
 def stream_controller(spark, sf):

@@ -204,6 +204,18 @@ def test_stream_controller_equals_replay(spark, tmp_path):
     assert pick(spark.table("ctl")) == pick(control.controller_replay(history))
 
 
+def test_stream_sessions_equal_sessions_whatever_the_files(spark, tmp_path):
+    from cladeworks.plans import control_plans, extra_plans
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for n in range(20):  # the latest days first, in more files than a batch of the stream takes
+        events.where(F.dayofmonth("ts") % 20 == 19 - n).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    pick = lambda df: sorted((r.start, r.user_id, r.n, r.total) for r in df.collect())
+    got = pick(extra_plans.stream_sessions(spark, str(tmp_path)))
+    assert got == pick(control_plans.events_session(spark, str(tmp_path)))
+    assert sum(r[2] for r in got) == events.count()
+
+
 def test_event_handlers_that_fail_do_not_stop_others(spark, tmp_path):
     from cladeworks.streaming.controller_stream import publish
 
