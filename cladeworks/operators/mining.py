@@ -52,6 +52,17 @@ def router_negatives(candidates: DataFrame, k: int, metric: str = "kl") -> DataF
     return scored.withColumn("nth", nth).where(F.col("nth") <= k).select("anchor", "negative", "score", "nth")
 
 
+def router_nearest(gated: DataFrame, k: int, metric: str = "kl") -> DataFrame:
+    """Of vectors (id, g: gate): the k others per anchor whose gates are most alike, out of all of them."""
+    if metric not in ("kl", "cosine"):
+        raise ValueError(f"unknown metric {metric!r}")
+    if metric == "kl":
+        found, score = nearest(gated, k, "divergence", vector="g"), -F.col("value")
+    else:
+        found, score = nearest(gated, k, "cosine_similarity", vector="g", largest=True), F.col("value")
+    return found.select(F.col("id_i").alias("anchor"), F.col("id_j").alias("negative"), score.alias("score"), "nth")
+
+
 def router_mix(router: DataFrame, hard: DataFrame, k: int, share: float = 0.5) -> DataFrame:
     """The first router negatives up to their share of k, then hard ones; both (anchor, negative, nth)."""
     n = int(k * share)

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 512
-METRICS = ("euclidean", "cosine", "lorentz", "dot", "cosine_similarity")
+METRICS = ("euclidean", "cosine", "lorentz", "dot", "cosine_similarity", "divergence")
+FLOOR = 1e-8  # added to every probability before a divergence
 
 
 def distances(a: np.ndarray, b: np.ndarray, metric: str, least: float = 1 + 1e-5) -> np.ndarray:
@@ -28,6 +29,9 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str, least: float = 1 + 1e-5
     if metric == "euclidean":
         square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
         return np.sqrt(np.maximum(square, 0))
+    if metric == "divergence":
+        p, q = [(x + FLOOR) / (x + FLOOR).sum(1, keepdims=True) for x in (a, b)]
+        return (p * np.log(p)).sum(1)[:, None] - p @ np.log(q).T
     similar = (a / np.maximum(np.linalg.norm(a, axis=1), 1e-12)[:, None]) @ (b / np.maximum(np.linalg.norm(b, axis=1), 1e-12)[:, None]).T
     if metric == "cosine":
         return 1 - similar

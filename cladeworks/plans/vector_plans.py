@@ -119,17 +119,19 @@ def _candidates(v):
     return a.join(gated.select(F.col("id").alias("negative"), F.col("g").alias("gate_n"), F.col("x").alias("xn")), "negative")
 
 
+def _gated(v):
+    return v.select("id", _gates("v").alias("g"))
+
+
 def router_confusion_topk(spark, sf):
-    return _rounded(M.router_negatives(_candidates(vectors(spark, sf)), K_NEGATIVES).select("anchor", "negative", F.col("nth").cast("long").alias("nth"), "score"), 5)
+    found = M.router_nearest(_gated(vectors(spark, sf)), K_NEGATIVES)
+    return _rounded(found.select("anchor", "negative", F.col("nth").cast("long").alias("nth"), "score"), 5)
 
 
 def router_mix(spark, sf):
-    from pyspark.sql import Window
-
-    c = _candidates(vectors(spark, sf))
-    d = c.withColumn("d", V.lorentz_distance(F.col("xa"), F.col("xn")))
-    hard = d.withColumn("nth", F.row_number().over(Window.partitionBy("anchor").orderBy(F.round("d", 9), "negative"))).select("anchor", "negative", "nth")
-    return M.router_mix(M.router_negatives(c, 6, "cosine"), hard, 6)
+    v = vectors(spark, sf)
+    hard = M.hard_negatives(v, v, 6).select(F.col("id_i").alias("anchor"), F.col("id_j").alias("negative"), "nth")
+    return M.router_mix(M.router_nearest(_gated(v), 6, "cosine"), hard, 6)
 
 
 def norm_adaptive_margin(spark, sf):

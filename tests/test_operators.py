@@ -125,6 +125,25 @@ def test_hard_cache_walks_past_positives(spark, monkeypatch):
     assert got == want and len(got) == 45 * 5
 
 
+def test_router_negatives_come_from_all_vectors(spark, tmp_path, monkeypatch):
+    from cladeworks.plans import vector_plans
+
+    monkeypatch.setattr(pairwise, "BLOCK", 9)
+    data = np.random.default_rng(5).normal(size=(40, 64))
+    ids = [i * 100 for i in range(40)]  # no id lies close behind another
+    spark.createDataFrame([(i, 0, v.tolist()) for i, v in zip(ids, data)], "vec_id bigint, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    g = np.exp(data[:, :8]) / np.exp(data[:, :8]).sum(1, keepdims=True)
+    kl = (g[:, None] * np.log(g[:, None] / g[None])).sum(2)
+    unlike = 1 - (g @ g.T) / np.outer(np.linalg.norm(g, axis=1), np.linalg.norm(g, axis=1))
+    x = np.hstack([np.sqrt(1 + (data**2).sum(1))[:, None], data])
+    d = np.arccosh(np.maximum(2 * np.outer(x[:, 0], x[:, 0]) - x @ x.T, 1))
+    best = lambda m, i, k: [ids[j] for j in np.argsort(m[i], kind="stable") if j != i][:k]
+    got = {(r.anchor, r.nth): r.negative for r in vector_plans.router_confusion_topk(spark, str(tmp_path)).collect()}
+    assert got == {(ids[i], n + 1): j for i in range(40) for n, j in enumerate(best(kl, i, 5))}
+    mixed = sorted((r.origin, r.anchor, r.negative) for r in vector_plans.router_mix(spark, str(tmp_path)).collect())
+    assert mixed == sorted((o, ids[i], j) for o, m in (("router", unlike), ("hard", d)) for i in range(40) for j in best(m, i, 3))
+
+
 def test_kmeans_separates_clear_clusters(spark):
     rng = np.random.default_rng(1)
     data = [(i, (rng.normal(size=2) * 0.05 + [3 * (i % 3 - 1), 0]).tolist()) for i in range(45)]
