@@ -6,6 +6,8 @@ count the non-empty blocks of a code from 1 before headers are left out, so ids
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,16 +164,30 @@ def description_table(title_rows: DataFrame, descriptions: DataFrame, cross: Dat
     ).orderBy("index")
 
 
+def _windows_of(length: int) -> Callable[[Column], Column]:
+    """Of an array that is not empty: its parts of that length, the last one shorter."""
+    return lambda t: F.transform(F.sequence(F.lit(0), F.floor((F.size(t) - 1) / F.lit(length)).cast("int")), lambda w: F.slice(t, w * length + 1, length))
+
+
 def channel_tokens(df: DataFrame, channels: dict[str, int]) -> DataFrame:
-    """Per channel: the first tokens of each text, padded with '', and a mask; empty texts become EMPTY_TOKEN."""
-    out = {}
+    """A row per window of a row's texts, from 0: each channel's tokens of that window, padded with '', and a mask.
+
+    A channel's windows have its length and follow each other to the end of the text, so no token is lost; a channel
+    that ends before the others is all padding. Empty texts become EMPTY_TOKEN.
+    """
+    split = {}
     for name, length in channels.items():
         text = F.when(F.coalesce(F.length(name), F.lit(0)) == 0, EMPTY_TOKEN).otherwise(F.col(name))
-        tokens = F.slice(F.split(text, r"\s+"), 1, length)
+        split[name] = F.transform(F.array(F.split(text, r"\s+")), _windows_of(length))[0]  # bound in a lambda, so each text is split once
+    zipped = F.arrays_zip(*[split[name].alias(name) for name in channels])
+    rows = df.select(*[F.col(c) for c in df.columns], F.posexplode(zipped).alias("window", "_w"))
+    out = {}
+    for at, (name, length) in enumerate(channels.items()):
+        tokens = F.coalesce(F.col("_w").getField(rows.schema["_w"].dataType.names[at]), F.array().cast("array<string>"))
         pad = F.lit(length) - F.size(tokens)
         out[f"{name}_tokens"] = F.concat(tokens, F.array_repeat(F.lit(""), pad))
         out[f"{name}_mask"] = F.concat(F.transform(tokens, lambda x: F.lit(1)), F.array_repeat(F.lit(0), pad))
-    return df.withColumns(out)
+    return rows.withColumns(out).drop("_w")
 
 
 def channel_counts(df: DataFrame, channels: list[str]) -> DataFrame:

@@ -137,9 +137,10 @@ def doc_fill_missing(spark, sf):
 
 
 def channel_tokens(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substring("source", 1, 4).alias("title"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")).alias("description"))
-    t = X.channel_tokens(d, {"title": 4, "description": 24})
-    return t.select("doc_id", F.array_join("title_tokens", "|").alias("title"), F.md5(F.array_join("description_tokens", "|")).alias("digest"), F.aggregate("description_mask", F.lit(0), lambda s, x: s + x).alias("n"))
+    """Source and text of every document in windows of 512 tokens."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")).alias("description"))
+    t = X.channel_tokens(d, {"title": 512, "description": 512})
+    return t.select("doc_id", "window", F.array_join("title_tokens", "|").alias("title"), F.md5(F.array_join("description_tokens", "|")).alias("digest"), F.aggregate("description_mask", F.lit(0), lambda s, x: s + x).alias("n"))
 
 
 def html_strip(spark, sf):

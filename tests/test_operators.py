@@ -249,6 +249,22 @@ def test_event_handlers_that_fail_do_not_stop_others(spark, tmp_path):
     assert seen == [2] and spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_channel_tokens_cover_whole_texts(spark):
+    from cladeworks.operators import textetl
+    from cladeworks.plans import graph_text_plans
+
+    words = [f"w{i}" for i in range(11)]
+    df = spark.createDataFrame([(0, "a b c", " ".join(words)), (1, "", None)], "id int, title string, text string")
+    got = sorted(textetl.channel_tokens(df, {"title": 2, "text": 4}).collect(), key=lambda r: (r.id, r.window))
+    assert [(r.id, r.window) for r in got] == [(0, 0), (0, 1), (0, 2), (1, 0)]
+    assert [r.title_tokens for r in got] == [["a", "b"], ["c", ""], ["", ""], [textetl.EMPTY_TOKEN, ""]]
+    assert [x for r in got[:3] for x, m in zip(r.text_tokens, r.text_mask) if m] == words and got[2].text_mask == [1, 1, 1, 0]
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = F.when((F.col("doc_id") % 5 == 0) | (F.coalesce(F.length("text"), F.lit(0)) == 0), 1).otherwise(F.size(F.split("text", r"\s+")))
+    want = documents.agg(F.sum(kept)).first()[0]
+    assert graph_text_plans.channel_tokens(spark, "/root/testdata/sf0.001").agg(F.sum("n")).first()[0] == want
+
+
 # --- sources and settings
 
 def test_employment_slice(spark, tmp_path):
