@@ -20,10 +20,10 @@ METRICS = ("euclidean", "cosine", "lorentz", "dot", "cosine_similarity", "diverg
 FLOOR = 1e-8  # added to every probability before a divergence
 
 
-def distances(a: np.ndarray, b: np.ndarray, metric: str, least: float = 1 + 1e-5) -> np.ndarray:
-    """Matrix of distances or similarities; lorentz holds the negative product at least as large as given."""
+def distances(a: np.ndarray, b: np.ndarray, metric: str, least: float = 1 + 1e-5, c: float = 1.0) -> np.ndarray:
+    """Matrix of distances or similarities; lorentz, at curvature -c, holds c times the negative product at least as large as given."""
     if metric == "lorentz":
-        return np.arccosh(np.maximum(2 * np.outer(a[:, 0], b[:, 0]) - a @ b.T, least))
+        return np.arccosh(np.maximum(c * (2 * np.outer(a[:, 0], b[:, 0]) - a @ b.T), least)) / math.sqrt(c)
     if metric == "dot":
         return a @ b.T
     if metric == "euclidean":
@@ -72,14 +72,14 @@ def _paired(df: DataFrame, others: DataFrame | None, vector: str, both_ways: boo
     return left.join(right, "other").repartition(spread).select("a", "b", (F.col("block") == F.col("other")).alias("same"))
 
 
-def all_pairs(df: DataFrame, metric: str, vector: str = "v", both_ways: bool = False, least: float = 1 + 1e-5) -> DataFrame:
+def all_pairs(df: DataFrame, metric: str, vector: str = "v", both_ways: bool = False, least: float = 1 + 1e-5, c: float = 1.0) -> DataFrame:
     """(id_i, id_j, value) for id_i < id_j, or for all id_i <> id_j."""
 
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 (ia, va), (ib, vb) = _unpacked(batch.column("a"), at), _unpacked(batch.column("b"), at)
-                value = distances(va, vb, metric, least)
+                value = distances(va, vb, metric, least, c)
                 i, j = np.nonzero(ia[:, None] != ib[None, :] if both_ways or not batch.column("same")[at].as_py() else ia[:, None] < ib[None, :])
                 left, right = ia[i], ib[j]
                 if not both_ways:
@@ -89,20 +89,24 @@ def all_pairs(df: DataFrame, metric: str, vector: str = "v", both_ways: bool = F
     return _paired(df, None, vector, both_ways).mapInArrow(compute, "id_i bigint, id_j bigint, value double")
 
 
-def nearest(df: DataFrame, k: int, metric: str, others: DataFrame | None = None, vector: str = "v", largest: bool = False, least: float = 1 + 1e-5, apart: str | None = None) -> DataFrame:
+def nearest(
+    df: DataFrame, k: int, metric: str, others: DataFrame | None = None, vector: str = "v", largest: bool = False, least: float = 1 + 1e-5,
+    apart: str | None = None, inside: bool = False, c: float = 1.0,
+) -> DataFrame:
     """(id_i, id_j, value, nth) of the k nearest other ids of each id, ties by id; largest for similarities.
 
     With apart, an integer column, only ids of another group count: those of the same one are left out before the k are taken.
+    With inside as well, only ids of the same group count; a null group holds nothing.
     """
 
     def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 (ia, va), (ib, vb) = _unpacked(batch.column("a"), at), _unpacked(batch.column("b"), at)
-                value = distances(va, vb, metric, least)
+                value = distances(va, vb, metric, least, c)
                 out = ia[:, None] == ib[None, :]
                 if apart is not None:
-                    out |= _together(batch.column("a"), batch.column("b"), at)
+                    out |= _together(batch.column("a"), batch.column("b"), at) != inside
                 key = np.where(out, np.inf, -value if largest else value)
                 top = np.argsort(key, axis=1, kind="stable")[:, :k]  # ids are sorted in a block, so ties go by id
                 rows = np.repeat(np.arange(len(ia)), top.shape[1])

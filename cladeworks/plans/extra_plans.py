@@ -11,6 +11,7 @@ from cladeworks.operators import control as C
 from cladeworks.operators import mining as M
 from cladeworks.operators import sampling as S
 from cladeworks.operators.pairs import pair_table
+from cladeworks.operators.ranking import numbered
 from cladeworks.plans.binding import CUSTOMER_TAX, PAIRS, VECTORS, customer_nodes, table, vectors
 from cladeworks.plans.control_plans import _history
 from cladeworks.sources.stages import shared_dir
@@ -34,9 +35,12 @@ def hard_negative_cache(spark, sf):
 
 
 def _pool(v):
-    """Uniform candidates of an anchor: the forty ids behind it with another label."""
-    a = v.select(F.col("id").alias("anchor"), "label", F.explode(F.sequence(F.col("id") + 1, F.col("id") + 40)).alias("negative"))
-    return a.join(v.select(F.col("id").alias("negative"), F.col("label").alias("other")), "negative").where("label <> other").select("anchor", "negative")
+    """Uniform candidates of an anchor: forty seeded draws out of all vectors, those of its own label and repeats left out."""
+    drawn = numbered(v.select(F.col("id").alias("negative"), F.col("label").alias("other")), ["negative"], "place")
+    n = v.agg(F.count("*").alias("n"))  # one row
+    places = v.crossJoin(F.broadcast(n)).select(F.col("id").alias("anchor"), "label", "n", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("i"))
+    asked = places.select("anchor", "label", F.pmod(F.xxhash64(F.lit(42), "anchor", "i"), F.col("n")).alias("place")).distinct()
+    return asked.join(drawn, "place").where("label <> other").select("anchor", "negative")
 
 
 def hard_negative_sample(spark, sf):
@@ -130,8 +134,12 @@ QUERIES = {
 }
 
 SQL = {
-    "hard_negative_cache": f"""WITH {VECTORS}, p AS (SELECT a.id AS anchor, b.id AS negative, a.label AS x, b.label AS y, list_distance(a.v, b.v) AS d FROM vec a JOIN vec b ON a.id <> b.id),
-      n AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY d, negative) AS k FROM p) SELECT anchor, negative, row_number() OVER (PARTITION BY anchor ORDER BY d, negative) AS nth, round(d, 6) AS value FROM n WHERE k <= 50 AND x <> y""",
+    "hard_negative_cache": f"""WITH {VECTORS}, p AS (SELECT a.id AS anchor, b.id AS negative, list_distance(a.v, b.v) AS d FROM vec a JOIN vec b ON a.label <> b.label),
+      n AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY d, negative) AS nth FROM p) SELECT anchor, negative, nth, round(d, 6) AS value FROM n WHERE nth <= 50""",
+    "stream_sessions": """WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS new FROM events),
+      s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+      SELECT rtrim(rtrim(strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS start, rtrim(rtrim(strftime(max(ts) + INTERVAL 3 HOUR, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS stop,
+        user_id, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""",
     "evaluation_codes": f'WITH {CUSTOMER_TAX} SELECT "index", code FROM nodes ORDER BY (CAST("index" AS BIGINT) * 7919) % 1000003, "index" LIMIT 500',
     "consecutive_anchors": """WITH c AS (SELECT user_id, event_id, event_type, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 1 ELSE 0 END AS n FROM events),
       g AS (SELECT *, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM c) SELECT user_id, grp AS "group", event_type, count(*) AS n, min(event_id) AS first FROM g GROUP BY 1, 2, 3""",

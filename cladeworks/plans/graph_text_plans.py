@@ -230,8 +230,12 @@ SQL = {
       a AS (SELECT * FROM w UNION ALL SELECT * FROM f),
       o AS (SELECT k.code, arg_min(a.t, s) AS t FROM k, (VALUES (1), (2), (3), (4), (9)) v(s) JOIN a ON a.code = k.code || CAST(s AS VARCHAR) WHERE length(k.code) = 4 AND k.t = '' GROUP BY 1)
       SELECT code, md5(t) AS digest FROM a UNION ALL SELECT code, md5(CASE WHEN starts_with(t, 'This NAICS industry') THEN 'This industry group' || substr(t, 20) ELSE 'This industry group' || substr(t, 14) END) FROM o""",
-    "channel_tokens": r"""WITH d AS (SELECT doc_id, substr(source, 1, 4) AS title, CASE WHEN doc_id % 5 = 0 OR text = '' THEN '[EMPTY]' ELSE text END AS t FROM documents), w AS (SELECT doc_id, title, regexp_split_to_array(t, '\s+')[1:24] AS w FROM d)
-      SELECT doc_id, title || '|||' AS title, md5(array_to_string(w, '|') || repeat('|', 24 - len(w))) AS digest, CAST(len(w) AS INTEGER) AS n FROM w""",
+    "channel_tokens": r"""WITH d AS (SELECT doc_id, coalesce(nullif(source, ''), '[EMPTY]') AS s, CASE WHEN doc_id % 5 = 0 THEN '[EMPTY]' ELSE coalesce(nullif(text, ''), '[EMPTY]') END AS t FROM documents),
+      a AS (SELECT doc_id, regexp_split_to_array(s, '\s+') AS s, regexp_split_to_array(t, '\s+') AS t FROM d),
+      k AS (SELECT doc_id, s, t, unnest(range(0, greatest((len(s) - 1) // 512, (len(t) - 1) // 512) + 1)) AS k FROM a),
+      w AS (SELECT doc_id, k, s[k * 512 + 1:k * 512 + 512] AS s, t[k * 512 + 1:k * 512 + 512] AS t FROM k)
+      SELECT doc_id, CAST(k AS INTEGER) AS "window", array_to_string(s, '|') || repeat('|', 512 - greatest(len(s), 1)) AS title,
+        md5(array_to_string(t, '|') || repeat('|', 512 - greatest(len(t), 1))) AS digest, CAST(len(t) AS INTEGER) AS n FROM w""",
     "html_strip": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g') AS t FROM pages),
       b AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM a) SELECT page_id, CAST(length(t) AS INTEGER) AS n, md5(t) AS digest FROM b""",
 }

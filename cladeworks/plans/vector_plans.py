@@ -18,6 +18,7 @@ from cladeworks.operators import pairwise as P
 from cladeworks.plans.binding import VECTORS, vectors
 
 K_NEGATIVES = 5
+WINDOW = 20
 EXPERTS = 8
 
 
@@ -113,10 +114,10 @@ def _gates(v):
 
 
 def _candidates(v):
-    """Candidates of an anchor: the vectors with the twenty ids behind it."""
-    gated = v.select("id", "label", "x", _gates("v").alias("g"))
-    a = gated.select(F.col("id").alias("anchor"), F.col("g").alias("gate_a"), F.col("x").alias("xa"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 20)).alias("negative"))
-    return a.join(gated.select(F.col("id").alias("negative"), F.col("g").alias("gate_n"), F.col("x").alias("xn")), "negative")
+    """Candidates of an anchor: the twenty vectors nearest to it, out of all of them."""
+    near = P.nearest(v, WINDOW, "lorentz", vector="x", least=1.0).select(F.col("id_i").alias("anchor"), F.col("id_j").alias("negative"), F.col("value").alias("d"))
+    a = v.select(F.col("id").alias("anchor"), F.col("x").alias("xa"))
+    return near.join(a, "anchor").join(v.select(F.col("id").alias("negative"), F.col("x").alias("xn")), "negative")
 
 
 def _gated(v):
@@ -169,7 +170,7 @@ def router_entropy(spark, sf):
 
 
 def nearest_softmax(spark, sf):
-    c = _candidates(vectors(spark, sf)).select("anchor", "negative", V.lorentz_distance(F.col("xa"), F.col("xn")).alias("d"))
+    c = _candidates(vectors(spark, sf)).select("anchor", "negative", "d")
     return _rounded(M.nearest_softmax(c, 0.5, 0.7).select("anchor", "negative", "weight"))
 
 
@@ -213,10 +214,11 @@ def cluster_agreement(spark, sf):
 # --- losses
 
 def _rows(spark, sf):
-    """Anchors with the distance to the next id as positive and to the nineteen behind it as negatives."""
-    c = _candidates(vectors(spark, sf)).select("anchor", "negative", V.lorentz_distance(F.col("xa"), F.col("xn")).alias("d"))
-    rows = c.groupBy("anchor").agg(F.transform(F.array_sort(F.collect_list(F.struct("negative", "d"))), lambda x: x["d"]).alias("ds")).where("size(ds) = 20")
-    return rows.select("anchor", F.col("ds")[0].alias("dp"), F.slice("ds", 2, 19).alias("dn"))
+    """Anchors with the distance to the nearest vector of their label as positive, and to the nineteen nearest others, or all there are, as negatives."""
+    v = vectors(spark, sf)
+    near = lambda k, inside: P.nearest(v, k, "lorentz", vector="x", least=1.0, apart="label", inside=inside).withColumnRenamed("id_i", "anchor")
+    dn = F.transform(F.array_sort(F.collect_list(F.struct("nth", "value"))), lambda x: x["value"])
+    return near(1, True).select("anchor", F.col("value").alias("dp")).join(near(WINDOW - 1, False).groupBy("anchor").agg(dn.alias("dn")), "anchor")
 
 
 def dcl_loss(spark, sf):
@@ -363,11 +365,14 @@ _RANKS = _ALL + ", ranks AS (SELECT *, row_number() OVER (PARTITION BY id_i ORDE
 _NORM = "sqrt(list_inner_product(v, v))"
 _MAPPED = "mapped AS (SELECT id, v, {n} AS n FROM vec)"
 _SOFTMAX = "[exp(e - list_max(v[1:8])) / list_sum([exp(f - list_max(v[1:8])) FOR f IN v[1:8]]) FOR e IN v[1:8]]"
-_CAND = VECTORS + f""", gated AS (SELECT id, label, x, v, {_SOFTMAX} AS g FROM lifted),
-cand AS (SELECT a.id AS anchor, b.id AS negative, a.g AS ga, b.g AS gn, a.v AS va, b.v AS vn, a.label AS la, b.label AS lb, {_D.format('a.x', 'b.x', '1.0')} AS d
-  FROM gated a JOIN gated b ON b.id BETWEEN a.id + 1 AND a.id + 20)"""
+_NEAR = VECTORS + f""", gated AS (SELECT id, label, x, v, {_SOFTMAX} AS g FROM lifted),
+every AS (SELECT a.id AS anchor, b.id AS negative, a.g AS ga, b.g AS gn, a.v AS va, b.v AS vn, a.label AS la, b.label AS lb, {_D.format('a.x', 'b.x', '1.0')} AS d
+  FROM gated a JOIN gated b ON a.id <> b.id)"""
+_CAND = _NEAR + ", cand AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY d, negative) <= 20)"
 _SMOOTH = "[(e + 1e-8) / (list_sum({0}) + 8e-8) FOR e IN {0}]"
-_ROWS = _CAND + """, rws AS (SELECT anchor, list(d ORDER BY negative) AS ds FROM cand GROUP BY 1 HAVING count(*) = 20), r AS (SELECT anchor, ds[1] AS dp, ds[2:20] AS dn FROM rws)"""
+_ROWS = _NEAR + """, pos AS (SELECT anchor, min(d) AS dp FROM every WHERE la = lb GROUP BY 1),
+neg AS (SELECT anchor, d, negative FROM every WHERE la <> lb QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY d, negative) <= 19),
+r AS (SELECT anchor, any_value(dp) AS dp, list(d ORDER BY d, negative) AS dn FROM pos JOIN neg USING (anchor) GROUP BY 1)"""
 _HEAP = "heap AS (SELECT id, CAST(floor(ln(3.0::DOUBLE * id + 1) / ln(4.0::DOUBLE) + 1e-9) + 1 AS INTEGER) AS level, x[1] AS radius FROM lifted), edges AS (SELECT (id - 1) // 4 AS parent, id AS child FROM lifted WHERE id > 0)"
 _TANGENT = "[acosh(greatest(x[1], 1.00001)) / sinh(acosh(greatest(x[1], 1.00001))) * e FOR e IN x[2:]]"
 
@@ -406,11 +411,11 @@ SQL = {
     "similarity_hist": f"WITH {VECTORS} SELECT CAST(round({_COSINE} * 5) AS INTEGER) AS bin, count(*) AS n FROM vec a JOIN vec b ON a.id < b.id GROUP BY 1",
     "knn_lorentz": f"WITH {VECTORS}, p AS (SELECT a.id AS id_i, b.id AS id_j, {_D.format('a.x', 'b.x', '1.0')} AS d FROM lifted a JOIN lifted b ON a.id <> b.id) SELECT id_i, id_j, nth, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id_i ORDER BY d, id_j) AS nth FROM p) WHERE nth <= 10",
     "hard_negatives": f"WITH {VECTORS}, p AS (SELECT a.id AS id_i, b.id AS id_j, {_D.format('a.x', 'b.x', '1.0')} AS d FROM lifted a JOIN lifted b ON a.label < 5 AND b.label >= 5) SELECT id_i, id_j, nth, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id_i ORDER BY d, id_j) AS nth FROM p) WHERE nth <= 5",
-    "router_confusion_topk": f"""WITH {_CAND}, s AS (SELECT anchor, negative, {_SMOOTH.format('ga')} AS p, {_SMOOTH.format('gn')} AS q FROM cand),
+    "router_confusion_topk": f"""WITH {_NEAR}, s AS (SELECT anchor, negative, {_SMOOTH.format('ga')} AS p, {_SMOOTH.format('gn')} AS q FROM every),
       k AS (SELECT anchor, negative, -list_sum([p[i] * ln(p[i] / q[i]) FOR i IN range(1, 9)]) AS score FROM s)
       SELECT anchor, negative, nth, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, negative) AS nth FROM k) WHERE nth <= 5""",
-    "router_mix": f"""WITH {_CAND}, s AS (SELECT anchor, negative, row_number() OVER (PARTITION BY anchor ORDER BY list_cosine_similarity(ga, gn) DESC, negative) AS r,
-      row_number() OVER (PARTITION BY anchor ORDER BY round(d, 9), negative) AS h FROM cand)
+    "router_mix": f"""WITH {_NEAR}, s AS (SELECT anchor, negative, row_number() OVER (PARTITION BY anchor ORDER BY list_cosine_similarity(ga, gn) DESC, negative) AS r,
+      row_number() OVER (PARTITION BY anchor ORDER BY d, negative) AS h FROM every)
       SELECT anchor, negative, 'router' AS origin FROM s WHERE r <= 3 UNION ALL SELECT anchor, negative, 'hard' FROM s WHERE h <= 3""",
     "norm_adaptive_margin": f"WITH {VECTORS} SELECT id, round(0.5 / cosh(acosh(greatest(x[1], 1.000001))), 6) AS margin FROM lifted",
     "false_negative_mask": f"WITH {_CAND} SELECT anchor, negative, la = lb AND la <> 3 AS false_negative FROM cand",
@@ -435,9 +440,9 @@ SQL = {
       t AS (SELECT sum(n) AS t FROM c), j AS (SELECT sum(n * (n - 1) / 2) AS bo, sum(n / t * ln(n * t / (na * nb))) AS mi FROM c JOIN a USING (a) JOIN b USING (b), t),
       x AS (SELECT sum(na * (na - 1) / 2) AS pa, sum(-na / t * ln(na / t)) AS ha FROM a, t), y AS (SELECT sum(nb * (nb - 1) / 2) AS pb, sum(-nb / t * ln(nb / t)) AS hb FROM b, t)
       SELECT round((bo - pa * pb / (t * (t - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2)), 6) AS ari, round(2 * mi / (ha + hb), 6) AS nmi FROM j, x, y, t""",
-    "dcl_loss": f"""WITH {_ROWS}, s AS (SELECT anchor, dp, [CASE WHEN (i - 1 + anchor) % 6 = 0 THEN -3.4028234663852886e38 ELSE -greatest(dn[i] - 0.1, 0) / 0.5 END FOR i IN range(1, 20)] AS s FROM r)
+    "dcl_loss": f"""WITH {_ROWS}, s AS (SELECT anchor, dp, [CASE WHEN (i - 1 + anchor) % 6 = 0 THEN -3.4028234663852886e38 ELSE -greatest(dn[i] - 0.1, 0) / 0.5 END FOR i IN range(1, len(dn) + 1)] AS s FROM r)
       SELECT round(avg(dp / 0.5 + list_max(s) + ln(list_sum([exp(e - list_max(s)) FOR e IN s]))), 6) AS loss, count(*) AS n FROM s""",
-    "triplet_loss": f"""WITH {_ROWS}, e AS (SELECT dp, unnest(dn) AS dn, unnest(range(0, 19)) AS i FROM r), l AS (SELECT greatest((dp - dn + 0.5) / 0.8, 0) AS l, CAST(i % 3 + 1 AS DOUBLE) AS w FROM e)
+    "triplet_loss": f"""WITH {_ROWS}, e AS (SELECT dp, unnest(dn) AS dn, unnest(range(0, len(dn))) AS i FROM r), l AS (SELECT greatest((dp - dn + 0.5) / 0.8, 0) AS l, CAST(i % 3 + 1 AS DOUBLE) AS w FROM e)
       SELECT round(avg(l), 6) AS loss, round(sum(l * w) / sum(w), 6) AS weighted FROM l""",
     "level_radius_loss": f"""WITH {VECTORS}, g AS (SELECT abs(sqrt(greatest(x[1] * x[1] - 1, 1e-8)) - (label % 5) / 2.0::DOUBLE) AS g, greatest(sqrt(greatest(x[1] * x[1] - 1, 0) + 1e-8) - 0.9, 0) AS o FROM lifted)
       SELECT round(avg(CASE WHEN g < 1 THEN 0.5 * g * g ELSE g - 0.5 END), 6) AS loss, round(0.01 * avg(o * o), 6) AS penalty FROM g""",
