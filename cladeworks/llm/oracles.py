@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from cladeworks.llm import secret_scans
-
 URL_SQL = r"""
 WITH parsed AS (
   SELECT page_id,
@@ -113,8 +111,21 @@ def _matches_sql(rank: int, kind: str, pattern: str, group: int = 0, least: int
       WHERE length(g) >= {least}"""
 
 
+# What the scan is meant to do, written out apart from the operator.
+_SECRETS = (
+    (0, "assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
+    (1, "access", r"AKIA[A-Z0-9]{14,}", 0, 0),
+    (2, "hex", r"[0-9a-f]{16,}", 0, 0),
+)
+_WINDOWS = ((3, "mixed", r"[A-Za-z0-9+/_=-]{20,}", 20, 3.7), (4, "hex", r"[0-9A-Fa-f]{16,}", 16, 2.9))
+_HARMLESS = (
+    r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9TZ/_+-]*$", r"^[A-Za-z]+([_/=+-][A-Za-z]+)*$",
+    r"^[0-9]+$", r"^[_=/+-]+$",
+)
+
+
 def _entropy_sql(rank: int, name: str, pattern: str, window: int, least: float) -> str:
-    allowed = " OR ".join(f"regexp_matches(s, '{a}')" for a in secret_scans.ALLOW)
+    allowed = " OR ".join(f"regexp_matches(s, '{a}')" for a in _HARMLESS)
     return f"""SELECT doc_id, CAST(start + min(k) AS BIGINT) AS start, {rank} AS rank, 'entropy_{name}' AS kind, CAST(start + max(k) + {window} AS BIGINT) AS stop FROM (
       SELECT doc_id, start, k, -sum(n / {window}.0 * log2(n / {window}.0)) AS bits FROM (
         SELECT doc_id, start, k, c, CAST(count(*) AS DOUBLE) AS n FROM (
@@ -123,11 +134,8 @@ def _entropy_sql(rank: int, name: str, pattern: str, window: int, least: float)
         GROUP BY ALL) GROUP BY ALL) WHERE bits >= {least} - 1e-12 GROUP BY doc_id, start"""
 
 
-_BASE = " UNION ALL ".join(
-    f"SELECT doc_id, start, rank, kind, stop FROM ({x})"
-    for x in (_matches_sql(0, "assign", secret_scans.ASSIGN, 1, secret_scans.ASSIGN_LEAST), _matches_sql(1, "access", secret_scans.ACCESS), _matches_sql(2, "hex", secret_scans.HEX))
-)
-_SCAN = " UNION ALL ".join(_entropy_sql(3 + i, *c) for i, c in enumerate(secret_scans.CLASSES))
+_BASE = " UNION ALL ".join(f"SELECT doc_id, start, rank, kind, stop FROM ({_matches_sql(*x)})" for x in _SECRETS)
+_SCAN = " UNION ALL ".join(_entropy_sql(*x) for x in _WINDOWS)
 _LISTED = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop)"
 SECRET_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), base AS ({_BASE}), every AS (SELECT * FROM base UNION ALL {_SCAN}),

@@ -1,16 +1,18 @@
 """Operator 8: secret scans, native.
 
 Known formats are found by regular expressions; the offsets of all matches follow from the
-lengths of the matches and of what lies between them. Further candidates are long strings of
-one character class, in which a window slides by one character at a time: the sum of
-n*log2(n) over the window's character counts changes only by the character that enters and
-the one that leaves, and gives the window's Shannon entropy. Candidates that look like harmless
-identifiers are on an allow-list.
+lengths of the matches and of what lies between them, so no text is walked again for a match. Further
+candidates are long strings of one character class, split into characters once, in which a window
+slides by one character at a time: the character that enters and the one that leaves change two
+counts, and with them the sum of n*log2(n) over the counts, which gives the window's Shannon entropy. Counts
+are packed into a few longs, so a step costs the same wherever the window stands. Candidates that look like
+harmless identifiers are on an allow-list.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,32 +34,67 @@ CLASSES = (
     ("mixed", r"[A-Za-z0-9+/_=-]{20,}", 20, 3.7),
     ("hex", r"[0-9A-Fa-f]{16,}", 16, 2.9),
 )
-# Candidates that start like these are no secrets: UUIDs, dates, words of letters only, repeated rulers.
+# Candidates of these forms are no secrets: UUIDs, dates and times, words of letters only, numbers, rulers.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9TZ/_+-]*$",
     r"^[A-Za-z]+([_/=+-][A-Za-z]+)*$",
     r"^[0-9]+$",
     r"^[_=/+-]+$",
 )
 
 
-def matches(text: Column, pattern: str, rank: int, kind: str) -> Column:
-    """All leftmost non-overlapping matches as spans in code points, by start."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"cast(array() as {SPAN})").alias("spans"))
+CHUNK = 256  # matches whose offsets are summed in one fold
+LANES, BITS, FIRST = 12, 5, 32  # counts packed into a long, bits of each, code of the first character that has one
+REGISTERS = 8  # longs: 96 characters, all of printable ASCII
+UNIT = 1 << 40  # n*log2(n) is kept in whole parts of this, so sums don't drift
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often use mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def found(text: Column, pattern: str) -> Column:
+    """All leftmost non-overlapping matches as (start in code points, hit), by start.
+
+    Offsets are summed in chunks and the chunks' ends once more, so the work grows with the number of matches, not its square.
+    """
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<struct<start:bigint,hit:string>>)").alias("out"))
+    moved = lambda p: (F.length(p["gap"]) + F.length(p["hit"])).cast("bigint")
+
+    def chunk(pairs: Column, base: Column) -> Column:
+        def step(state: Column, p: Column) -> Column:
+            here = F.struct((base + state["at"] + F.length(p["gap"])).alias("start"), p["hit"].alias("hit"))
+            return F.struct((state["at"] + moved(p)).alias("at"), F.concat(state["out"], F.array(here)).alias("out"))
+
+        return F.aggregate(pairs, zero, step, lambda s: s["out"])
+
+    def ends(chunks: Column) -> Column:
+        none = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        return F.aggregate(
+            chunks, none,
+            lambda s, c: F.struct(F.aggregate(c, s["at"], lambda at, p: at + moved(p)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
+            lambda s: s["out"],
+        )
+
+    def placed(pairs: Column) -> Column:
+        n = F.ceil(F.size(pairs) / CHUNK).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(pairs, k * CHUNK + 1, CHUNK))
+        return F.when(n > 0, bound(parts, lambda c: F.flatten(F.zip_with(c, ends(c), chunk))))
+
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda p: p["hit"].isNotNull())
+    return F.coalesce(bound(pairs, placed), F.expr("cast(array() as array<struct<start:bigint,hit:string>>)"))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        stop = start + F.length(pair["hit"])
-        span = F.struct(
-            start.cast("bigint").alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), stop.cast("bigint").alias("stop")
-        )
-        return F.struct(stop.cast("bigint").alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    pairs = F.filter(F.arrays_zip(between.alias("gap"), found.alias("hit")), lambda p: p["hit"].isNotNull())
-    return F.aggregate(pairs, zero, step, lambda s: s["spans"])
+def span(start: Column, stop: Column, rank: int, kind: str) -> Column:
+    return F.struct(start.cast("bigint").alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), stop.cast("bigint").alias("stop"))
+
+
+def whole(hits: Column, rank: int, kind: str) -> Column:
+    """Found hits as spans."""
+    return F.transform(hits, lambda h: span(h["start"], h["start"] + F.length(h["hit"]), rank, kind))
 
 
 def none() -> Column:
@@ -66,49 +103,57 @@ def none() -> Column:
 
 def base_spans(text: Column) -> Column:
     """The contract's three kinds, by start and then kind."""
-    long_enough = lambda s: F.length(
-        F.regexp_extract(F.substring(text, s["start"].cast("int") + 1, (s["stop"] - s["start"]).cast("int")), ASSIGN, 1)
-    ) >= ASSIGN_LEAST
-    assign = F.when(text.rlike(ASSIGN_HINT), F.filter(matches(text, ASSIGN, 0, "assign"), long_enough)).otherwise(none())
-    access = F.when(text.contains("AKIA"), matches(text, ACCESS, 1, "access")).otherwise(none())
-    hexes = F.when(text.rlike(HEX), matches(text, HEX, 2, "hex")).otherwise(none())
+    long_enough = lambda h: F.length(F.regexp_extract(h["hit"], ASSIGN, 1)) >= ASSIGN_LEAST
+    assign = F.when(text.rlike(ASSIGN_HINT), whole(F.filter(found(text, ASSIGN), long_enough), 0, "assign")).otherwise(none())
+    access = F.when(text.contains("AKIA"), whole(found(text, ACCESS), 1, "access")).otherwise(none())
+    hexes = F.when(text.rlike(HEX), whole(found(text, HEX), 2, "hex")).otherwise(none())
     return F.array_sort(F.concat(assign, access, hexes))
 
 
 def hot_part(token: Column, window: int, least: float) -> Column:
-    """First and last character (0-based, end exclusive) of the windows whose entropy is high enough, or null."""
+    """First and last character (0-based, end exclusive) of the windows whose entropy is high enough, or null.
+
+    The token's characters are printable ASCII, as those of all classes are, and the window holds fewer than 32.
+    """
+    weights = [round(n * math.log2(n) * UNIT) if n else 0 for n in range(window + 2)]
+    table = F.array(*[F.lit(x).cast("bigint") for x in weights])
+    most = F.lit(round((math.log2(window) - least) * window * UNIT) + UNIT // 10**9).cast("bigint")
     zero = F.struct(
-        F.map_from_arrays(F.expr("cast(array() as array<string>)"), F.expr("cast(array() as array<int>)")).alias("n"),
-        F.lit(0.0).alias("sum"), F.lit(-1).alias("start"), F.lit(-1).alias("stop"),
-    )
-    weight = lambda n: n * F.log2(F.greatest(n, F.lit(1)).cast("double"))
-
-    def moved(state: Column, char: Column, by: int) -> tuple[Column, Column]:
-        """The counts and the sum after char entered (1) or left (-1)."""
-        old = F.coalesce(F.element_at(state["n"], char), F.lit(0))
-        new = old + F.lit(by)
-        kept = F.map_filter(state["n"], lambda k, v: k != char)
-        return F.map_concat(kept, F.create_map(char, new)), state["sum"] - weight(old) + weight(new)
-
-    def step(state: Column, i: Column) -> Column:
-        counts, total = moved(state, F.substring(token, i, F.lit(1)), 1)
-        entered = F.struct(counts.alias("n"), total.alias("sum"))
-        counts, total = moved(entered, F.substring(token, i - window, F.lit(1)), -1)
-        full = i > window
-        n = F.when(full, counts).otherwise(entered["n"])
-        s = F.when(full, total).otherwise(entered["sum"])
-        hot = (i >= window) & (F.log2(F.lit(float(window))) - s / window >= least)
-        return F.struct(
-            n.alias("n"), s.alias("sum"),
-            F.when(hot & (state["start"] < 0), i - window).otherwise(state["start"]).alias("start"),
-            F.when(hot, i).otherwise(state["stop"]).alias("stop"),
+        F.array(*[F.lit(0).cast("bigint")] * REGISTERS).alias("n"), F.lit(0).cast("bigint").alias("sum"), F.lit(-1).alias("start"), F.lit(-1).alias("stop")
+    )
+    lane = lambda code: F.floor(code / LANES).cast("int")
+    place = lambda code: code % LANES * BITS
+    one = lambda code: F.call_function("shiftleft", F.lit(1).cast("bigint"), place(code))
+    count = lambda n, code: (
+        F.call_function("shiftright", F.element_at(n, lane(code) + 1), place(code)).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    )
+    weight = lambda n: F.element_at(table, n + 1)
+
+    def slid(codes: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            full = i > window
+            enters, leaves = F.element_at(codes, i), F.element_at(codes, F.greatest(i - window, F.lit(1)))
+            had = count(state["n"], enters)
+            # the character that leaves has one more where it also entered
+            has = count(state["n"], leaves) + F.when(enters == leaves, 1).otherwise(0)
+            counts = F.transform(
+                state["n"],
+                lambda x, k: x + F.when(k == lane(enters), one(enters)).otherwise(0) - F.when(full & (k == lane(leaves)), one(leaves)).otherwise(0),
+            )
+            total = state["sum"] - weight(had) + weight(had + 1) + F.when(full, weight(has - 1) - weight(has)).otherwise(0)
+            hot = (i >= window) & (total <= most)
+            return F.struct(
+                counts.alias("n"), total.alias("sum"),
+                F.when(hot & (state["start"] < 0), i - window).otherwise(state["start"]).alias("start"),
+                F.when(hot, i).otherwise(state["stop"]).alias("stop"),
+            )
+
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(codes)), zero, step,
+            lambda s: F.when(s["start"] >= 0, F.struct(s["start"].alias("start"), s["stop"].alias("stop"))),
         )
 
-    ends = F.aggregate(
-        F.sequence(F.lit(1), F.length(token)), zero, step,
-        lambda s: F.when(s["start"] >= 0, F.struct(s["start"].alias("start"), s["stop"].alias("stop"))),
-    )
-    return F.when(F.length(token) >= window, ends)
+    return F.when(F.length(token) >= window, bound(F.transform(F.split(token, ""), lambda c: F.ascii(c) - FIRST), slid))
 
 
 def entropy_spans(text: Column, allow: Sequence[str] = ALLOW) -> Column:
@@ -116,18 +161,12 @@ def entropy_spans(text: Column, allow: Sequence[str] = ALLOW) -> Column:
     allowed = "|".join(f"(?:{x})" for x in allow) or "(?!)"
     out = []
     for i, (name, pattern, window, least) in enumerate(CLASSES):
-        token = lambda s: F.substring(text, s["start"].cast("int") + 1, (s["stop"] - s["start"]).cast("int"))
-        candidates = F.filter(matches(text, pattern, 3 + i, f"entropy_{name}"), lambda s: ~token(s).rlike(allowed))
-        scored = F.transform(
-            candidates, lambda s: F.struct(s.alias("s"), hot_part(token(s), window, least).alias("part"))
-        )
+        candidates = F.filter(found(text, pattern), lambda h: ~h["hit"].rlike(allowed))
+        scored = F.transform(candidates, lambda h: F.struct(h["start"].alias("start"), hot_part(h["hit"], window, least).alias("part")))
         hot = F.transform(
             F.filter(scored, lambda x: x["part"].isNotNull()),
-            lambda x: F.struct(
-                (x["s"]["start"] + x["part"]["start"]).alias("start"), x["s"]["rank"].alias("rank"),
-                x["s"]["kind"].alias("kind"), (x["s"]["start"] + x["part"]["stop"]).alias("stop"),
-            ),
-        )
+            lambda x: span(x["start"] + x["part"]["start"], x["start"] + x["part"]["stop"], 3 + i, f"entropy_{name}"),
+        )
         out.append(F.when(text.rlike(pattern), hot).otherwise(none()))
     return F.concat(*out)
 
@@ -142,7 +181,7 @@ def find_secrets(df: DataFrame, text: str = "text", allow: Sequence[str] = ALLOW
     """
     with_base = df.withColumn("base", base_spans(text_or_empty(text)))
     return with_base.withColumn(
-        "secrets", F.array_sort(F.array_distinct(F.concat("base", entropy_spans(text_or_empty(text), allow))))
+        "secrets", F.array_sort(F.concat("base", entropy_spans(text_or_empty(text), allow)))
     )
 
 

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -232,6 +233,34 @@ def test_secrets_against_plain_scan(spark, docs):
     assert n > 20
 
 
+def test_dates_hide_only_themselves(spark):
+    key = "k3yZq9Lm2Xw8Rt5Vb7Np4"
+    df = spark.createDataFrame([(1, f"2024-05-17/{key}"), (2, "2024-05-17T10-11-12/2024-05-18"), (3, f"at 2024-05-17 {key}")], "doc_id bigint, text string")
+    got = {r.doc_id: [(s.start, s.stop) for s in r.secrets] for r in secret_scans.find_secrets(df).collect()}
+    assert got[1] and got[1][0][1] == len(f"2024-05-17/{key}") and not got[2] and got[3] == [(14, 35)]
+
+
+def test_scan_is_linear(spark):
+    """Four times the tokens, or the characters of one, take about four times as long; where a token stands doesn't matter."""
+    rng = random.Random(12)
+    token = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789ABCDEF") for _ in range(n))
+
+    def took(text):
+        df = spark.createDataFrame([(1, text)], "doc_id bigint, text string").coalesce(1)
+        times = []
+        for _ in range(2):
+            began = time.perf_counter()
+            assert secret_scans.find_secrets(df).where(F.size("secrets") > 0).count() == 1
+            times.append(time.perf_counter() - began)
+        return min(times)
+
+    took(token(30))
+    long = {n: took(token(n)) for n in (20_000, 80_000)}
+    many = {n: took(" ".join(token(25) for _ in range(n))) for n in (1500, 6000)}
+    front, back = took(token(100) + " x" * 40_000), took("x " * 40_000 + token(100))
+    assert long[80_000] < 8 * long[20_000] and many[6000] < 8 * many[1500] and back < 3 * front + 1
+
+
 # --- 9: tokens
 
 def test_token_counts_against_whole_texts(spark, docs):
@@ -258,7 +287,7 @@ def test_other_vocabularies(spark):
     assert got == {1: len(model.encode("One small text.")), 2: 0}
 
 
-@pytest.mark.parametrize("name", ["op7_url_filters"])
+@pytest.mark.parametrize("name", ["op6_chat_format", "op7_url_filters", "op8_secret_scans"])
 def test_agrees_with_sql(name, same_rows):
     same_rows(queries.queries()[name], queries.oracle_sql()[name])
 
