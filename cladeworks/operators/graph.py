@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeworks.sources.stages import staged
+from cladeworks.sources.stages import staged, unstaged
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
@@ -44,12 +44,14 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     n = nodes.count()
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     links = staged(edges.join(out, "src").select("src", "dst", (1 / F.col("out")).alias("share")), "links")
-    ranks = staged(nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank")), "pagerank")
+    ranks = table = staged(nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank")), "pagerank")
     for step in range(1, rounds + 1):
         sent = links.join(ranks, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = ranks.join(sent, F.col("id") == F.col("to"), "left").select("id", F.col("rank").alias("old"), (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if tolerance is not None or step % stage_every == 0:
-            new = staged(new, "pagerank")
+            before, table = table, staged(new, "pagerank")
+            unstaged(before)  # nothing reads the rounds before any more
+            new = table
         ranks = new.select("id", "rank")
         if tolerance is not None and (new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < tolerance:
             break
@@ -57,7 +59,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     return ranks.crossJoin(F.broadcast(total)).select("id", (F.col("rank") / F.col("total")).alias("rank"))
 
 
-def kcore(edges: DataFrame, nodes: DataFrame, rounds: int = 200) -> DataFrame:
+def kcore(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, core): core numbers of the mirrored graph as the fixed point of neighbours' h-indices.
 
     Each round replaces a node's number by the greatest h such that h neighbours have h at least; it
@@ -65,16 +67,16 @@ def kcore(edges: DataFrame, nodes: DataFrame, rounds: int = 200) -> DataFrame:
     """
     both = edges.where("src <> dst").distinct()
     degrees = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core"))
-    now = staged(nodes.select("id").join(degrees, "id", "left").select("id", F.coalesce("core", F.lit(0).cast("long")).alias("core")), "kcore")
-    for _ in range(rounds):
+    now = table = staged(nodes.select("id").join(degrees, "id", "left").select("id", F.coalesce("core", F.lit(0).cast("long")).alias("core")), "kcore")
+    while True:
         seen = both.join(now, F.col("dst") == F.col("id")).groupBy("src", "core").agg(F.count("*").alias("n"))
         atleast = F.sum("n").over(Window.partitionBy("src").orderBy(F.desc("core")))
         h = seen.withColumn("h", F.least("core", atleast)).groupBy(F.col("src").alias("to")).agg(F.max("h").alias("h"))
         new = staged(now.join(h, F.col("id") == F.col("to"), "left").select("id", F.col("core").alias("old"), F.coalesce("h", F.lit(0).cast("long")).alias("core")), "kcore")
-        now = new.select("id", "core")
+        unstaged(table)
+        now, table = new.select("id", "core"), new
         if new.where("core <> old").isEmpty():
-            break
-    return now
+            return now
 
 
 def node_scores(edges: DataFrame, nodes: DataFrame, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:

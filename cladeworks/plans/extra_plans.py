@@ -14,7 +14,7 @@ from cladeworks.operators.pairs import pair_table
 from cladeworks.operators.ranking import numbered
 from cladeworks.plans.binding import CUSTOMER_TAX, PAIRS, VECTORS, customer_nodes, table, vectors
 from cladeworks.plans.control_plans import _history
-from cladeworks.sources.stages import shared_dir
+from cladeworks.sources.stages import stage_root
 from cladeworks.streaming import windows as W
 from cladeworks.streaming.controller_stream import stream_controller as controller_over
 
@@ -96,7 +96,7 @@ def ground_truth_distances(spark, sf):
 
 def _streamed(frame, spark, mode):
     """What a stream has written once all there is has been read."""
-    root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    root = f"{stage_root(spark)}/streams/{uuid.uuid4().hex}"
     rows = []
     schema = frame.schema
 
@@ -111,7 +111,7 @@ def _streamed(frame, spark, mode):
 def stream_sessions(spark, sf):
     """Sessions of each user, parted by three hours without events, from a replay of all events as a stream with a watermark."""
     source = table(spark, sf, "events").select("ts", "user_id", "value")
-    path = f"{shared_dir(spark)}/streams/in-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/streams/in-{uuid.uuid4().hex}"
     W.ended(source, "3 hours").write.parquet(path)
     stream = W.read_stream(spark, path, source.schema, files_per_batch=None)
     return _rounded(_streamed(W.sessions(stream, "3 hours", "user_id"), spark, "append"), 4)
@@ -119,7 +119,7 @@ def stream_sessions(spark, sf):
 
 def stream_controller(spark, sf):
     """The controller over a stream of epochs."""
-    path = f"{shared_dir(spark)}/streams/in-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/streams/in-{uuid.uuid4().hex}"
     _history(spark, sf).coalesce(1).write.parquet(path)
     stream = W.read_stream(spark, path, "run bigint, epoch bigint, train_loss double, val_loss double, mrr double")
     return _streamed(controller_over(stream, C.ControllerConfig(gap_tolerance=1.0, plateau_threshold=0.5)), spark, "append")

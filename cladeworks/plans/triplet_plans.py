@@ -11,7 +11,7 @@ from cladeworks.operators import taxonomy as T
 from cladeworks.operators import triplets as R
 from cladeworks.operators.pairs import pair_table
 from cladeworks.plans.binding import CUSTOMER_TAX, PAIRS_EXCLUDED, SUPPLIER_TAX, customer_nodes, exclusions, supplier_nodes
-from cladeworks.sources.stages import shared_dir, staged
+from cladeworks.sources.stages import stage_root, staged
 
 ALPHA = 1.5
 KEYS = ("anchor_idx", "positive_idx", "negative_idx")
@@ -63,7 +63,7 @@ def triplets_capped(spark, sf):
 
 def triplets_partition_scan(spark, sf):
     """Written by anchor, read back for anchors of the upper levels only."""
-    path = f"{shared_dir(spark)}/triplets-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/triplets-{uuid.uuid4().hex}"
     R.write_partitioned(_triplets(spark, sf), path)
     return _digest(R.read_partitioned(spark, path, supplier_nodes(spark, sf), [2, 3]))
 

@@ -1,7 +1,13 @@
+import os
+from types import SimpleNamespace
+
 import numpy as np
+import pytest
 
 from cladeworks import jobs
+from cladeworks.operators import graph
 from cladeworks.operators.inference import embedded
+from cladeworks.sources import stages
 
 
 def test_jobs_from_texts_to_triplets(spark, tmp_path, capsys):
@@ -31,3 +37,19 @@ def test_embedding_slot(spark):
     df = spark.createDataFrame([(0, 2, "11", "abc"), (1, 3, "111", None)], "index int, level int, code string, text string")
     got = embedded(df, "text", lambda: lambda texts: np.array([[len(t), 1.0] for t in texts])).collect()
     assert sorted((r["index"], r.x) for r in got) == [(0, [3.0, 1.0]), (1, [0.0, 1.0])]
+
+
+def test_staged_tables_go_away(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stages, "shared_dir", lambda _: str(tmp_path))
+    edges = graph.mirrored(spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3)], "src int, dst int"))
+    assert {r.id: r.core for r in graph.kcore(edges, spark.range(4)).collect()} == {0: 2, 1: 2, 2: 2, 3: 1}
+    root = stages.stage_root(spark)
+    assert root.startswith(str(tmp_path)) and len(os.listdir(root)) == 1  # of all rounds the last one is left
+    stages.clear(spark)
+    assert not os.path.exists(root)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        stages.shared_dir(spark)
