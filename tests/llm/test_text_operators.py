@@ -261,6 +261,30 @@ def test_urls_against_all_rules(spark):
     assert url_filters.filter_urls(df.limit(0), url_filters.rule_table(spark, RULES)).count() == 0
 
 
+def test_many_path_rules_on_one_host(spark):
+    """10,000 path rules on one host, rules nested in rules, odd rules and odd columns; ranges of the sweep are many."""
+    rng = random.Random(13)
+    rules = [("block", f"big.com/p{i}/", "/".join(["", f"p{i}", ""])) for i in range(10_000)]
+    table = spark.createDataFrame(
+        [("big.com", p, a, r) for a, r, p in rules] + [("com", "/", "allow", "com/"), ("big.com", "/p7/x/y", "allow", "deep"), ("big.com", "/p7/x", "block", "mid"), ("b.big.com", "/p7", "allow", "sub"),
+         ("big.com", "/p7/x", "allow", "aaa"), (None, "/", "block", "none"), ("org", None, "block", "none"), ("org", "/", None, "none"), ("o/g", "/", "block", "none")],
+        "host string, path string, action string, rule string",
+    )
+    urls = [f"http://{rng.choice(['', 'a.', 'b.', 'x.b.'])}big.com/p{rng.randrange(12_000)}/{rng.choice(['', 'x', 'x/y/z'])}" for _ in range(400)]
+    urls += [f"http://{h}big.com/p7{p}" for h in ("", "b.", "a.b.") for p in ("", "/", "/x", "/x/y", "/x/yz", "/w\U0010ffff")] * 3 + ["http://z.org/", "http://com/", "http:///"]
+    df = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)], "page_id bigint, url string, found string")
+    known = [(h, p, r, a) for h, p, a, r in table.collect() if None not in (h, p, a) and "/" not in h]
+    by_host = {}
+    for h, p, r, a in known:
+        by_host.setdefault(h, []).append((p, r, a))
+    for row in url_filters.filter_urls(df, table).collect():
+        host, _, path = row.url.split("://", 1)[1].partition("/")
+        path = "/" + path
+        ups = [".".join(host.split(".")[i:]) for i in range(len(host.split(".")))]
+        best = max(((len(h) + len(p), r, a) for h in ups for p, r, a in by_host.get(h, []) if path.startswith(p)), default=(0, None, "allow"))
+        assert (row.rule, row.verdict, row.found) == (best[1], best[2], "k"), row.url
+
+
 # --- 8: secrets
 
 def simple_secrets(text):
