@@ -45,21 +45,51 @@ def with_turns(df: DataFrame) -> DataFrame:
     return df.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
 
+CHUNK = 256  # turns whose sums are folded at once
+
+
+def running_sums(values: Column) -> Column:
+    """Prefix sums of an array of whole numbers: in chunks, and over the chunks' totals, so the work grows with its length."""
+    empty = F.expr("cast(array() as array<bigint>)")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+    def sums(part: Column, base: Column) -> Column:
+        zero = F.struct(base.alias("at"), empty.alias("out"))
+        return F.aggregate(part, zero, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out")), lambda s: s["out"])
+
+    def bases(parts: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
+        return F.aggregate(parts, zero, lambda s, c: F.struct((s["at"] + total(c)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    n = F.ceil(F.size(values) / CHUNK).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(values, k * CHUNK + 1, CHUNK))
+    return F.when(n > 0, F.transform(F.array(parts), lambda c: F.flatten(F.zip_with(c, bases(c), sums)))[0]).otherwise(empty)
+
+
 def _starts(budget: int, history: int) -> Column:
-    """1-based positions at which windows begin: the most new turns whose prefix sums fit the budget."""
+    """1-based positions at which windows begin (start), and where their repeated turns do (back).
+
+    A window opens when a turn doesn't fit any more. It repeats as many turns of history as fit with its first new one, and the
+    system turn where that is not among them.
+    """
     zero = F.struct(
-        F.expr("cast(array() as array<int>)").alias("starts"), F.lit(0).cast("bigint").alias("base")
+        F.expr("cast(array() as array<struct<start:int,back:int>>)").alias("starts"), F.lit(0).cast("bigint").alias("base"), F.lit(0).cast("bigint").alias("room")
     )
-    sums, system = F.col("sums"), F.col("n_system")
+    sums = F.col("sums")
     before = lambda i: F.when(i > 1, F.element_at(sums, F.greatest(i - 1, F.lit(1)))).otherwise(F.lit(0))
-    taken = lambda i: before(F.greatest(F.lit(1), i - history))  # noqa: E731  prefix sum before a window's history
+    system = lambda back: F.when(back > 1, F.col("n_system")).otherwise(F.lit(0))
 
     def step(state: Column, i: Column) -> Column:
-        over = F.element_at(sums, i) - state["base"] > F.lit(budget) - system
-        opens = (i == 1) | over
+        opens = (i == 1) | (F.element_at(sums, i) - state["base"] > state["room"])
+        back = i
+        for h in range(1, history + 1):
+            far = F.greatest(F.lit(1), i - h)
+            back = F.when(F.element_at(sums, i) - before(far) + system(far) <= budget, far).otherwise(back)
+        here = F.struct(i.cast("int").alias("start"), back.cast("int").alias("back"))
         return F.struct(
-            F.when(opens, F.concat(state["starts"], F.array(i))).otherwise(state["starts"]).alias("starts"),
-            F.when(opens, taken(i)).otherwise(state["base"]).cast("bigint").alias("base"),
+            F.when(opens, F.concat(state["starts"], F.array(here))).otherwise(state["starts"]).alias("starts"),
+            F.when(opens, before(back)).otherwise(state["base"]).cast("bigint").alias("base"),
+            F.when(opens, budget - system(back)).otherwise(state["room"]).cast("bigint").alias("room"),
         )
 
     return F.aggregate(F.sequence(F.lit(1), F.size("turns")), zero, step, lambda s: s["starts"])
@@ -70,8 +100,8 @@ def format_conversations(df: DataFrame, budget: int = 512, history: int = 2) ->
 
     Input rows are turns (conv_id, turn, role, text); other columns are ignored. loss holds
     (start, length) in code points of formatted, for every new assistant turn. A window's
-    tokens stay within the budget unless its repeated part and its first new turn alone exceed it; a
-    turn is never cut. A leading system turn is repeated in every later window. Turns with equal
+    tokens stay within the budget unless its first new turn alone, with the system turn, exceeds it: history that doesn't fit is
+    left out, and a turn is never cut. A leading system turn is repeated in every later window. Turns with equal
     numbers go by role, then text; repeated rows are turns of their own; null conv_ids form one
     conversation. An empty table gives none.
     """
@@ -84,10 +114,7 @@ def format_conversations(df: DataFrame, budget: int = 512, history: int = 2) ->
             n_tokens(t["text"]).alias("n"),
         ),
     )
-    sums = F.aggregate(
-        F.col("marked"), F.expr("cast(array() as array<bigint>)"),
-        lambda s, t: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + t["n"])),
-    )
+    sums = running_sums(F.transform("marked", lambda t: t["n"].cast("bigint")))
     system = F.element_at("turns", 1)["role"] == "system"
     laid = (
         with_turns(df)
@@ -96,9 +123,9 @@ def format_conversations(df: DataFrame, budget: int = 512, history: int = 2) ->
         .withColumn("starts", _starts(budget, history))
     )
 
-    def window(start: Column, w: Column) -> Column:
-        stop = F.coalesce(F.try_element_at("starts", w + 2), F.size("turns") + 1)
-        back = F.greatest(F.lit(1), start - history)
+    def window(at: Column, w: Column) -> Column:
+        start, back = at["start"], at["back"]
+        stop = F.coalesce(F.try_element_at("starts", w + 2)["start"], F.size("turns") + 1)
         kept = F.when(F.col("has_system") & (back > 1), F.slice("marked", 1, 1)).otherwise(F.slice("marked", 1, 0))
         repeated = F.concat(kept, F.slice("marked", back, start - back))
         new = F.slice("marked", start, stop - start)

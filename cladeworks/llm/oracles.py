@@ -82,17 +82,24 @@ WITH RECURSIVE raw AS (
     + length(replace(text, chr(92), chr(92) || chr(92))) + len(regexp_extract_all(text, '</?s>|\[/?INST\]')) + 20 AS chars
   FROM raw WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)
 ), sys AS (SELECT conv_id, CASE WHEN role = 'system' THEN n ELSE 0 END AS n_system, CASE WHEN role = 'system' THEN chars ELSE 0 END AS chars FROM t WHERE i = 1),
-fold(conv_id, i, base, start) AS (
-  SELECT conv_id, CAST(1 AS BIGINT), CAST(0 AS DOUBLE), CAST(1 AS BIGINT) FROM sys
+near AS (
+  SELECT t.conv_id, t.i, t.s, s - n AS p0, coalesce(lag(s - n, 1) OVER w, 0) AS p1, coalesce(lag(s - n, 2) OVER w, 0) AS p2, n_system
+  FROM t JOIN sys USING (conv_id) WINDOW w AS (PARTITION BY t.conv_id ORDER BY t.i)
+), opening AS (
+  SELECT conv_id, i, s, CASE WHEN s - p2 + CASE WHEN i > 3 THEN n_system ELSE 0 END <= 512 THEN greatest(1, i - 2)
+    WHEN s - p1 + CASE WHEN i > 2 THEN n_system ELSE 0 END <= 512 THEN greatest(1, i - 1) ELSE i END AS back, p0, p1, p2, n_system FROM near
+), opened AS (
+  SELECT conv_id, i, s, back, CASE i - back WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END AS base, 512 - CASE WHEN back > 1 THEN n_system ELSE 0 END AS room FROM opening
+), fold(conv_id, i, base, room, start, back) AS (
+  SELECT conv_id, i, base, room, i, back FROM opened WHERE i = 1
   UNION ALL
-  SELECT f.conv_id, t.i, CAST(CASE WHEN t.s - f.base > 512 - n_system THEN b.s - b.n ELSE f.base END AS DOUBLE),
-    CASE WHEN t.s - f.base > 512 - n_system THEN t.i ELSE f.start END
-  FROM fold f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1 JOIN sys ON sys.conv_id = f.conv_id
-    JOIN t b ON b.conv_id = f.conv_id AND b.i = greatest(1, f.i - 1)
-), wins AS (SELECT conv_id, start, max(i) AS last FROM fold GROUP BY 1, 2),
+  SELECT f.conv_id, o.i, CASE WHEN o.s - f.base > f.room THEN o.base ELSE f.base END, CASE WHEN o.s - f.base > f.room THEN o.room ELSE f.room END,
+    CASE WHEN o.s - f.base > f.room THEN o.i ELSE f.start END, CASE WHEN o.s - f.base > f.room THEN o.back ELSE f.back END
+  FROM fold f JOIN opened o ON o.conv_id = f.conv_id AND o.i = f.i + 1
+), wins AS (SELECT conv_id, start, any_value(back) AS back, max(i) AS last FROM fold GROUP BY 1, 2),
 sizes AS (
-  SELECT w.conv_id, sum(t.chars) + any_value(CASE WHEN start > 3 THEN sys.chars ELSE 0 END) AS chars
-  FROM wins w JOIN t ON t.conv_id = w.conv_id AND t.i BETWEEN greatest(1, start - 2) AND last JOIN sys ON sys.conv_id = w.conv_id
+  SELECT w.conv_id, sum(t.chars) + any_value(CASE WHEN back > 1 THEN sys.chars ELSE 0 END) AS chars
+  FROM wins w JOIN t ON t.conv_id = w.conv_id AND t.i BETWEEN back AND last JOIN sys ON sys.conv_id = w.conv_id
   GROUP BY w.conv_id, start
 ), formatted AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM sizes GROUP BY 1)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,

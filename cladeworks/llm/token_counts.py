@@ -3,8 +3,8 @@
 Texts go to Python in Arrow batches and only lengths come back. Inside a batch every text is
 split at boundaries that the byte-level pre-tokenizer always has (before a single blank or line
 feed between two non-blank characters, and between an ASCII letter and a digit of a long piece), so pieces
-can be encoded apart: equal pieces are encoded once, in groups of about equal bytes, and a long
-text never goes through the encoder as one string.
+can be encoded apart: equal pieces are encoded once, in groups of about equal bytes. A text without
+any such boundary, such as pages of one script without blanks, is one piece and is encoded whole.
 """
 
 from __future__ import annotations

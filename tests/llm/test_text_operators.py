@@ -228,19 +228,40 @@ def test_chat_round_trip_and_windows(spark):
         assert r.y == "".join(t for role, t in turns[r.conv_id] if role == "assistant")
         several += len(r.windows) > 1
         size = lambda t: math.ceil(len(t.encode()) / 4) + 4
+        all_turns = turns[r.conv_id]
+        system = all_turns[0][0] == "system"
         place = 0
-        for w in r.windows:
+        for nth, w in enumerate(r.windows):
             parts = w.formatted.split("</s>")[:-1]
             new = len(parts) - w.n_repeated
-            kept = turns[r.conv_id][max(0, place - 2) : place + new]
-            total = sum(size(t) for _, t in kept) + (size(turns[r.conv_id][0][1]) if turns[r.conv_id][0][0] == "system" and place > 2 else 0)
-            assert new >= 1 and (total <= 120 or new == 1)
-            if place and turns[r.conv_id][0][0] == "system":
-                assert parts[0].startswith("<s>[INST]system")
+            head = "".join(parts[: w.n_repeated][:1])
+            led = system and w.n_repeated and place > w.n_repeated - 1 and head.startswith("<s>[INST]system") and all_turns[place - w.n_repeated][0] != "system"
+            back = w.n_repeated - bool(led)
+            assert back <= 2 and new >= 1
+            cost = lambda h, n: sum(size(t) for _, t in all_turns[place - h : place + n]) + (size(all_turns[0][1]) if system and place > h else 0)
+            assert cost(back, new) <= 120 or (new == 1 and back == 0)
+            assert bool(led) == (system and place > back)
+            if back < min(2, place):  # one turn more of history wouldn't have fitted
+                assert cost(back + 1, 1) > 120
+            if place + new < len(all_turns):  # nor one new turn more
+                assert cost(back, new + 1) > 120
             place += new
+        assert place == len(all_turns)
     assert several > 5
 
 
+def test_sums_of_long_conversations(spark):
+    rng = random.Random(14)
+    rows = [[rng.randrange(100) for _ in range(n)] for n in (0, 1, 255, 256, 257, 3000)]
+    df = spark.createDataFrame([(x,) for x in rows], "v array<bigint>").select("v", chat_format.running_sums(F.col("v")).alias("s"))
+    for r in df.collect():
+        assert r.s == list(itertools.accumulate(r.v))
+    turns = spark.range(5000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("some words here").alias("text"))
+    began = time.perf_counter()
+    assert sum(w.formatted.count("</s>") - w.n_repeated for w in chat_format.format_conversations(turns).first().windows) == 5000
+    assert time.perf_counter() - began < 60
+
+
 # --- 7: URLs
 
 RULES = [("block", "com/"), ("allow", "a.com/x"), ("block", "b.a.com/x/y"), ("block", "a.com/x/"), ("allow", "net/q"), ("block", "com/x/yy")]
