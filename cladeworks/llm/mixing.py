@@ -4,8 +4,9 @@ Every source is cut into blocks of documents in hashed order. With target weight
 0) may start at slot floor(j/w) and must be placed before slot ceil((j+1)/w); placing in every slot
 the released block of the earliest deadline keeps each source within one block of its share at every slot.
 Weights are rounded to whole numbers of a period of slots, so the schedule repeats: one period,
-whose size depends on the number of sources only, is scheduled by the driver, and each
-block finds its slot from its number by arithmetic, in parallel.
+with a row per slot and so a size that depends on the number of sources only, is scheduled by the driver. A block finds
+its slot from its number in its source, and its place in the mix from running counts of documents over periods and
+slots, which are summed in parallel over small rows; documents are shuffled once.
 
 A source that runs out leaves its slots empty; the others keep their order and so their shares among
 themselves. No document is dropped or repeated.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 BLOCK_DOCS = 16  # documents in a block
 BUCKET_DOCS = 1_000  # documents of a source that are numbered together
 PERIOD = 1024  # slots of a period at least; 16 for each source
+GROUP = 1024  # periods that are summed together
 
 
 def whole_weights(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -34,8 +36,12 @@ def whole_weights(weights: Mapping[str, float], period: int) -> dict[str, int]:
     spare = period - sum(slots.values())
     for i in range(max(0, spare)):
         slots[by_rest[i % len(by_rest)]] += 1
+    largest = [(-n, s) for s, n in slots.items()]
+    heapq.heapify(largest)
     for _ in range(max(0, -spare)):
-        slots[max(slots, key=lambda s: (slots[s], s))] -= 1
+        n, s = largest[0]
+        slots[s] -= 1
+        heapq.heapreplace(largest, (n + 1, s))
     return slots
 
 
@@ -55,8 +61,8 @@ def one_period(slots: Mapping[str, int]) -> list[str]:
     return out
 
 
-def numbered(df: DataFrame, source: Column) -> DataFrame:
-    """Add _n, the 0-based number of a row in its source by hashed id, and _total, the source's rows.
+def _numbered(df: DataFrame, source: Column) -> tuple[DataFrame, DataFrame]:
+    """Documents with _source, _bucket and _row, their 0-based number there, and buckets with their _size and the _offset of their first row.
 
     A source's rows are spread over buckets by hash, as many as its size asks for; only rows of one
     bucket are sorted together, and buckets start where the counts of those before them end.
@@ -69,13 +75,15 @@ def numbered(df: DataFrame, source: Column) -> DataFrame:
     placed = named.join(F.broadcast(counts), "_source").withColumn("_bucket", F.pmod(F.shiftright("_order", 20), buckets))
     sizes = placed.groupBy("_source", "_bucket").agg(F.count("*").alias("_size"))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_source", "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_order", "doc_id")
-    return (
-        placed.withColumn("_row", F.row_number().over(inside) - 1)
-        .join(offsets, ["_source", "_bucket"])
-        .withColumn("_n", F.col("_offset") + F.col("_row"))
-    )
+    offsets = sizes.select("_source", "_bucket", "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_source", "_bucket").orderBy("_order", *[c for c in ("doc_id",) if c in df.columns])
+    return placed.withColumn("_row", (F.row_number().over(inside) - 1).cast("long")), offsets
+
+
+def numbered(df: DataFrame, source: Column) -> DataFrame:
+    """Add _n, the 0-based number of a row in its source by hashed id."""
+    rows, buckets = _numbered(df, source)
+    return rows.join(buckets, ["_source", "_bucket"]).withColumn("_n", F.col("_offset") + F.col("_row"))
 
 
 def target_weights(df: DataFrame, power: float) -> dict[str, float]:
@@ -88,54 +96,71 @@ def named_source() -> Column:
     return F.coalesce(F.col("source").cast("string"), F.lit(""))
 
 
+def _block_places(blocks: DataFrame) -> DataFrame:
+    """Add _start, the documents before a row, to rows (_period, slot, _offset, _docs), in order of slot, then offset."""
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda w: F.coalesce(F.sum("_docs").over(upto(w)), F.lit(0))
+    group = F.floor(F.col("_period") / GROUP)
+    periods = blocks.groupBy("_period").agg(F.sum("_docs").alias("_docs")).withColumn("_group", group)
+    groups = periods.groupBy("_group").agg(F.sum("_docs").alias("_docs"))  # one row for GROUP periods of PERIOD blocks
+    ahead = groups.select("_group", before(Window.orderBy("_group")).alias("_ahead"))
+    starts = periods.withColumn("_inside", before(Window.partitionBy("_group").orderBy("_period"))).join(ahead, "_group")
+    placed = blocks.withColumn("_within", before(Window.partitionBy("_period").orderBy("slot", "_offset")))
+    return placed.join(starts.select("_period", (F.col("_inside") + F.col("_ahead")).alias("_first")), "_period").withColumn(
+        "_start", F.col("_first") + F.col("_within")
+    )
+
+
 def mix(df: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.7) -> DataFrame:
     """Add block, slot and position (0-based, dense: the mixed order) to every document.
 
     Target weights are per source; None takes size to the given power. Sources without a weight
-    get the least given one; weights must be above 0. A null source is the source ''. Order inside a
+    get the least given one; no weights at all, or one that is not above 0, is a ValueError. A null source is the source ''. Order inside a
     source is by hash of id and, where there is one, text, then id; rows alike in these are interchangeable. Input
-    columns named block, slot or position are replaced; an empty table stays empty.
+    columns named block, slot or position are replaced, all others come back as they are; an empty table stays empty.
     """
     spark = df.sparkSession
+    if weights is not None and (not weights or not all(w > 0 for w in weights.values())):
+        raise ValueError("weights must name one source at least, each with a number above 0")
     if weights is None:
         weights = target_weights(df, power)
     else:
-        known = [r["s"] for r in df.select(named_source().alias("s")).distinct().collect()]
+        known = [r["s"] for r in df.select(named_source().alias("s")).distinct().collect()]  # one row per source
         weights = {s: weights.get(s, min(weights.values())) for s in known}
     out = df.drop("block", "slot", "position")
     if not weights:
         return out.withColumns({c: F.lit(None).cast("long") for c in ("block", "slot", "position")})
     period = max(PERIOD, 16 * len(weights))
     slots = whole_weights(weights, period)
-    schedule = one_period(slots)
-    # of each slot of the period: its source, the how-manieth of that source, all sources' counts before it
-    names = sorted(slots)
-    seen = dict.fromkeys(names, 0)
+    # of each slot of the period: its source, and the how-manieth of that source it is
+    seen = dict.fromkeys(slots, 0)
     rows = []
-    for offset, source in enumerate(schedule):
-        rows.append((source, seen[source], slots[source], offset, [seen[s] for s in names]))
+    for at, source in enumerate(one_period(slots)):
+        rows.append((source, seen[source], at, slots[source]))
         seen[source] += 1
-    template = spark.createDataFrame(rows, "_source string, _turn long, _slots long, _at long, _before array<long>")
-    sizes = (
-        out.groupBy(named_source().alias("_source")).agg(F.count("*").alias("_size"))
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_source", "_size"))), lambda x: x["_size"]).alias("_sizes"))
-    )
-    in_period = F.array(*[F.lit(slots[s]) for s in names])
-    per_source = F.lit(BLOCK_DOCS).cast("long")
-    block = F.floor(F.col("_n") / per_source)
-    placed = (
-        numbered(out, named_source()).withColumn("block", block)
-        .join(F.broadcast(spark.createDataFrame(list(slots.items()), "_source string, _slots long")), "_source")
+    template = spark.createDataFrame(rows, "_source string, _turn long, _at long, _slots long")
+    # the input row travels in one column, so its names can't clash with those used here
+    told = [c for c in ("doc_id", "text") if c in out.columns]
+    packed = out.select(F.struct(*[F.col(c) for c in out.columns]).alias("_all"), *told, named_source().alias("_mixed"))
+    documents, buckets = _numbered(packed, F.col("_mixed"))
+    per_block = F.lit(BLOCK_DOCS).cast("long")
+    stop = F.col("_offset") + F.col("_size")
+    spans = F.sequence(F.floor(F.col("_offset") / per_block), F.floor((stop - 1) / per_block))
+    per_source = template.where("_turn = 0").select("_source", "_slots")
+    blocks = (
+        buckets.withColumn("block", F.explode(spans)).join(per_source, "_source")
+        .withColumn("_docs", F.least(stop, (F.col("block") + 1) * per_block) - F.greatest("_offset", F.col("block") * per_block))
         .withColumns({"_turn": F.col("block") % F.col("_slots"), "_period": F.floor(F.col("block") / F.col("_slots"))})
-        .join(F.broadcast(template.drop("_slots")), ["_source", "_turn"])
-        .crossJoin(F.broadcast(sizes))  # one row
-    )
-    # documents before a slot: of each source its blocks so far, but no more than it has
-    earlier = F.aggregate(
-        F.arrays_zip(F.col("_before").alias("b"), in_period.alias("k"), F.col("_sizes").alias("n")),
-        F.lit(0).cast("long"),
-        lambda s, x: s + F.least((F.col("_period") * x["k"] + x["b"]) * per_source, x["n"]),
+        .join(template.drop("_slots"), ["_source", "_turn"])
+        .withColumn("slot", F.col("_period") * period + F.col("_at"))
+    )
+    # back to one row per bucket: its blocks, few as its documents are, in order
+    per_bucket = _block_places(blocks).groupBy("_source", "_bucket").agg(
+        F.first("_offset").alias("_offset"), F.array_sort(F.collect_list(F.struct("block", "slot", "_start"))).alias("_blocks")
     )
-    return placed.withColumns(
-        {"slot": F.col("_period") * period + F.col("_at"), "position": earlier + F.col("_n") % per_source}
-    ).select(*[F.col(c) for c in out.columns], "block", "slot", "position")
+    n = F.col("_offset") + F.col("_row")
+    block = F.floor(n / per_block)
+    mine = F.element_at("_blocks", (block - F.floor(F.col("_offset") / per_block) + 1).cast("int"))
+    placed = documents.join(per_bucket, ["_source", "_bucket"]).withColumns({"_n": n, "block": block, "_mine": mine})
+    position = F.col("_mine._start") + F.col("_n") - F.greatest("_offset", F.col("block") * per_block)
+    return placed.select("_all.*", "block", F.col("_mine.slot").alias("slot"), position.alias("position"))
