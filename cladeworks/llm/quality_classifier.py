@@ -115,7 +115,8 @@ def labelled_sample(df: DataFrame, labels: DataFrame, label: str, fit_rows: int)
     share = min(1.0, fit_rows / max(1, n))
     chosen = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     # at most about fit_rows rows of two numbers: small enough to broadcast at every input size
-    joined = df.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    texts = df.select(F.col("doc_id").alias("_doc_id"), text_or_empty().alias("text"))  # other columns may be named like those here
+    joined = texts.join(F.broadcast(chosen), F.col("_doc_id") == F.col("_id"))
     return joined.select(
         stats_of(text_or_empty()).alias("stats"), F.col("_label").alias("label"), fold_of(F.col("_id")).alias("fold")
     )

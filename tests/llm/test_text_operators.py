@@ -57,6 +57,85 @@ def test_neighbours_against_brute_force(docs):
         assert 0 <= row.near_next <= 1
 
 
+def plain_fingerprint(text):
+    """The fingerprint byte by byte, in whole numbers: every window and chunk is hashed anew."""
+    data, m64 = text.encode("utf-8", "surrogatepass"), (1 << 64) - 1
+
+    def mixed(x):
+        return (((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & m64) >> 40
+
+    def value(part):
+        total = 0
+        for b in reversed(part):
+            total = (total * 0x9E3779B97F4A7C15 + b + 1) & m64
+        return mixed(total)
+
+    triggers = [value(data[e - 7 : e]) for e in range(7, len(data) + 1)]
+
+    def signature(block):
+        out, start = "", 0
+        for e, v in enumerate(triggers, 7):
+            if v % block == block - 1 and len(out) < 63:
+                out += fingerprints.ALPHABET[value(data[start:e]) % 64]
+                start = e
+        return out + (fingerprints.ALPHABET[value(data[start:]) % 64] if start < len(data) else "")
+
+    if not data:
+        return "4::"
+    block = 4
+    while block * 64 < len(data):
+        block *= 2
+    while block > 4 and len(signature(block)) < 32:
+        block //= 2
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def plain_likeness(a, b):
+    """By the definition: twice the longest common subsequence over both lengths, at equal block sizes, given a run in common."""
+    if a == b:
+        return 1.0
+    (b1, *s1), (b2, *s2) = a.split(":"), b.split(":")
+    of = [{int(b1): s1[0], 2 * int(b1): s1[1]}, {int(b2): s2[0], 2 * int(b2): s2[1]}]
+    best = 0.0
+    for block in set(of[0]) & set(of[1]):
+        p, q = (re.sub(r"(.)\1{3,}", r"\1\1\1", x[block]) for x in of)
+        k = min(7, (min(len(p), len(q)) + 1) // 2)
+        if not k or not any(p[i : i + k] in q for i in range(len(p) - k + 1)):
+            continue
+        row = [0] * (len(q) + 1)
+        for c in p:
+            last = row[:]
+            for j, d in enumerate(q):
+                row[j + 1] = last[j] + 1 if c == d else max(last[j + 1], row[j])
+        best = max(best, 2 * row[-1] / (len(p) + len(q)))
+    return best
+
+
+def test_fingerprints_against_plain_numbers():
+    rng = random.Random(18)
+    words = ["lorem", "ipsum", "é", "漢字", "12", "\n", "x" * 30]
+    texts = ["", "a", "abcdef", "abcdefg", "abcdefgh", "x" * 700, "ab" * 400, "The cat sat. " * 90, *[x or "" for x in ODD[:9]]]
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 500))) for _ in range(25)]
+    prints = [fingerprints.fingerprint(t) for t in texts]
+    assert prints == [plain_fingerprint(t) for t in texts]
+    pairs = [(a, b) for a in prints for b in prints]
+    pairs += [(fingerprints.fingerprint(t), fingerprints.fingerprint(t[: len(t) * 3 // 4] + u[: len(t) // 4])) for t, u in zip(texts, texts[1:])]
+    assert np.allclose(fingerprints.likeness(pairs), [plain_likeness(a, b) for a, b in pairs])
+
+
+def test_neighbours_by_plain_numbers(spark):
+    rng = random.Random(19)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "12", "é"]) for _ in range(rng.randint(0, 300))) for _ in range(60)]
+    texts[7] = texts[8] = texts[9] + " tail"
+    rows = [(i * 2, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in fingerprints.fingerprint_neighbours(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(9)).collect()}
+    for (doc_id, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
+        r, n = got[doc_id], len(text) // 4
+        own, edited = plain_fingerprint(text), plain_fingerprint(text[: len(text) - n] + following[:n])
+        assert (r.fingerprint, r.edited_fingerprint) == (own, edited)
+        assert math.isclose(r.near_edited, plain_likeness(own, edited)) and math.isclose(r.near_next, plain_likeness(own, plain_fingerprint(following)))
+
+
 def test_fingerprint_properties():
     rng = random.Random(2)
     text = "".join(rng.choice("abcdefgh ij") for _ in range(9000))
