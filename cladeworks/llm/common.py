@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladeworks.sources.stages import staged, unstaged
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the input tables with Spark's own reader (any path Spark can open)."""
@@ -20,21 +21,19 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see, as the session names it; a folder under /tmp where it names none, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-
-
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     The result has no lineage before the written files, so it survives lost executors
-    and is computed once however often it is used.
+    and is computed once however often it is used. All such tables of an application lie in one folder, which
+    `cladeworks.sources.stages.clear` deletes; dropped() deletes one of them.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cladeworks/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return staged(df, label)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the table behind a frame from cut() that nothing reads any more."""
+    unstaged(df)
 
 
 def shuffle_width(spark: SparkSession) -> int:

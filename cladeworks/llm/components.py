@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeworks.llm.common import cut
+from cladeworks.llm.common import cut, dropped
 
 SALTS = 8  # tasks that share the edges of one node
 
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = ends.join(salted, ["b", "salt"]).select("a", F.col("m").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(moved.unionByName(lower.withColumnRenamed("m", "b")).distinct(), "edges")
+        last, now = now, cut(moved.unionByName(lower.withColumnRenamed("m", "b")).distinct(), "edges")
+        dropped(last)
         before, mark = mark, _mark(now)
         if before == mark:
             break

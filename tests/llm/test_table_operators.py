@@ -1,5 +1,6 @@
 """Operators 2, 3, 4 and 10 and the pipeline against brute force and SQL."""
 
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -58,26 +59,83 @@ def brute_classes(rows, threshold=0.8):
 
 @pytest.mark.parametrize("block", [1000, 3])
 def test_classes_against_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(near_join, "BLOCK", block)
+    for name in ("BLOCK", "TEXTS", "MOST_TEXTS"):
+        monkeypatch.setattr(near_join, name, block)
     rows = [(i + 10, t) for i, t in enumerate(near_texts())]
-    rows += [rows[-1], (None, rows[-1][1]), (None, rows[20][1])]
+    rows += [rows[-1], (None, rows[-1][1]), (None, rows[20][1]), (15, rows[20][1]), (15, rows[3][1])]
     df = spark.createDataFrame([(i, t, "x", "s", 1, "clash") for i, t in rows], DOCS).repartition(3)
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in near_join.near_duplicates(df).collect()), key=str)
     assert got == brute_classes(rows)
     assert near_join.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_recall_of_the_forest():
-    depth = near_join.forest_depth()
-    assert 1 - (1 - near_join.THRESHOLD**depth) ** near_join.TREES >= near_join.RECALL > 1 - (1 - near_join.THRESHOLD ** (depth + 1)) ** near_join.TREES
+def test_one_row_of_each_class_stays(spark):
+    """Ids that repeat with other texts and null ids are told apart by text; wordless rows stay."""
+    long = [f"{c} " + " ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    rows = [(1, long[0]), (1, long[1]), (2, long[0] + " more"), (None, long[2]), (None, long[2] + " z"), (None, long[1]), (7, long[3]), (7, long[3]), (None, long[4]), (8, ""), (9, None), (9, "!!")]
+    df = spark.createDataFrame([(i, t, "x", "s", 1, "n") for i, t in rows], DOCS).repartition(4)
+    kept = near_join.keep_one(df)
+    assert kept.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    rest = {k: n for k, n in got.items() if k[0] is not None or k[1] == long[4]}
+    assert rest == {(1, long[0]): 1, (1, long[1]): 1, (7, long[3]): 1, (None, long[4]): 1, (8, ""): 1, (9, None): 1, (9, "!!"): 1}
+    assert sum(n for (i, t), n in got.items() if i is None and t != long[4]) == 1
+    assert near_join.keep_one(df.limit(0)).count() == 0
+
+
+def test_depth_follows_what_was_found():
+    """Few values are enough for copies; links at the threshold shorten the prefix to the bound, never further."""
+    least = near_join.forest_depth()
+    assert near_join.met_share(0.8, least) >= near_join.RECALL > near_join.met_share(0.8, least + 1)
+    assert near_join.forest_depth({0.99: 1000.0}) == near_join.DEEPEST
+    depths = [near_join.forest_depth({0.99: 1000.0, 0.8: n}) for n in (0.0, 1.0, 20.0, 1e6)]
+    assert depths == sorted(depths, reverse=True) and depths[0] == near_join.DEEPEST and depths[-1] == least
+    assert near_join.forest_depth({0.75: 5.0}) == least
+
+
+def set_pair(rng, common, each):
+    pool = rng.integers(0, 1 << 63, common + 2 * each, np.uint64)
+    return np.sort(pool[: common + each]), np.sort(np.concatenate([pool[:common], pool[common + each :]]))
+
+
+def test_recall_at_and_below_the_threshold():
+    """Of pairs at 0.8 all but a few pass the forest and the screen; of pairs at 0.3 hardly any."""
     rng = np.random.default_rng(2)
-    met = 0
-    for _ in range(300):
-        pool = rng.integers(0, 1 << 63, 120, np.uint64)
-        a, b = pool[:108], np.concatenate([pool[:96], pool[108:]])  # 96 of 120 in common: similarity 0.8
-        keys = [near_join.prefixes(near_join.minhashes(np.sort(x), near_join.TREES * depth), depth) for x in (a, b)]
-        met += bool((keys[0] == keys[1]).any())
-    assert met >= 298
+    depth = near_join.forest_depth()
+    passed = {}
+    for name, common, each in (("at", 96, 12), ("long", 4800, 600), ("below", 36, 42)):
+        passed[name] = 0
+        for _ in range(300):
+            values = [near_join.minhashes(x, near_join.TREES * near_join.DEEPEST) for x in set_pair(rng, common, each)]
+            low = [(v & 0xFFFF).reshape(near_join.TREES, -1)[:, :depth] for v in values]
+            sketch = [np.frombuffer(near_join.forest_paths(v)[1], np.uint8) for v in values]
+            passed[name] += bool((low[0] == low[1]).all(axis=1).any() and (sketch[0] == sketch[1]).mean() >= near_join.SCREEN)
+    assert passed["at"] >= 299 and passed["long"] >= 299 and passed["below"] <= 3
+
+
+def test_minhash_estimates_similarity():
+    rng = np.random.default_rng(4)
+    for common, each in ((90, 5), (400, 100), (3000, 1500)):
+        shares = []
+        for _ in range(30):
+            a, b = (near_join.minhashes(x, 128) for x in set_pair(rng, common, each))
+            shares.append((a == b).mean())
+        assert abs(np.mean(shares) - common / (common + 2 * each)) < 0.03
+
+
+def test_depth_is_measured_on_the_table(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(0, 300, 5)]  # alike at about 0.96
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    seen = []
+    real = near_join.forest_depth
+    try:
+        near_join.forest_depth = lambda *a, **k: seen.append(real(*a, **k)) or seen[-1]
+        got = near_join.near_duplicates(df).collect()
+    finally:
+        near_join.forest_depth = real
+    assert seen[0] > real() and {r.class_id for r in got} == {0} and all(r.n_links == len(texts) - 1 for r in got)
 
 
 def test_common_counts():
@@ -85,6 +143,8 @@ def test_common_counts():
     sets = [np.unique(rng.integers(0, 50, rng.integers(1, 40)).astype(np.uint64)) for _ in range(9)]
     got = near_join.common_counts(sets)
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(9) for j in range(9) if i != j)
+    wide = [np.unique(rng.integers(0, 1 << 64, 400, np.uint64) >> np.uint64(55) << np.uint64(55)) for _ in range(6)]
+    assert (near_join.common_counts(wide) == near_join.common_counts(wide, most=100)).all()
 
 
 def test_components(spark):
@@ -136,6 +196,24 @@ def test_period_is_earliest_deadline_first():
             done[source] += 1
 
 
+def test_many_sources_and_odd_columns(spark, monkeypatch):
+    """5,000 sources: one row per slot, no product of sources; input columns keep their names and values."""
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 50)
+    df = spark.range(12_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") < 4000, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 4999).cast("string"))).alias("source"),
+        F.lit("a").alias("_source"), F.lit(5).alias("_n"), F.lit(None).cast("int").alias("_all"),
+    )
+    rows = mixing.mix(df).collect()
+    assert sorted(r.position for r in rows) == list(range(12_000)) and {(r["_source"], r["_n"], r["_all"]) for r in rows} == {("a", 5, None)}
+    by_place = sorted(rows, key=lambda r: r.position)
+    assert [r.slot for r in by_place] == sorted(r.slot for r in by_place)
+    assert max(Counter(r.slot for r in rows).values()) <= mixing.BLOCK_DOCS
+    for bad in ({}, {"hot": 0.0}, {"hot": -1.0}):
+        with pytest.raises(ValueError):
+            mixing.mix(df, bad)
+    assert mixing.mix(df.limit(0), {"hot": 1.0}).count() == 0
+
+
 def test_hot_sources_are_numbered_in_buckets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_DOCS", 10)
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
@@ -199,6 +277,58 @@ def test_odd_rows_and_missing_labels(spark):
     assert quality_classifier.score(docs.limit(0), model).count() == 0
 
 
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, f"some text {i} " * (i + 1), 1, 2, 3) for i in range(30)], "doc_id bigint, text string, _id int, _label int, fold int")
+    model = quality_classifier.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id bigint, quality int"))
+    assert quality_classifier.score(docs, model).select("_id", "_label", "fold", "score").count() == 30
+
+
+def test_normal_equations_against_direct_ridge(spark):
+    """The weights that partitions' sums give are those of one ridge regression over all fitted rows."""
+    rng = random.Random(15)
+    texts = [" ".join(rng.choice(["Good", "words.", "1|2", "!!", "and", "more", "##"]) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    labels = [int(t.count("!!") * 8 < len(t.split())) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(7)
+    model = quality_classifier.fit(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id bigint, quality int"), n_features=40)
+    fold = [zlib.crc32(str(i).encode()) % quality_classifier.FOLDS for i in range(400)]
+    stats = np.array([quality_classifier.text_stats(t) for t in texts])
+    known = np.array(fold) != 0
+    assert np.allclose(model.mean, stats[known].mean(axis=0)) and np.allclose(model.scale, np.maximum(stats[known].std(axis=0), 1e-6))
+    fitted = np.array(fold) > 1
+    x, y = model.features(stats[fitted]), np.array(labels, float)[fitted]
+    n, width = x.shape
+    # the same minimum by least squares on stacked rows
+    stacked = np.vstack([x / np.sqrt(n), np.sqrt(quality_classifier.RIDGE / 40) * np.eye(width)])
+    direct = np.linalg.lstsq(stacked, np.append(y / np.sqrt(n), np.zeros(width)), rcond=None)[0]
+    assert np.allclose(model.raw(stats), model.features(stats) @ direct, atol=1e-6)
+
+
+def test_features_approximate_the_gaussian_kernel():
+    rng = np.random.default_rng(16)
+    k, n = len(quality_classifier.STATS), 20_000
+    model = quality_classifier.Model(np.zeros(k), np.ones(k), rng.normal(0, 1 / np.sqrt(k), (k, n)), rng.uniform(0, 2 * np.pi, n), np.zeros(n + 1), np.array([]), np.array([]))
+    x = rng.normal(0, 1, (30, k))
+    wave = model.features(x)[:, :-1]
+    exact = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * k))
+    assert np.abs(wave @ wave.T - exact).max() < 0.05
+
+
+def test_calibration_against_all_monotone_fits():
+    """Pooled levels are the least squares fit among monotone sequences: those of every way to cut the points into runs."""
+    rng = np.random.default_rng(17)
+    for _ in range(20):
+        n = 8
+        y, w = rng.random(n), rng.integers(1, 5, n).astype(float)
+        best = None
+        for cuts in itertools.product([0, 1], repeat=n - 1):
+            runs = np.split(np.arange(n), [i + 1 for i, c in enumerate(cuts) if c])
+            level = np.concatenate([np.full(len(r), np.average(y[r], weights=w[r])) for r in runs])
+            if (np.diff(level) >= 0).all() and (best is None or (w * (y - level) ** 2).sum() < (w * (y - best) ** 2).sum() - 1e-12):
+                best = level
+        _, levels = quality_classifier.isotonic(np.arange(n, dtype=float), y * w, w)
+        assert np.allclose(np.unique(best.round(9)), np.unique(levels.round(9)))
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(8)
     x = np.sort(rng.normal(size=50))
@@ -208,6 +338,27 @@ def test_isotonic_is_monotone():
 
 # --- the pipeline
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, empty texts and an empty table pass through every stage."""
+    long = " ".join(f"Word{i} is here." for i in range(200))
+    rows = [(1, long, "en", "a", 5), (1, long, "en", "a", 5), (2, long + " tail", "en", "a", None), (None, None, None, None, None), (None, "", None, None, 0), (3, "   ", "xx", "", 3), (None, long, "en", None, 9), (4, "a@b.cc and words", "en", "b", 16)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows += [(i, f"Plain text number {i} with words enough to read.", "en", "a", 40) for i in range(10, 60)]
+    spark.createDataFrame([(i, i % 5 != 0) for i in range(10, 60)], "doc_id bigint, ok boolean").selectExpr("doc_id", "cast(ok as int) quality", "0 toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "nothing of this occurs"), (None, "x"), (2, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            n, had = out.count(), table.count()
+            assert n <= had and (name in ("quality", "near_duplicates") or n == had), name
+            if name != "mixing":
+                assert out.columns == docs.columns
+    near = near_join.keep_one(docs).collect()
+    assert sum(r.text is not None and r.text.startswith("Word0") for r in near) == 1
+    assert Counter(r.doc_id for r in near if not (r.text or "").strip()) == {None: 1, 3: 1}  # a null and an empty text of one id are alike
+
+
 def test_each_stage_takes_effect(spark, tmp_path):
     documents = spark.read.parquet(f"{LARGER}/documents.parquet")
     docs, seen = documents, {}
