@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 BLOCK_DOCS = 16  # documents in a block
 BUCKET_DOCS = 1_000  # documents of a source that are numbered together
 PERIOD = 1024  # slots of a period at least; 16 for each source
-GROUP = 1024  # periods that are summed together
+PART = 128  # slots that are summed together, then parts, then groups of parts
 
 
 def whole_weights(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -97,18 +97,19 @@ def named_source() -> Column:
 
 
 def _block_places(blocks: DataFrame) -> DataFrame:
-    """Add _start, the documents before a row, to rows (_period, slot, _offset, _docs), in order of slot, then offset."""
+    """Add _start, the documents before a row, to rows (slot, _offset, _docs), in order of slot, then offset."""
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     before = lambda w: F.coalesce(F.sum("_docs").over(upto(w)), F.lit(0))
-    group = F.floor(F.col("_period") / GROUP)
-    periods = blocks.groupBy("_period").agg(F.sum("_docs").alias("_docs")).withColumn("_group", group)
-    groups = periods.groupBy("_group").agg(F.sum("_docs").alias("_docs"))  # one row for GROUP periods of PERIOD blocks
-    ahead = groups.select("_group", before(Window.orderBy("_group")).alias("_ahead"))
-    starts = periods.withColumn("_inside", before(Window.partitionBy("_group").orderBy("_period"))).join(ahead, "_group")
-    placed = blocks.withColumn("_within", before(Window.partitionBy("_period").orderBy("slot", "_offset")))
-    return placed.join(starts.select("_period", (F.col("_inside") + F.col("_ahead")).alias("_first")), "_period").withColumn(
-        "_start", F.col("_first") + F.col("_within")
-    )
+    parted = blocks.withColumn("_part", F.floor(F.col("slot") / PART))
+    parts = parted.groupBy("_part").agg(F.sum("_docs").alias("_docs")).withColumn("_group", F.floor(F.col("_part") / PART))
+    groups = parts.groupBy("_group").agg(F.sum("_docs").alias("_docs")).withColumn("_top", F.floor(F.col("_group") / PART))
+    tops = groups.groupBy("_top").agg(F.sum("_docs").alias("_docs"))  # one row for PART * PART * PART slots
+    high = tops.select("_top", before(Window.orderBy("_top")).alias("_high"))
+    middle = groups.withColumn("_middle", before(Window.partitionBy("_top").orderBy("_group"))).join(high, "_top")
+    low = parts.withColumn("_low", before(Window.partitionBy("_group").orderBy("_part"))).join(middle.select("_group", "_middle", "_high"), "_group")
+    within = before(Window.partitionBy("_part").orderBy("slot", "_offset"))
+    first = low.select("_part", (F.col("_low") + F.col("_middle") + F.col("_high")).alias("_first"))
+    return parted.withColumn("_within", within).join(first, "_part").withColumn("_start", F.col("_first") + F.col("_within"))
 
 
 def mix(df: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.7) -> DataFrame:
