@@ -45,6 +45,10 @@ class CurriculumConfig:
     def __post_init__(self) -> None:
         if not 0 < self.phase1_end < self.phase2_end <= 1:
             raise ValueError("phases must end in order, between 0 and 1")
+        if self.epochs < 1 or self.anneal_epochs < 1:
+            raise ValueError("numbers of epochs must be 1 at least")
+        if self.alpha_start <= 0 or self.alpha_end <= 0:
+            raise ValueError("alphas must be above 0")
 
 
 @dataclass(frozen=True)
@@ -55,8 +59,23 @@ class ModelConfig:
     curvature: float = 1.0
 
     def __post_init__(self) -> None:
-        if self.top_k > self.n_experts:
-            raise ValueError("top_k is above the number of experts")
+        if not 1 <= self.top_k <= self.n_experts:
+            raise ValueError("top_k must lie between 1 and the number of experts")
+        if self.temperature <= 0 or self.curvature <= 0:
+            raise ValueError("temperature and curvature must be above 0")
+
+
+@dataclass(frozen=True)
+class LossConfig:
+    contrastive: float = 1.0
+    balance: float = 0.01
+    hierarchy: float = 0.325
+    rank: float = 0.275
+    radius: float = 0.01
+
+    def __post_init__(self) -> None:
+        if min(dataclasses.astuple(self)) < 0:
+            raise ValueError("weights of losses must not be below 0")
 
 
 @dataclass(frozen=True)
@@ -64,22 +83,39 @@ class Config:
     sampling: SamplingConfig = field(default_factory=SamplingConfig)
     curriculum: CurriculumConfig = field(default_factory=CurriculumConfig)
     model: ModelConfig = field(default_factory=ModelConfig)
+    loss: LossConfig = field(default_factory=LossConfig)
 
 
 def from_dict(values: dict[str, dict[str, Any]]) -> Config:
     kinds = {f.name: f.default_factory for f in dataclasses.fields(Config)}
     unknown = sorted(set(values) - set(kinds))
+    unknown += sorted(f"{name}.{key}" for name, section in values.items() if name in kinds for key in set(section or {}) - {f.name for f in dataclasses.fields(kinds[name])})
     if unknown:
-        raise ValueError(f"unknown sections {unknown}")
-    return Config(**{name: kinds[name](**section) for name, section in values.items()})
+        raise ValueError(f"unknown settings {unknown}")
+    return Config(**{name: kinds[name](**(section or {})) for name, section in values.items()})
+
+
+def _yaml():
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("settings in YAML need the yaml package; JSON files don't") from e
+    return yaml
 
 
 def load(path: str | None) -> Config:
-    """Settings of a JSON file; all defaults without one."""
+    """Settings of a YAML or JSON file, by its ending; all defaults without one."""
     if path is None:
         return Config()
     with open(path, encoding="utf-8") as f:
-        return from_dict(json.load(f))
+        return from_dict(json.load(f) if path.endswith(".json") else _yaml().safe_load(f) or {})
+
+
+def save(config: Config, path: str) -> None:
+    """Write settings to a YAML or JSON file, by its ending; load() gives them back."""
+    values = dataclasses.asdict(config)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(json.dumps(values, indent=2) if path.endswith(".json") else _yaml().safe_dump(values, sort_keys=False))
 
 
 def parsed(text: str) -> Any:

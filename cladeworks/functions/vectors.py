@@ -25,8 +25,9 @@ def norm(v: Column) -> Column:
     return F.sqrt(norm_squared(v))
 
 
-def scaled(v: Column, k: Column) -> Column:
-    return F.transform(v, lambda x: x * k)
+def scaled(v: Column, factor: Column) -> Column:
+    """The vector times a number, which is computed once and not for every entry."""
+    return F.transform(F.array(factor), lambda f: F.transform(v, lambda x: x * f))[0]
 
 
 def added(u: Column, v: Column) -> Column:

@@ -2,24 +2,30 @@
 
 preprocess reads titles, descriptions, cross_references and examples and writes taxonomy;
 relations and distances read taxonomy, triplets reads distances and relations; all runs them in order.
-verify compares encodings before and after; investigate describes the distances.
+curriculum reads taxonomy, relations, distances and training_pairs and writes node_scores, relation_cardinality and
+difficulty_thresholds. verify compares encodings before and after; investigate describes the distances, report a training history;
+check looks whether the tables are there; config prints the settings (--settings FILE, and changes like sampling.seed=7).
 """
 
 from __future__ import annotations
 
 import argparse
+import dataclasses
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeworks.operators import metrics, pairs, pairwise, textetl, triplets
+from cladeworks import config
+from cladeworks.operators import control, evaluation, graph, metrics, pairs, pairwise, textetl, triplets
 from cladeworks.session import session
 from cladeworks.sources import artifacts
 from cladeworks.sources.stages import staged
 
 REQUIRED = {
     "titles": ["index", "code", "title"], "descriptions": ["code", "description"], "cross_references": ["code", "ord", "excluded"], "examples": ["code", "ord", "examples"],
+    "training_pairs": ["anchor_idx", "positive_idx", "negative_idx", "margin"], "history": ["run", "epoch", "train_loss", "val_loss", "mrr", "phase", "plateau", "action"],
     "taxonomy": ["index", "level", "code", "excluded_codes"], "relations": ["idx_i", "idx_j", "code_i", "code_j", "relation_id", "relation"], "distances": ["idx_i", "idx_j", "code_i", "code_j", "distance"],
 }
 
@@ -78,17 +84,54 @@ def investigate(spark: SparkSession, data: str) -> None:
     pairs.counts_by(read(spark, data, "distances"), "distance").orderBy("distance").show(50)
 
 
+def curriculum(spark: SparkSession, data: str) -> None:
+    """Scores of nodes, classes of relations and difficulty limits, each written as a table."""
+    both = staged(read(spark, data, "relations").join(read(spark, data, "distances"), ["idx_i", "idx_j", "code_i", "code_j"]), "pairs")
+    nodes = read(spark, data, "taxonomy").select(F.col("index").alias("id"), "level")
+    edges = both.where("relation_id = 1").select(F.col("idx_i").alias("src"), F.col("idx_j").alias("dst"))
+    artifacts.write_single(graph.node_scores(edges, nodes), f"{data}/node_scores")
+    artifacts.write_single(graph.relation_cardinality(both), f"{data}/relation_cardinality")
+    artifacts.write_single(graph.difficulty_thresholds(both, read(spark, data, "training_pairs")), f"{data}/difficulty_thresholds")
+
+
+def curriculum_tables(spark: SparkSession, data: str) -> dict[str, DataFrame]:
+    """What curriculum() has written."""
+    return {name: spark.read.parquet(f"{data}/{name}") for name in ("node_scores", "relation_cardinality", "difficulty_thresholds")}
+
+
+def report(spark: SparkSession, data: str) -> None:
+    history = read(spark, data, "history")
+    print(evaluation.report(control.phase_summary(history)))
+    evaluation.trends(history, "mrr").show(truncate=False)
+
+
+def check(spark: SparkSession, data: str) -> None:
+    found = artifacts.check_tables(spark, data, {n: REQUIRED[n] for n in ("taxonomy", "relations", "distances", "training_pairs")})
+    for kind, lines in (("error", found.errors), ("warning", found.warnings)):
+        for line in lines:
+            print(f"{kind}: {line}")
+    print("valid" if found.valid else "not valid")
+
+
 JOBS: dict[str, list[Callable[[SparkSession, str], None]]] = {
     "preprocess": [preprocess], "relations": [relations], "distances": [distances], "triplets": [training_pairs],
     "all": [preprocess, relations, distances, training_pairs], "verify": [verify], "investigate": [investigate],
+    "curriculum": [curriculum], "report": [report], "check": [check],
 }
 
 
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("job", choices=JOBS)
-    parser.add_argument("--data", required=True)
+    parser.add_argument("job", choices=[*JOBS, "config"])
+    parser.add_argument("changes", nargs="*", help="settings like sampling.seed=7, for config")
+    parser.add_argument("--data")
+    parser.add_argument("--settings")
     given = parser.parse_args(args)
+    if given.job == "config":
+        print(json.dumps(dataclasses.asdict(config.overridden(config.load(given.settings), *given.changes)), indent=2))
+        return
+    if not given.data:
+        parser.error("--data is required")
     spark = session(f"cladeworks-{given.job}")
     for job in JOBS[given.job]:
         job(spark, given.data)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Mapping
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,48 +34,68 @@ def hierarchy_preservation(pairs: DataFrame, weight: float, least: float = 0.1)
 def rank_order(pairs: DataFrame, margin: float = 0.1) -> DataFrame:
     """Mean hinge over (anchor, j, k) with j nearer than k in the tree but not by the margin in space; only active ones count.
 
-    Each anchor's pairs are one sorted array per tree distance, so triples are compared inside a row.
+    Triples are never formed: for each tree distance of an anchor, its pairs at that distance and all farther ones are sorted by
+    distance in space once, and running counts and sums give each pair what it meets.
     """
-    lists = pairs.groupBy("id_i", "t").agg(F.collect_list("d").alias("ds"))
-    near = lists.select("id_i", F.col("t").alias("tj"), F.col("ds").alias("dj"))
-    far = lists.select("id_i", F.col("t").alias("tk"), F.col("ds").alias("dk"))
-    both = near.join(far, "id_i").where("tj < tk")
+    levels = pairs.agg(F.array_sort(F.collect_set("t")).alias("_levels"))  # one row, as many entries as there are tree distances
+    near = pairs.select("id_i", F.col("t").alias("level"), (F.col("d") + margin).alias("key"), F.lit(0).alias("far"))
+    spread = pairs.crossJoin(F.broadcast(levels)).select("id_i", F.explode(F.filter("_levels", lambda x: x < F.col("t"))).alias("level"), F.col("d").alias("key"), F.lit(1).alias("far"))
+    before = Window.partitionBy("id_i", "level").orderBy("key", "far").rowsBetween(Window.unboundedPreceding, -1)
+    met = near.unionByName(spread).withColumns({"n": F.sum("far").over(before), "s": F.sum(F.col("far") * F.col("key")).over(before)}).where("far = 0 and n > 0")
+    total, active = F.sum(F.col("n") * F.col("key") - F.col("s")), F.sum("n")
+    return met.agg((F.coalesce(total, F.lit(0.0)) / F.greatest(F.coalesce(active, F.lit(0)), F.lit(1))).alias("loss"), active.alias("n_active"))
 
-    def hinge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, active = [], []
-            for a, b in zip(batch.column("dj"), batch.column("dk")):
-                gap = a.values.to_numpy()[:, None] - b.values.to_numpy()[None, :] + margin
-                total.append(float(gap[gap > 0].sum()))
-                active.append(int((gap > 0).sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(total, pa.float64()), pa.array(active, pa.int64())], ["total", "active"])
 
-    sums = both.select("dj", "dk").mapInArrow(hinge, "total double, active bigint")
-    return sums.agg((F.coalesce(F.sum("total"), F.lit(0.0)) / F.greatest(F.coalesce(F.sum("active"), F.lit(0)), F.lit(1))).alias("loss"), F.sum("active").alias("n_active"))
+def lambda_rank(pairs: DataFrame, k: int = 10, sigma: float = 1.0) -> DataFrame:
+    """Pairwise logistic loss weighted by the change of NDCG at k when two entries swap places; one number per anchor.
 
-
-def lambda_rank(rows: DataFrame, k: int = 10, sigma: float = 1.0) -> DataFrame:
-    """Pairwise logistic loss weighted by the change of NDCG at k when two entries swap places.
-
-    Rows are (anchor, d: distances, rel: relevances); entries are ranked by distance. One number per anchor.
+    pairs has (anchor, id_j, d: distance, rel: relevance); entries are ranked by distance, ties by id. Only swaps with one of
+    the first k places change the NDCG, so those are joined with an anchor's entries, and no two lists are compared whole.
     """
-
-    def per_anchor(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for d, rel in zip(batch.column("d"), batch.column("rel")):
-                d, rel = d.values.to_numpy(), rel.values.to_numpy()
-                place = np.empty(len(d))
-                place[np.argsort(d, kind="stable")] = np.arange(1, len(d) + 1)
-                discount = np.where(place <= k, 1 / np.log2(place + 1), 0.0)
-                ideal = (np.sort(rel)[::-1][:k] / np.log2(np.arange(2, min(k, len(d)) + 2))).sum()
-                i, j = np.nonzero(rel[:, None] > rel[None, :])
-                change = np.abs((rel[i] - rel[j]) * (discount[i] - discount[j])) / max(ideal, 1e-10)
-                cost = np.logaddexp(0, -sigma * (d[j] - d[i]))
-                out.append(float((change * cost).sum() / max(len(i), 1)))
-            yield pa.RecordBatch.from_arrays([batch.column("anchor"), pa.array(out, pa.float64())], ["anchor", "loss"])
-
-    return rows.select("anchor", "d", "rel").mapInArrow(per_anchor, "anchor bigint, loss double")
+    per = Window.partitionBy("anchor")
+    discount = lambda nth: F.when(F.col(nth) <= k, 1 / F.log2(F.col(nth) + 1)).otherwise(0.0)
+    ranked = pairs.select("anchor", "id_j", "d", "rel").withColumns({"nth": F.row_number().over(per.orderBy("d", "id_j")), "best": F.row_number().over(per.orderBy(F.desc("rel")))})
+    ideal = ranked.where(F.col("best") <= k).groupBy("anchor").agg(F.sum(F.col("rel") * discount("best")).alias("ideal"))
+    # pairs of unlike relevance: all pairs less those inside one
+    sizes = ranked.groupBy("anchor", "rel").agg(F.count("*").alias("n")).groupBy("anchor").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("unlike"))
+    entries = ranked.select("anchor", "d", "rel", "nth", discount("nth").alias("discount"))
+    top = entries.where(F.col("nth") <= k).select("anchor", *[F.col(c).alias(f"top_{c}") for c in ("d", "rel", "nth", "discount")])
+    both = entries.join(top, "anchor").where("rel <> top_rel and nth > top_nth")  # once each: the earlier place is the top one
+    change = F.abs((F.col("rel") - F.col("top_rel")) * (F.col("discount") - F.col("top_discount")))
+    ahead = F.when(F.col("rel") > F.col("top_rel"), F.col("top_d") - F.col("d")).otherwise(F.col("d") - F.col("top_d"))  # how much nearer the better one is
+    cost = F.log1p(F.exp(-F.abs(sigma * ahead))) + F.greatest(-sigma * ahead, F.lit(0.0))
+    sums = both.groupBy("anchor").agg(F.sum(change * cost).alias("total"))
+    joined = ideal.join(sizes, "anchor").join(sums, "anchor", "left")
+    loss = F.coalesce("total", F.lit(0.0)) / F.greatest("ideal", F.lit(1e-10)) / F.greatest("unlike", F.lit(1.0))
+    return joined.select("anchor", loss.alias("loss"))
+
+
+def weighted_total(terms: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """One row: the sum of (name, loss) rows by their weights; a term without a weight counts once, a null loss is 0."""
+    named = F.create_map(*[F.lit(x) for name, w in weights.items() for x in (name, float(w))]) if weights else F.lit(None).cast("map<string,double>")
+    return terms.agg(F.coalesce(F.sum(F.coalesce(F.try_element_at(named, F.col("name")), F.lit(1.0)) * F.coalesce("loss", F.lit(0.0))), F.lit(0.0)).alias("total"))
+
+
+def uncertainty_total(terms: DataFrame) -> DataFrame:
+    """One row: losses (name, loss, s) weighted by half of exp(-s), s the logarithm of a term's variance, which costs half of itself."""
+    return terms.agg(F.sum(0.5 * F.exp(-F.col("s")) * F.col("loss") + 0.5 * F.col("s")).alias("total"))
+
+
+def attention_layers(vecs: DataFrame, edges: DataFrame, layers: int, most: float = 3.0) -> DataFrame:
+    """(id, x) after some rounds of messages: vecs (id, x) on the hyperboloid, edges (src, dst, score).
+
+    In a round every tangent vector takes what comes along its edges, weighted by the softmax of the scores per target; its norm is
+    held at most and it goes back to the hyperboloid. Nodes without edges keep theirs.
+    """
+    weighed = softmax_by(edges, "dst", F.col("score")).select("src", "dst", "attention")
+    now = vecs.select("id", "x")
+    for _ in range(layers):
+        tangent = now.select("id", V.space(V.log_zero(F.col("x"))).alias("t"))
+        sent = weighed.join(tangent.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), F.posexplode("t").alias("i", "e"), "attention")
+        got = sent.groupBy("id", "i").agg(F.sum(F.col("attention") * F.col("e")).alias("m")).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda r: r["m"]).alias("m"))
+        moved = tangent.join(got, "id", "left").withColumn("t", F.when(F.col("m").isNull(), F.col("t")).otherwise(V.added(F.col("t"), F.col("m"))))
+        now = moved.select("id", V.exp_zero(V.capped(F.col("t"), most)).alias("x"))
+    return now
 
 
 def triplet(dp: Column, dn: Column, margin: Column | float, temperature: float = 1.0) -> Column:

@@ -21,9 +21,9 @@ FLOOR = 1e-8  # added to every probability before a divergence
 
 
 def distances(a: np.ndarray, b: np.ndarray, metric: str, least: float = 1 + 1e-5, c: float = 1.0) -> np.ndarray:
-    """Matrix of distances or similarities; lorentz, at curvature -c, holds c times the negative product at least as large as given."""
+    """Matrix of distances or similarities; lorentz holds the negative product at least as large as given and scales by the root of c."""
     if metric == "lorentz":
-        return np.arccosh(np.maximum(c * (2 * np.outer(a[:, 0], b[:, 0]) - a @ b.T), least)) / math.sqrt(c)
+        return np.arccosh(np.maximum(2 * np.outer(a[:, 0], b[:, 0]) - a @ b.T, least)) * math.sqrt(c)
     if metric == "dot":
         return a @ b.T
     if metric == "euclidean":

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cladeworks.functions import vectors as V
 from cladeworks.operators import control as C
+from cladeworks.operators import evaluation as R
 from cladeworks.operators import losses as L
 from cladeworks.operators import metrics as E
 from cladeworks.operators import pairwise as P
@@ -111,28 +112,12 @@ def employment_slice(spark, sf):
 
 def ridge_fit(spark, sf):
     """Log employment from two other columns of the slice by ridge regression."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    data = VectorAssembler(inputCols=["avg_estabs", "avg_wages"], outputCol="features").transform(employment_slice(spark, sf).na.drop())
-    model = LinearRegression(labelCol="log_avg_emp", regParam=1.0, elasticNetParam=0.0, standardization=True).fit(data)
-    out = model.transform(data).withColumn("e", F.col("prediction") - F.col("log_avg_emp"))
-    return out.agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), (1 - F.sum(F.col("e") * F.col("e")) / (F.var_pop("log_avg_emp") * F.count("*"))).alias("r2"), F.count("*").alias("n"))
+    return R.ridge(employment_slice(spark, sf), ["avg_estabs", "avg_wages"], "log_avg_emp")
 
 
 def label_classifier(spark, sf):
     """Labels from vectors by logistic regression on a hash split: accuracy and macro F1 on the rest."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    data = vectors(spark, sf).select("id", F.col("label").cast("double").alias("label"), array_to_vector("v").alias("features"))
-    part = F.pmod(F.xxhash64("id"), F.lit(5))
-    model = LogisticRegression(regParam=0.01, maxIter=30).fit(data.where(part != 0))
-    got = model.transform(data.where(part == 0)).select("label", "prediction")
-    per = got.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("prediction")).alias("tp"))
-    named = got.groupBy(F.col("prediction").alias("label")).agg(F.count("*").alias("p"))
-    f1 = per.join(named, "label", "left").select("tp", "n", (2 * F.col("tp") / (F.col("n") + F.coalesce("p", F.lit(0)))).alias("f1"))
-    return f1.agg((F.sum("tp") / F.sum("n")).alias("accuracy"), F.avg("f1").alias("macro_f1"), F.sum("n").alias("n"))
+    return R.classify(vectors(spark, sf), "v", "label", F.pmod(F.xxhash64("id"), F.lit(5)) == 0)
 
 
 def kmeans_euclidean(spark, sf):
@@ -171,10 +156,12 @@ def epoch_record(spark, sf):
     pairs = P.all_pairs(v, "lorentz", "x").withColumnRenamed("value", "d")
     li, lj = v.select(F.col("id").alias("id_i"), F.col("label").alias("a")), v.select(F.col("id").alias("id_j"), F.col("label").alias("b"))
     t = pairs.join(li, "id_i").join(lj, "id_j").withColumn("t", F.when(F.col("a") == F.col("b"), 0.5).otherwise(4.0))
-    coph = E.cophenetic(t).select(F.col("correlation").alias("cophenetic"), "n_pairs")
-    dist = E.distortion(t).select(F.col("mean").alias("distortion_mean"), F.col("std").alias("distortion_std"))
-    radius = v.agg(F.avg(V.radius(F.col("x"))).alias("radius_mean"), F.stddev_samp(V.radius(F.col("x"))).alias("radius_std"))
-    return _rounded(coph.crossJoin(dist).crossJoin(radius))  # one row each
+    return _rounded(R.epoch_record(t, v))
+
+
+def trend_report(spark, sf):
+    """Where each run's rank metric goes over its last three epochs."""
+    return _rounded(R.trends(_history(spark, sf), "mrr"))
 
 
 def relation_shares(spark, sf):
@@ -194,7 +181,7 @@ QUERIES = {
     for f in (
         curriculum_phase_flags, anneal_scalars, graph_schedule, loss_velocity, plateau_flags, phase_transitions, phase_summary, controller_replay, controller_phases,
         confidence_ema, events_tumbling, events_sliding, events_session, employment_slice, ridge_fit, label_classifier, kmeans_euclidean, log_metrics, wide_embeddings,
-        epoch_record, relation_shares,
+        epoch_record, trend_report, relation_shares,
     )
 }
 
@@ -235,6 +222,9 @@ SQL = {
     "employment_slice": """WITH r AS (SELECT CAST(l_partkey % 97 + 950 AS VARCHAR) AS c, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END AS q, l_tax, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE year(o_orderdate) = 1996 AND o_orderstatus = 'F')
       SELECT c AS industry_code, round(avg(q) + 1e-6, 5) AS avg_emp, round(avg(l_tax) + 1e-6, 5) AS avg_estabs, round(avg(l_extendedprice) + 1e-6, 5) AS avg_wages, round(ln(avg(q) + 1e-6), 5) AS log_avg_emp FROM r WHERE length(c) = 3 GROUP BY 1""",
     "log_metrics": f"""WITH {_HISTORY} SELECT run, epoch, floor(mrr * 10000) / 10000 AS cophenetic, floor(val_loss * 10000) / 10000 AS val_loss, CASE WHEN floor(mrr * 10000) / 10000 >= 0.7 THEN 'excellent' WHEN floor(mrr * 10000) / 10000 >= 0.5 THEN 'good' WHEN floor(mrr * 10000) / 10000 >= 0.3 THEN 'fair' ELSE 'poor' END AS grade FROM hist""",
+    "trend_report": f"""WITH {_HISTORY}, n AS (SELECT run, epoch, mrr, row_number() OVER (PARTITION BY run ORDER BY epoch DESC) AS nth FROM hist WHERE mrr IS NOT NULL),
+      a AS (SELECT run, max(epoch) AS epoch, max(mrr) FILTER (nth = 1) AS value, max(mrr) AS best, max(mrr) FILTER (nth = 1) - arg_max(mrr, nth) FILTER (nth <= 3) AS change FROM n GROUP BY 1)
+      SELECT run, epoch, round(value, 6) AS value, round(best, 6) AS best, round(change, 6) AS change, CASE WHEN change > 0.01 THEN 'improving' WHEN change < -0.01 THEN 'declining' ELSE 'stable' END AS trend FROM a""",
     "wide_embeddings": f"WITH {VECTORS} SELECT id, round(x[1], 6) AS time, round(sqrt(list_inner_product(v, v)), 6) AS norm FROM lifted",
     "epoch_record": f"""WITH {_LIFTED_PAIRS}, r AS (SELECT avg(x[1]) AS m, stddev_samp(x[1]) AS s FROM lifted) SELECT round(corr(d, t), 6) AS cophenetic, count(*) AS n_pairs, round(avg(d / t), 6) AS distortion_mean, round(stddev_samp(d / t), 6) AS distortion_std,
       round(any_value(m), 6) AS radius_mean, round(any_value(s), 6) AS radius_std FROM p, r""",

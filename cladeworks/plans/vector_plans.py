@@ -246,9 +246,46 @@ def rank_order_loss(spark, sf):
 
 
 def lambdarank_loss(spark, sf):
-    lists = _pairs(spark, sf, both=True).groupBy(F.col("id_i").alias("anchor")).agg(F.array_sort(F.collect_list(F.struct("id_j", "d", "t"))).alias("s"))
-    rows = lists.select("anchor", F.transform("s", lambda x: x["d"]).alias("d"), F.transform("s", lambda x: 4.5 - x["t"]).alias("rel"))
-    return _rounded(L.lambda_rank(rows))
+    return _rounded(L.lambda_rank(_pairs(spark, sf, both=True).select(F.col("id_i").alias("anchor"), "id_j", "d", (4.5 - F.col("t")).alias("rel"))))
+
+
+WEIGHTS = {"contrastive": 1.0, "balance": 0.01, "hierarchy": 1.0, "rank": 0.275, "radius": 1.0}
+
+
+def _terms(spark, sf):
+    parts = {
+        "contrastive": dcl_loss(spark, sf).select("loss"), "balance": load_balance(spark, sf).select(F.col("load_balance").alias("loss")), "hierarchy": hierarchy_loss(spark, sf),
+        "rank": rank_order_loss(spark, sf).select("loss"), "radius": level_radius_loss(spark, sf).select(F.col("penalty").alias("loss")),
+    }
+    out = None
+    for name, one in parts.items():
+        row = one.select(F.lit(name).alias("name"), "loss")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def total_loss(spark, sf):
+    """All loss terms by their weights, and weighted by their uncertainties (here 0, 0.1, 0.2 and so on)."""
+    terms = _terms(spark, sf)
+    s = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(WEIGHTS) for x in (n, i / 10)]), F.col("name"))
+    both = L.weighted_total(terms, WEIGHTS).crossJoin(L.uncertainty_total(terms.withColumn("s", s)).withColumnRenamed("total", "uncertain"))  # one row each
+    return _rounded(both, 5)
+
+
+def attention_layers(spark, sf):
+    """Two rounds of messages along the heap's edges, both ways."""
+    v = vectors(spark, sf)
+    _, edges = _heap(v)
+    both = edges.select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.lit(0.0).alias("score")).unionByName(edges.select(F.col("child").alias("src"), F.col("parent").alias("dst"), F.lit(0.5).alias("score")))
+    x = F.col("x")
+    return _rounded(L.attention_layers(v.select("id", "x"), both, 2).select("id", x[0].alias("time"), x[1].alias("first")), 5)
+
+
+def lorentz_curved(spark, sf):
+    """Nearest neighbours at another curvature: the order is the same, distances are scaled."""
+    v = vectors(spark, sf)
+    near = P.nearest(v, 3, "lorentz", vector="x", least=1.0, c=2.0)
+    return _rounded(near.select("id_i", "id_j", F.col("nth").cast("long").alias("nth"), F.col("value").alias("d")))
 
 
 def adaptive_margin(spark, sf):
@@ -349,7 +386,7 @@ QUERIES = {
         lorentz_lift, exp_log_roundtrip, manifold_check, parallel_transport, radius_by_label, lorentz_pairs, cosine_pairs, euclid_pairs, similarity_hist,
         knn_lorentz, hard_negatives, router_confusion_topk, router_mix, norm_adaptive_margin, false_negative_mask, false_negative_loss, pseudo_labels,
         moe_topk_gates, load_balance, router_entropy, nearest_softmax, edge_attention, kmeans_assign, frechet_means, kmeans_fit, cluster_agreement,
-        dcl_loss, triplet_loss, level_radius_loss, hierarchy_loss, rank_order_loss, lambdarank_loss, adaptive_margin, phase_losses,
+        lorentz_curved, total_loss, attention_layers, dcl_loss, triplet_loss, level_radius_loss, hierarchy_loss, rank_order_loss, lambdarank_loss, adaptive_margin, phase_losses,
         precision_recall_at_k, map_score, ndcg_at_k, ndcg_ranking, cophenetic, spearman_ordinal, distortion, collapse_check, radius_structure,
         retrieval_parent_child_sibling, taxonomy_reconstruction, industry_similarity, validation_metrics, verify_before_after,
     )
@@ -484,3 +521,23 @@ SQL = {
       SELECT round(avg(dp), 6) AS avg_positive_dist, round(avg(CAST(dp < list_min(dn) AS DOUBLE)), 6) AS relation_accuracy, round(avg(CAST(dp < list_min(dn) AS DOUBLE)), 6) AS top_k_accuracy,
       round(avg(len([e FOR e IN dn IF e < dp])), 6) AS mean_positive_rank, round(any_value(n), 6) AS avg_negative_dist, round(any_value(s), 6) AS distance_spread FROM r, m, g""",
 }
+SQL["total_loss"] = f"""WITH terms AS (
+  SELECT 1.0::DOUBLE AS w, 0.0::DOUBLE AS s, loss FROM ({SQL['dcl_loss']}) UNION ALL SELECT 0.01, 0.1, load_balance FROM ({SQL['load_balance']}) UNION ALL SELECT 1.0, 0.2, loss FROM ({SQL['hierarchy_loss']})
+  UNION ALL SELECT 0.275, 0.3, loss FROM ({SQL['rank_order_loss']}) UNION ALL SELECT 1.0, 0.4, penalty FROM ({SQL['level_radius_loss']}))
+SELECT round(sum(w * loss), 5) AS total, round(sum(0.5 * exp(-s) * loss + 0.5 * s), 5) AS uncertain FROM terms"""
+SQL["lorentz_curved"] = f"""WITH {VECTORS}, p AS (SELECT a.id AS id_i, b.id AS id_j, sqrt(2.0::DOUBLE) * {_D.format('a.x', 'b.x', '1.0')} AS d FROM lifted a JOIN lifted b ON a.id <> b.id)
+  SELECT id_i, id_j, nth, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id_i ORDER BY d, id_j) AS nth FROM p) WHERE nth <= 3"""
+
+
+def _layer_sql(n):
+    """One round over t{n - 1} (id, i, e): messages are added, the norm is held at 3, and the point is mapped there and back."""
+    return f"""g{n} AS MATERIALIZED (SELECT a.dst AS id, t.i, sum(a.a * t.e) AS m FROM att a JOIN t{n - 1} t ON t.id = a.src GROUP BY 1, 2),
+u{n} AS MATERIALIZED (SELECT t.id, t.i, t.e + coalesce(m, 0) AS e FROM t{n - 1} t LEFT JOIN g{n} g ON g.id = t.id AND g.i = t.i),
+n{n} AS MATERIALIZED (SELECT id, greatest(sqrt(sum(e * e)), 1e-8) AS n FROM u{n} GROUP BY 1),
+c{n} AS MATERIALIZED (SELECT u.id, u.i, u.e * least(1, 3.0::DOUBLE / n) AS e, least(n, 3.0::DOUBLE) AS n FROM u{n} u JOIN n{n} USING (id)),
+t{n} AS MATERIALIZED (SELECT id, i, sinh(n) / n * e * acosh(greatest(cosh(n), 1.00001)) / sinh(acosh(greatest(cosh(n), 1.00001))) AS e FROM c{n})"""
+
+
+SQL["attention_layers"] = f"""WITH {VECTORS}, {_HEAP}, b AS (SELECT parent AS src, child AS dst, 0.0::DOUBLE AS s FROM edges UNION ALL SELECT child, parent, 0.5 FROM edges),
+  att AS MATERIALIZED (SELECT src, dst, exp(s) / sum(exp(s)) OVER (PARTITION BY dst) AS a FROM b), t0 AS MATERIALIZED (SELECT id, unnest(range(1, 65)) AS i, unnest({_TANGENT}) AS e FROM lifted), {_layer_sql(1)}, {_layer_sql(2)}
+  SELECT id, round(cosh(any_value(n)), 5) AS time, round(max(sinh(n) / n * e) FILTER (i = 1), 5) AS first FROM c2 GROUP BY id"""

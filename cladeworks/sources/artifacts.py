@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from urllib.request import urlopen
 from xml.etree import ElementTree
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -157,6 +158,21 @@ def check_schema(df: DataFrame, required: Iterable[str], what: str) -> Checked:
     return Checked([f"{what}: columns {missing} are missing"] if missing else [])
 
 
+def check_tables(spark: SparkSession, data: str, required: Mapping[str, Iterable[str]]) -> Checked:
+    """Whether all tables of a folder can be read and have their columns; every fault is listed, none is raised."""
+    out = Checked()
+    for name, columns in required.items():
+        try:
+            df = spark.read.parquet(f"{data}/{name}")
+        except AnalysisException as e:
+            out = out.merged(Checked([f"{name}: {data}/{name} can't be read ({e.getCondition()})"]))
+            continue
+        out = out.merged(check_schema(df, columns, name))
+        if df.isEmpty():
+            out = out.merged(Checked(warnings=[f"{name}: no rows"]))
+    return out
+
+
 def table_stats(df: DataFrame) -> dict:
     """Rows and schema of a table."""
     return {"rows": df.count(), "schema": df.schema.simpleString()}

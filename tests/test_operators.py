@@ -177,11 +177,52 @@ def test_losses_by_hand(spark):
     assert abs(first(losses.contrastive(rows, 0.5))["loss"] - (2.0 - 4.0)) < 1e-9
     pairs = spark.createDataFrame([(0, 1, 1.0, 1.0), (0, 2, 0.5, 2.0)], "id_i int, id_j int, d double, t double")
     assert abs(first(losses.rank_order(pairs))["loss"] - 0.6) < 1e-9
-    lists = spark.createDataFrame([(0, [1.0, 2.0], [1.0, 0.0])], "anchor bigint, d array<double>, rel array<double>")
+    lists = spark.createDataFrame([(0, 1, 1.0, 1.0), (0, 2, 2.0, 0.0)], "anchor bigint, id_j bigint, d double, rel double")
     want = (1 - 1 / np.log2(3)) * np.log1p(np.exp(-1.0))
     assert abs(losses.lambda_rank(lists).first().loss - want) < 1e-9
 
 
+def test_list_losses_against_whole_lists(spark):
+    rng = np.random.default_rng(21)
+    rows = [(a, j, float(d), float(t)) for a in range(5) for j, (d, t) in enumerate(zip(rng.random(25).round(2) * 4, rng.choice([0.5, 2.0, 4.0], 25)))]
+    df = spark.createDataFrame(rows, "id_i bigint, id_j bigint, d double, t double")
+    gaps = [d - e + 0.1 for a, _, d, t in rows for b, _, e, u in rows if a == b and t < u]
+    active = [g for g in gaps if g > 1e-12]
+    got = losses.rank_order(df).first()
+    assert abs(got.loss * got.n_active - sum(active)) < 1e-6 and abs(got.n_active - len(active)) <= sum(abs(g) <= 1e-12 for g in gaps)
+    lists = df.select(F.col("id_i").alias("anchor"), "id_j", "d", (4.5 - F.col("t")).alias("rel"))
+    for r in losses.lambda_rank(lists, 6).collect():
+        d, rel = (np.array([x[k] for x in rows if x[0] == r.anchor]) for k in (2, 3))
+        rel = 4.5 - rel
+        place = np.empty(25)
+        place[np.argsort(d, kind="stable")] = np.arange(1, 26)
+        disc = np.where(place <= 6, 1 / np.log2(place + 1), 0)
+        ideal = (np.sort(rel)[::-1][:6] / np.log2(np.arange(2, 8))).sum()
+        costs = [abs((rel[i] - rel[j]) * (disc[i] - disc[j])) / ideal * np.log1p(np.exp(-(d[j] - d[i]))) for i in range(25) for j in range(25) if rel[i] > rel[j]]
+        assert abs(r.loss - np.mean(costs)) < 1e-9
+
+
+def test_totals_and_layers(spark):
+    terms = spark.createDataFrame([("a", 2.0), ("b", 3.0), ("c", None)], "name string, loss double")
+    assert first(losses.weighted_total(terms, {"b": 0.5}))["total"] == 3.5 and first(losses.weighted_total(terms.limit(0), {}))["total"] == 0.0
+    weighed = spark.createDataFrame([("a", 2.0, 0.0), ("b", 4.0, float(np.log(2.0)))], "name string, loss double, s double")
+    assert abs(first(losses.uncertainty_total(weighed))["total"] - (1 + 1 + 0.5 * np.log(2))) < 1e-9
+    rng = np.random.default_rng(22)
+    t = rng.normal(0, 0.4, (4, 3))
+    vecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(t)], "id bigint, t array<double>").select("id", V.exp_zero(F.col("t")).alias("x"))
+    edges = [(0, 1, 0.0), (2, 1, 1.0), (1, 0, 0.5)]
+    got = {r.id: r.x for r in losses.attention_layers(vecs, spark.createDataFrame(edges, "src bigint, dst bigint, score double"), 2).collect()}
+    for _ in range(2):
+        new = t.copy()
+        w = np.exp([0.0, 1.0]) / np.exp([0.0, 1.0]).sum()
+        new[1] = t[1] + w[0] * t[0] + w[1] * t[2]
+        new[0] = t[0] + t[1]
+        t = new * np.minimum(1, 3.0 / np.linalg.norm(new, axis=1))[:, None]
+    for i in range(4):
+        n = np.linalg.norm(t[i])
+        assert np.allclose(got[i], np.append(np.cosh(n), np.sinh(n) / n * t[i]), atol=1e-4)
+
+
 def test_gates_and_false_negatives(spark):
     df = spark.createDataFrame([([0.0, 2.0, 1.0],)], "l array<double>").select(F.explode(mining.gates(F.col("l"), 2)).alias("g"))
     got = {r.g.expert: r.g.weight for r in df.collect()}
