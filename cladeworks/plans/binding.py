@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeworks.functions import vectors as V
-from cladeworks.operators import pairs, taxonomy
+from cladeworks.operators import taxonomy
 from cladeworks.sources.stages import staged
 
 SECTORS = {0: "11", 1: "31", 2: "32", 3: "44", 4: "45"}
@@ -98,9 +98,15 @@ EXCLUDED = """excl AS (
     SELECT "index", code, lead(code, 1) OVER (ORDER BY "index") AS x, lead(code, 2) OVER (ORDER BY "index") AS y
     FROM nodes WHERE level = 6) WHERE "index" % 37 = 0)"""
 
-_RELATION = " ".join(f"WHEN a = {a} AND b = {b} THEN {{{i}}}" for i, (a, b) in enumerate(pairs.RELATIONS))
-_NUMBERS = _RELATION.format(*[k for k, _ in pairs.RELATIONS.values()])
-_LABELS = _RELATION.format(*[f"'{n}'" for _, n in pairs.RELATIONS.values()])
+# Fixed values, written out apart from the operators: steps from both sides to the common ancestor, number and name of the relation.
+_RELATIONS = (
+    (0, 1, 1, "child"), (1, 1, 2, "sibling"), (0, 2, 3, "grandchild"), (0, 3, 4, "great-grandchild"), (1, 2, 5, "nephew/niece"),
+    (0, 4, 6, "great-great-grandchild"), (2, 2, 7, "cousin"), (1, 3, 8, "grand-nephew/niece"), (1, 4, 9, "grand-grand-nephew/niece"),
+    (2, 3, 10, "cousin_1_times_removed"), (3, 3, 11, "second_cousin"), (2, 4, 12, "cousin_2_times_removed"),
+    (3, 4, 13, "second_cousin_1_times_removed"), (4, 4, 14, "third_cousin"),
+)
+_NUMBERS = " ".join(f"WHEN a = {a} AND b = {b} THEN {n}" for a, b, n, _ in _RELATIONS)
+_LABELS = " ".join(f"WHEN a = {a} AND b = {b} THEN '{name}'" for a, b, _, name in _RELATIONS)
 
 PAIRS = f"""kept AS (
   SELECT i."index" AS idx_i, j."index" AS idx_j, i.code AS code_i, j.code AS code_j, i.level AS li, j.level AS lj

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cladeworks.operators import graph as G
@@ -43,13 +44,15 @@ def pagerank(spark, sf):
 
 
 def kcore(spark, sf):
-    """Cores of the graph of suppliers that share a nation or a balance bracket."""
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey", F.floor(F.col("s_acctbal") / 250).alias("b"))
-    pairs = None
-    for key in ("s_nationkey", "b"):
-        one = s.select("id", key).join(s.select(F.col("id").alias("dst"), key), key).where("id < dst").select(F.col("id").alias("src"), "dst")
-        pairs = one if pairs is None else pairs.unionByName(one)
-    return G.kcore(G.mirrored(pairs.distinct()), s.select("id"))
+    """Cores of the graph of suppliers linked with the next ones of their nation, and the next few of their balance bracket."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey", F.floor(F.col("s_acctbal") / 250).alias("bracket"))
+    edges = None
+    for key, following in (("s_nationkey", 3), ("bracket", 2)):
+        order = Window.partitionBy(key).orderBy("id")
+        ahead = F.array_compact(F.array(*[F.lead("id", k).over(order) for k in range(1, following + 1)]))
+        one = s.select(F.col("id").alias("src"), ahead.alias("ahead")).select("src", F.explode("ahead").alias("dst"))
+        edges = one if edges is None else edges.unionByName(one)
+    return G.kcore(G.mirrored(edges.distinct()), s.select("id"))
 
 
 def node_composite(spark, sf):

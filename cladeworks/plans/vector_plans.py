@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cladeworks.functions import vectors as V
 from cladeworks.operators import cluster as K
+from cladeworks.operators import evaluation as R
 from cladeworks.operators import losses as L
 from cladeworks.operators import metrics as E
 from cladeworks.operators import mining as M
@@ -360,6 +361,19 @@ def industry_similarity(spark, sf):
     return _rounded(E.sibling_similarity(E.ranked(_pairs(spark, sf, both=True)), edges))
 
 
+def downstream_suite(spark, sf):
+    """Reconstruction, similarity, agreement of the labels with ids modulo 7, and classification over the same vectors."""
+    v = vectors(spark, sf)
+    clusters = v.select("label", (F.col("id") % 7).alias("cluster"))
+    return _rounded(R.downstream(_pairs(spark, sf, both=True), *_heap(v), v, clusters))
+
+
+def evaluation_run(spark, sf):
+    """All metrics of an epoch over the lifted vectors."""
+    pairs = _pairs(spark, sf, both=True)
+    return _rounded(R.evaluate(pairs.withColumn("d", F.round("d", 9)), vectors(spark, sf), F.col("t") == 0.5))
+
+
 def validation_metrics(spark, sf):
     return _rounded(E.validation(_rows(spark, sf), 3))
 
@@ -388,7 +402,7 @@ QUERIES = {
         moe_topk_gates, load_balance, router_entropy, nearest_softmax, edge_attention, kmeans_assign, frechet_means, kmeans_fit, cluster_agreement,
         lorentz_curved, total_loss, attention_layers, dcl_loss, triplet_loss, level_radius_loss, hierarchy_loss, rank_order_loss, lambdarank_loss, adaptive_margin, phase_losses,
         precision_recall_at_k, map_score, ndcg_at_k, ndcg_ranking, cophenetic, spearman_ordinal, distortion, collapse_check, radius_structure,
-        retrieval_parent_child_sibling, taxonomy_reconstruction, industry_similarity, validation_metrics, verify_before_after,
+        retrieval_parent_child_sibling, taxonomy_reconstruction, industry_similarity, validation_metrics, verify_before_after, downstream_suite, evaluation_run,
     )
 }
 
@@ -541,3 +555,7 @@ t{n} AS MATERIALIZED (SELECT id, i, sinh(n) / n * e * acosh(greatest(cosh(n), 1.
 SQL["attention_layers"] = f"""WITH {VECTORS}, {_HEAP}, b AS (SELECT parent AS src, child AS dst, 0.0::DOUBLE AS s FROM edges UNION ALL SELECT child, parent, 0.5 FROM edges),
   att AS MATERIALIZED (SELECT src, dst, exp(s) / sum(exp(s)) OVER (PARTITION BY dst) AS a FROM b), t0 AS MATERIALIZED (SELECT id, unnest(range(1, 65)) AS i, unnest({_TANGENT}) AS e FROM lifted), {_layer_sql(1)}, {_layer_sql(2)}
   SELECT id, round(cosh(any_value(n)), 5) AS time, round(max(sinh(n) / n * e) FILTER (i = 1), 5) AS first FROM c2 GROUP BY id"""
+SQL["evaluation_run"] = f"""WITH c AS ({SQL['cophenetic']}), s AS ({SQL['spearman_ordinal']}), d AS ({SQL['distortion']}), p AS ({SQL['precision_recall_at_k']}), m AS ({SQL['map_score']}),
+  r AS (WITH {VECTORS} SELECT round(avg(x[1]), 6) AS mean, round(stddev_samp(x[1]), 6) AS std FROM lifted)
+  SELECT 'cophenetic' AS metric, correlation AS value FROM c UNION ALL SELECT 'spearman', correlation FROM s UNION ALL SELECT 'distortion_mean', mean FROM d UNION ALL SELECT 'distortion_std', std FROM d
+  UNION ALL SELECT 'radius_mean', mean FROM r UNION ALL SELECT 'radius_std', std FROM r UNION ALL SELECT 'precision_' || k, precision FROM p UNION ALL SELECT 'recall_' || k, recall FROM p UNION ALL SELECT 'map', map FROM m"""
