@@ -41,7 +41,7 @@ MEASURED = 4  # trees whose whole paths tell how alike the linked pairs are
 SCREEN = 0.55  # share of equal MinHash bytes below which a pair that met is not compared exactly
 SKETCH = 4  # MinHash values of each tree whose lowest byte is in the sketch
 BLOCK = 500  # classes of a forest node compared with one another in a task, or with those of a second block
-TEXTS, MOST_TEXTS = 128, 500  # the same for whole texts, in small and in very large groups
+TEXTS, MOST_TEXTS = 128, 500  # the same for whole texts, and where paths are measured, in small and in very large groups
 SEED = 20
 
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -157,6 +157,11 @@ def in_blocks(df: DataFrame, size: str, block: Column) -> DataFrame:
     )
 
 
+def growing_block(size: str) -> Column:
+    """Blocks that grow with the root of a group's size, so copies of a row stay fewer than that."""
+    return F.least(F.greatest(F.lit(TEXTS), (4 * F.sqrt(size)).cast("int")), F.lit(max(TEXTS, MOST_TEXTS)))
+
+
 def dealt(df: DataFrame, group: str) -> DataFrame:
     """Rows of block pairs brought together: a group's pairs go to tasks in turn, so no task gets many of one group."""
     width = F.lit(shuffle_width(df.sparkSession))
@@ -345,7 +350,7 @@ def _verify(threshold: float):
 def measured_depth(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     """The depth that forest_depth() finds for the pairs that share whole paths in some trees: at most 101 counts come to the driver."""
     counts = (
-        dealt(in_blocks(forest(classes, DEEPEST, MEASURED), "n", F.lit(BLOCK)).select("key", "g1", "g2", "own", "path", "sig"), "key")
+        dealt(in_blocks(forest(classes, DEEPEST, MEASURED), "n", growing_block("n")).select("key", "g1", "g2", "own", "path", "sig"), "key")
         .sortWithinPartitions("key", "g1", "g2")
         .mapInArrow(_alike, "share int, n bigint").groupBy("share").agg(F.sum("n").alias("n"))
     )
@@ -382,10 +387,8 @@ def _classed(df: DataFrame, threshold: float, recall: float) -> tuple[DataFrame,
     read = docs.join(members, same)
     # of rows alike in id and text one is enough, and only a class with copies can have them
     texts = read.where("copies = 1").unionByName(read.where("copies > 1").dropDuplicates(["node"]))
-    # blocks grow with the root of a group's size, so copies of a text stay fewer than that
-    block = F.least(F.greatest(F.lit(TEXTS), (4 * F.sqrt("n")).cast("int")), F.lit(max(TEXTS, MOST_TEXTS)))
     verified = cut(
-        dealt(in_blocks(texts, "n", block).select("comp", "g1", "g2", "own", "node", "copies", "text"), "comp").sortWithinPartitions("comp", "g1", "g2")
+        dealt(in_blocks(texts, "n", growing_block("n")).select("comp", "g1", "g2", "own", "node", "copies", "text"), "comp").sortWithinPartitions("comp", "g1", "g2")
         .mapInArrow(_verify(threshold), "node binary, links bigint, root binary"),
         "verified",
     )
