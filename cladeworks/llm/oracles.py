@@ -152,4 +152,21 @@ SELECT d.doc_id, coalesce(na, 0) AS n_assign, coalesce(nc, 0) AS n_access, coale
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN e USING (doc_id)
 """
 
-SQL = {"op8_secret_scans": SECRET_SQL, "op6_chat_format": CHAT_SQL, "op2_near_join": NEAR_SQL, "op4_decontaminate": DECONTAMINATE_SQL, "op7_url_filters": URL_SQL}
+# SHA-1 in base 32: five hexadecimal digits at a time are four characters
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(body)) AS n, sha256(body) AS k,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + (CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) % 32, 1)), '') AS digest
+  FROM p
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY page_id) AS nth, min(page_id) OVER (PARTITION BY k) AS to_id FROM d
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nth > 1 THEN to_id END AS refers_to
+FROM r
+"""
+
+SQL = {"op11_warc": WARC_SQL, "op8_secret_scans": SECRET_SQL, "op6_chat_format": CHAT_SQL, "op2_near_join": NEAR_SQL, "op4_decontaminate": DECONTAMINATE_SQL, "op7_url_filters": URL_SQL}

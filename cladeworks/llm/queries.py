@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeworks.llm import chat_format, decontaminate, fingerprints, mixing, near_join, pii, quality_classifier, secret_scans, token_counts, url_filters
+from cladeworks.llm import chat_format, decontaminate, fingerprints, mixing, near_join, pii, quality_classifier, secret_scans, token_counts, url_filters, warc
 from cladeworks.llm.common import table
 
 # The rules of the URL contract.
@@ -108,6 +108,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    records = warc.read_records(warc.read_chunks(spark, folder, with_data=False))
+    return records.select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("type").alias("record_type"), F.col("refers_to_id").alias("refers_to"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -120,6 +130,7 @@ def queries() -> dict:
         "op8_secret_scans": op8_secret_scans,
         "op9_token_counts": op9_token_counts,
         "op10_quality": op10_quality,
+        "op11_warc": op11_warc,
     }
 
 
