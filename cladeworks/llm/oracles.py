@@ -169,4 +169,37 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM r
 """
 
-SQL = {"op11_warc": WARC_SQL, "op8_secret_scans": SECRET_SQL, "op6_chat_format": CHAT_SQL, "op2_near_join": NEAR_SQL, "op4_decontaminate": DECONTAMINATE_SQL, "op7_url_filters": URL_SQL}
+
+def _codes_sql() -> str:
+    rounds = [
+        f"""a{n} AS MATERIALIZED (
+  SELECT rid, part, min(CAST(list_inner_product(p.v, p.v) - 2 * list_inner_product(p.v, b.v) + list_inner_product(b.v, b.v) AS BIGINT) * 1000 + entry) AS best
+  FROM parts p JOIN b{n} b USING (part) GROUP BY rid, part
+), m{n} AS (
+  SELECT part, best % 1000 AS entry, i, floor(sum(v[i]) / count(*)) AS x
+  FROM (SELECT part, best, v, unnest(range(1, len(v) + 1)) AS i FROM a{n} JOIN parts USING (rid, part)) GROUP BY part, best % 1000, i
+), b{n + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(u.v, b.v) AS v FROM b{n} b LEFT JOIN (SELECT part, entry, list(x ORDER BY i) AS v FROM m{n} GROUP BY part, entry) u USING (part, entry)
+)"""
+        for n in range(5)
+    ]
+    last = rounds.pop().split("), m4 AS")[0] + ")"
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT rid, vec_id, part, q[part * (len(q) // 4) + 1:(part + 1) * (len(q) // 4)] AS v FROM kept, range(0, 4) r(part)
+), b0 AS MATERIALIZED (
+  SELECT part, entry, v FROM (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM parts) WHERE entry < 256
+), {", ".join(rounds)}, {last}, coded AS (
+  SELECT rid, string_agg(printf('%02x', best % 1000), '' ORDER BY part) AS code, CAST(sum(best // 1000) AS BIGINT) AS error FROM a4 GROUP BY rid
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS h FROM b4
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM kept JOIN coded USING (rid), digest
+"""
+
+
+SQL = {"op13_vector_codes": _codes_sql(), "op11_warc": WARC_SQL, "op8_secret_scans": SECRET_SQL, "op6_chat_format": CHAT_SQL, "op2_near_join": NEAR_SQL, "op4_decontaminate": DECONTAMINATE_SQL, "op7_url_filters": URL_SQL}
