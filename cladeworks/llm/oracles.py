@@ -169,6 +169,22 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM r
 """
 
+MINING_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor, other, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor AS anchor_id, p.other AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY s.score DESC, s.other) AS INTEGER) AS rank,
+  s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
 
 def _codes_sql() -> str:
     rounds = [
@@ -202,4 +218,4 @@ FROM kept JOIN coded USING (rid), digest
 """
 
 
-SQL = {"op13_vector_codes": _codes_sql(), "op11_warc": WARC_SQL, "op8_secret_scans": SECRET_SQL, "op6_chat_format": CHAT_SQL, "op2_near_join": NEAR_SQL, "op4_decontaminate": DECONTAMINATE_SQL, "op7_url_filters": URL_SQL}
+SQL = {"op12_hard_negatives": MINING_SQL, "op13_vector_codes": _codes_sql(), "op11_warc": WARC_SQL, "op8_secret_scans": SECRET_SQL, "op6_chat_format": CHAT_SQL, "op2_near_join": NEAR_SQL, "op4_decontaminate": DECONTAMINATE_SQL, "op7_url_filters": URL_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeworks.llm import chat_format, decontaminate, fingerprints, mixing, near_join, pii, quality_classifier, secret_scans, token_counts, url_filters, vector_codes, warc
+from cladeworks.llm import chat_format, decontaminate, fingerprints, hard_negatives, mixing, near_join, pii, quality_classifier, secret_scans, token_counts, url_filters, vector_codes, warc
 from cladeworks.llm.common import table
 
 # The rules of the URL contract.
@@ -118,6 +118,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), relabel_every=7)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"))
@@ -136,6 +140,7 @@ def queries() -> dict:
         "op9_token_counts": op9_token_counts,
         "op10_quality": op10_quality,
         "op11_warc": op11_warc,
+        "op12_hard_negatives": op12_hard_negatives,
         "op13_vector_codes": op13_vector_codes,
     }
 
