@@ -34,11 +34,12 @@ CLASSES = (
     ("mixed", r"[A-Za-z0-9+/_=-]{20,}", 20, 3.7),
     ("hex", r"[0-9A-Fa-f]{16,}", 16, 2.9),
 )
-# Candidates of these forms are no secrets: UUIDs, dates and times, words of letters only, numbers, rulers.
+# Candidates of these forms are no secrets: UUIDs, dates and times, words of letters only (between single separators), numbers, rulers.
+# No form repeats a group: Java's matcher goes a call deeper for each repetition, so a long candidate would end the executor.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9TZ/_+-]*$",
-    r"^[A-Za-z]+([_/=+-][A-Za-z]+)*$",
+    r"^(?!.*[_/=+-]{2})[A-Za-z][A-Za-z_/=+-]*(?<![_/=+-])$",
     r"^[0-9]+$",
     r"^[_=/+-]+$",
 )
@@ -177,7 +178,8 @@ def find_secrets(df: DataFrame, text: str = "text", allow: Sequence[str] = ALLOW
     base holds the known formats; secrets holds those and the spans that the entropy scan adds,
     by start and kind. Offsets are code points, ends exclusive. Null and empty texts have none.
     Repeated rows stay repeated; input columns named like an output are replaced. The allow-list
-    suppresses only what the entropy scan adds.
+    suppresses only what the entropy scan adds; its expressions run in Java's matcher on candidates of any length, so one's own must not
+    repeat a group of several characters either.
     """
     with_base = df.withColumn("base", base_spans(text_or_empty(text)))
     return with_base.withColumn(

@@ -3,10 +3,14 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -428,6 +432,28 @@ def test_dates_hide_only_themselves(spark):
     assert got[1] and got[1][0][1] == len(f"2024-05-17/{key}") and not got[2] and got[3] == [(14, 35)]
 
 
+RUNS = """
+import random
+from pyspark.sql import functions as F
+from cladeworks.llm import secret_scans
+from cladeworks.session import session
+
+spark = session("cold", "local[2]", 2)
+words = lambda sep, n: sep.join(["ab", "xyz"] * n)
+rows = [(sep, text) for sep in "_/=+-" for text in (words(sep, 30_000), "at " + words(sep, 30_000) + " x", words(sep, 30_000) + sep, words(sep, 30_000) + sep + sep + "k3yZq9Lm2Xw8Rt5Vb7Np4", "a" * 200_000, sep * 200_000, "ab" + sep * 2 + words(sep, 10))]
+rows += [("mixed", "".join(random.Random(4).choice("abcXYZ_/=+-.@: 019") for _ in range(200_000))), ("keys", "token=" * 30_000), ("uuids", "550e8400-e29b-41d4-a716-446655440000-" * 5_000)]
+found = secret_scans.find_secrets(spark.createDataFrame(rows, "sep string, text string")).select("sep", F.size("secrets").alias("n")).collect()
+assert len(found) == len(rows) and sum(r.n for r in found) >= 5
+"""
+
+
+def test_long_runs_do_not_end_the_executor():
+    """Words between separators by the tens of thousands, in a session of its own, where no code is compiled yet."""
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([str(Path(__file__).resolve().parents[2]), os.environ.get("PYTHONPATH", "")])}
+    done = subprocess.run([sys.executable, "-c", RUNS], timeout=300, capture_output=True, text=True, env=env)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_scan_is_linear(spark):
     """Four times the tokens, or the characters of one, take about four times as long; where a token stands doesn't matter."""
     rng = random.Random(12)
