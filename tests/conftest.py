@@ -24,8 +24,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def duck():
-    import duckdb
-
+    duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SMALL}/{name}.parquet')")
