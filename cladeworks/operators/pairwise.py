@@ -1,8 +1,11 @@
 """All pairs and nearest neighbours of vectors.
 
-Vectors are packed into blocks of bounded size; a row joins two blocks and a task computes their
-distances as one matrix product. Nearest neighbours keep only the k best of each block pair, so the
-number of rows stays in proportion to the vectors and blocks.
+Every metric here is a function of one inner product: rows of both sides are encoded so that a greater product means
+nearer, and a tile (see tiles.py) is matrix products. Nearest neighbours look at products in single precision
+first; only pairs that may be among the k best, by a bound on its error, are computed in double precision, and each row keeps k.
+
+Where the metric obeys the triangle inequality, strips are cells around pivots with stored radii. Rows first search the strip of their nearest
+pivot; the k-th distance found there rules out strips that lie farther away than that, and all that is not better in the others.
 """
 
 from __future__ import annotations
@@ -15,78 +18,216 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 512
+from cladeworks.operators import tiles
+from cladeworks.sources.stages import staged
+
 METRICS = ("euclidean", "cosine", "lorentz", "dot", "cosine_similarity", "divergence")
+TRIANGLE = ("euclidean", "lorentz")  # metrics whose bounds leave strips out
 FLOOR = 1e-8  # added to every probability before a divergence
+PIECE = 1 << 22  # products that are computed together
+OUT_ROWS = 1 << 17  # rows of a batch that leaves a task
+PIVOTS = 256  # cells at most
+SAMPLED = 16  # rows that are looked at for each pivot
+OFF = 1e-6  # how far off the hyperboloid, for its size, a vector may be for the triangle inequality to be relied on
 
 
-def distances(a: np.ndarray, b: np.ndarray, metric: str, least: float = 1 + 1e-5, c: float = 1.0) -> np.ndarray:
-    """Matrix of distances or similarities; lorentz holds the negative product at least as large as given and scales by the root of c."""
+class Encoded:
+    """Rows of one side: ids, groups, vectors, and what their metric needs."""
+
+    def __init__(self, rows: pa.Table | pa.RecordBatch, metric: str, left: bool):
+        column = rows.column("v")
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        self.ids = rows.column("id").to_numpy()
+        self.v = column.flatten().to_numpy(zero_copy_only=False).reshape(len(self.ids), -1)
+        self.product, self.half = encoded(self.v, metric, left)
+        group = rows.column("apart")
+        self.grouped = group.is_valid().to_numpy(zero_copy_only=False) if isinstance(group, pa.Array) else group.is_valid().combine_chunks().to_numpy(zero_copy_only=False)
+        self.group = group.fill_null(0).to_numpy()
+
+
+def encoded(v: np.ndarray, metric: str, left: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose inner products are greater the nearer they are, and per row what a distance is made of besides."""
+    none = np.zeros(len(v))
     if metric == "lorentz":
-        return np.arccosh(np.maximum(2 * np.outer(a[:, 0], b[:, 0]) - a @ b.T, least)) * math.sqrt(c)
+        return (np.hstack([-v[:, :1], v[:, 1:]]) if left else v), none
     if metric == "dot":
-        return a @ b.T
+        return v, none
     if metric == "euclidean":
-        square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-        return np.sqrt(np.maximum(square, 0))
+        half = (v * v).sum(1) / 2
+        return (np.hstack([v, np.ones((len(v), 1))]) if left else np.hstack([v, -half[:, None]])), half
     if metric == "divergence":
-        p, q = [(x + FLOOR) / (x + FLOOR).sum(1, keepdims=True) for x in (a, b)]
-        return (p * np.log(p)).sum(1)[:, None] - p @ np.log(q).T
-    similar = (a / np.maximum(np.linalg.norm(a, axis=1), 1e-12)[:, None]) @ (b / np.maximum(np.linalg.norm(b, axis=1), 1e-12)[:, None]).T
-    if metric == "cosine":
-        return 1 - similar
-    if metric == "cosine_similarity":
-        return similar
+        p = (v + FLOOR) / (v + FLOOR).sum(1, keepdims=True)
+        return (p, (p * np.log(p)).sum(1)) if left else (np.log(p), none)
+    if metric in ("cosine", "cosine_similarity"):
+        return v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None], none
     raise ValueError(f"unknown metric {metric!r}, not one of {METRICS}")
 
 
-def _blocks(df: DataFrame, vector: str, n_blocks: int, apart: str | None = None) -> DataFrame:
+def _values(a: Encoded, b: Encoded, i: np.ndarray | slice, j: np.ndarray | slice, product: np.ndarray, metric: str, least: float, c: float) -> np.ndarray:
+    """Distances or similarities of pairs with their products; lorentz holds the negative product at least as large as given and scales by the root of c."""
+    if metric == "lorentz":
+        return np.arccosh(np.maximum(-product, least)) * math.sqrt(c)
+    if metric == "euclidean":
+        gap = a.v[i] - b.v[j]
+        return np.sqrt((gap * gap).sum(-1))
+    if metric == "divergence":
+        return a.half[i] - product
+    return 1 - product if metric == "cosine" else product
+
+
+def distances(a: np.ndarray, b: np.ndarray, metric: str, least: float = 1 + 1e-5, c: float = 1.0) -> np.ndarray:
+    """Matrix of distances or similarities of two sets of vectors."""
+    (pa_, ha), (pb, hb) = encoded(a, metric, True), encoded(b, metric, False)
+    product = pa_ @ pb.T
+    if metric == "lorentz":
+        return np.arccosh(np.maximum(-product, least)) * math.sqrt(c)
+    if metric == "euclidean":
+        return np.sqrt(np.maximum(2 * (ha[:, None] - product), 0))
+    if metric == "divergence":
+        return ha[:, None] - product
+    return 1 - product if metric == "cosine" else product
+
+
+def _rows(df: DataFrame, vector: str, apart: str | None = None) -> DataFrame:
     group = F.lit(None) if apart is None else F.col(apart)
-    row = F.struct("id", F.col(vector).alias("v"), group.cast("bigint").alias("apart"))
-    return df.groupBy(F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return df.select("id", F.col(vector).alias("v"), group.cast("bigint").alias("apart"))
+
 
+def _size(rows: DataFrame) -> tuple[int, int]:
+    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    return n, width or 1
 
-def _unpacked(column: pa.Array, at: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = column[at].values
-    ids = rows.field("id").to_numpy(zero_copy_only=False)
-    flat = rows.field("v").flatten().to_numpy(zero_copy_only=False)
-    return ids, flat.reshape(len(ids), -1)
 
+def _tasks(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-def _together(a: pa.Array, b: pa.Array, at: int) -> np.ndarray:
-    """Which pairs of two blocks are in one group; a null group holds nothing."""
-    (ga, ha), (gb, hb) = [(g.fill_null(0).to_numpy(), g.is_valid().to_numpy(zero_copy_only=False)) for g in (c[at].values.field("apart") for c in (a, b))]
-    return (ga[:, None] == gb[None, :]) & ha[:, None] & hb[None, :]
 
+def pair_tiles(df: DataFrame, vector: str, both_ways: bool, apart: str | None = None) -> DataFrame:
+    """The tiles of a table against itself, each pair once or both ways; tile // n_strips is the left strip, tile % n_strips the right one."""
+    rows = staged(_rows(df, vector, apart), "pair-rows")
+    n, width = _size(rows)
+    g = max(tiles.strips(n, n, width, 4 * _tasks(df)))
+    placed = rows.withColumn("strip", tiles.strip_of("id", g))
+    others = lambda low, high: F.explode(F.sequence(low, high))
+    first, last = (F.lit(0), F.lit(g - 1))
+    left = placed.withColumn("other", others(first if both_ways else F.col("strip"), last)).select((F.col("strip") * g + F.col("other")).alias("tile"), "id", "v", "apart")
+    right = placed.withColumn("other", others(first, last if both_ways else F.col("strip"))).select((F.col("other") * g + F.col("strip")).alias("tile"), "id", "v", "apart")
+    return tiles.dealt(left, right, g * g).withColumn("same", (F.floor(F.col("tile") / g) == F.col("tile") % g))
 
-def _paired(df: DataFrame, others: DataFrame | None, vector: str, both_ways: bool, apart: str | None = None) -> DataFrame:
-    """A row for each pair of blocks: a and b, of one table (once, unless both ways) or of two."""
-    n_a = max(1, math.ceil(df.count() / BLOCK))
-    a = _blocks(df, vector, n_a, apart)
-    n_b = n_a if others is None else max(1, math.ceil(others.count() / BLOCK))
-    b = a if others is None else _blocks(others, vector, n_b, apart)
-    first = F.lit(0) if others is not None or both_ways else F.col("block")
-    left = a.select("block", F.col("rows").alias("a"), F.explode(F.sequence(first, F.lit(n_b - 1))).alias("other"))
-    right = b.select(F.col("block").alias("other"), F.col("rows").alias("b"))
-    spread = F.xxhash64("block", "other")
-    return left.join(right, "other").repartition(spread).select("a", "b", (F.col("block") == F.col("other")).alias("same"))
+
+def each_block(batches: Iterable[pa.RecordBatch], metric: str, both_ways: bool, least: float, c: float) -> Iterator[tuple[Encoded, Encoded, np.ndarray, np.ndarray] | None]:
+    """(left rows, some right rows, values, which pairs count) of tiles in turn; None at the end of each tile."""
+    for strip, some in tiles.by_tile(batches, lambda t: Encoded(t, metric, True), lambda s: PIECE // max(1, len(s.ids))):
+        if some is None:
+            yield None
+            continue
+        b = Encoded(some, metric, False)
+        product = strip.product @ b.product.T
+        if metric == "euclidean":
+            value = np.sqrt(np.maximum(2 * (strip.half[:, None] - product), 0))
+        else:
+            value = _values(strip, b, np.arange(len(strip.ids))[:, None], slice(None), product, metric, least, c)
+        counts = strip.ids[:, None] != b.ids[None, :] if both_ways or not some.column("same")[0].as_py() else strip.ids[:, None] < b.ids[None, :]
+        yield strip, b, value, counts
 
 
 def all_pairs(df: DataFrame, metric: str, vector: str = "v", both_ways: bool = False, least: float = 1 + 1e-5, c: float = 1.0) -> DataFrame:
     """(id_i, id_j, value) for id_i < id_j, or for all id_i <> id_j."""
 
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                (ia, va), (ib, vb) = _unpacked(batch.column("a"), at), _unpacked(batch.column("b"), at)
-                value = distances(va, vb, metric, least, c)
-                i, j = np.nonzero(ia[:, None] != ib[None, :] if both_ways or not batch.column("same")[at].as_py() else ia[:, None] < ib[None, :])
-                left, right = ia[i], ib[j]
+        for block in each_block(batches, metric, both_ways, least, c):
+            if block is None:
+                continue
+            a, b, value, counts = block
+            i, j = np.nonzero(counts)
+            for begin in range(0, len(i), OUT_ROWS):
+                x, y = i[begin : begin + OUT_ROWS], j[begin : begin + OUT_ROWS]
+                left, right = a.ids[x], b.ids[y]
                 if not both_ways:
                     left, right = np.minimum(left, right), np.maximum(left, right)
-                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(value[i, j])], ["id_i", "id_j", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(value[x, y])], ["id_i", "id_j", "value"])
+
+    return pair_tiles(df, vector, both_ways).mapInArrow(compute, "id_i bigint, id_j bigint, value double")
+
+
+class _Best:
+    """The k best of each row of a strip so far: rows, ids and values of those kept, and the k-th value."""
+
+    def __init__(self, a: Encoded, reached: np.ndarray, k: int, largest: bool):
+        self.a, self.k, self.largest, self.reached = a, k, largest, reached
+        self.kept, self.new, self.n_new = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)), [], 0
 
-    return _paired(df, None, vector, both_ways).mapInArrow(compute, "id_i bigint, id_j bigint, value double")
+    def add(self, row: np.ndarray, ids: np.ndarray, value: np.ndarray) -> None:
+        self.new.append((row, ids, value))
+        self.n_new += len(row)
+        if self.n_new > max(1 << 16, 2 * len(self.kept[0])):
+            self.merge()
+
+    def merge(self) -> None:
+        row, ids, value = [np.concatenate(x) for x in zip(self.kept, *self.new)]
+        order = np.lexsort((ids, -value if self.largest else value, row))
+        row, ids, value = row[order], ids[order], value[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = nth < self.k
+        full = nth == self.k - 1
+        better = np.maximum if self.largest else np.minimum
+        self.reached[row[full]] = better(self.reached[row[full]], value[full])
+        self.kept, self.new, self.n_new = (row[kept], ids[kept], value[kept]), [], 0
+
+
+def _threshold(a: Encoded, reached: np.ndarray, metric: str, least: float, c: float) -> np.ndarray:
+    """The product from which on a pair can be as near as reached, per row; minus infinity where nothing is reached."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        if metric == "lorentz":
+            out = -np.maximum(np.cosh(reached / math.sqrt(c)), least)
+        elif metric == "euclidean":
+            out = a.half - reached * reached / 2
+        elif metric == "divergence":
+            out = a.half - reached
+        else:
+            out = 1 - reached if metric == "cosine" else reached
+    return np.where(np.isfinite(reached), out, -np.inf)
+
+
+def _search(batches: Iterable[pa.RecordBatch], k: int, metric: str, largest: bool, least: float, c: float, apart: bool, inside: bool) -> Iterator[pa.RecordBatch]:
+    none = -np.inf if largest else np.inf
+
+    def opened(rows: pa.Table) -> tuple:
+        a = Encoded(rows, metric, True)
+        reached = rows.column("reached").to_numpy()
+        best = _Best(a, np.where(np.isnan(reached), none, reached).astype(float), k, largest)
+        return a, best, a.product.astype(np.float32), np.linalg.norm(a.product, axis=1)
+
+    for (a, best, single, norms), some in tiles.by_tile(batches, opened, lambda s: PIECE // max(1, len(s[0].ids))):
+        if some is None:
+            best.merge()
+            row, ids, value = best.kept
+            for begin in range(0, len(row), OUT_ROWS):
+                end = begin + OUT_ROWS
+                yield pa.RecordBatch.from_arrays([pa.array(a.ids[row[begin:end]]), pa.array(ids[begin:end]), pa.array(value[begin:end])], ["id_i", "id_j", "value"])
+            continue
+        b = Encoded(some, metric, False)
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = single @ b.product.astype(np.float32).T
+        # what single precision, and the rounding of distances, may be off by
+        slack = (1e-6 * (b.product.shape[1] + 16)) * (norms * np.linalg.norm(b.product, axis=1).max(initial=0) + np.abs(a.half)) + 1e-12
+        good = near >= (_threshold(a, best.reached, metric, least, c) - slack)[:, None]
+        if apart:
+            together = (a.group[:, None] == b.group[None, :]) & a.grouped[:, None] & b.grouped[None, :]
+            good &= together if inside else ~together
+        if len(b.ids) > k + 1 and good.sum() > 2 * (k + 1) * len(a.ids):  # early on, when little is ruled out: the best of this piece
+            held = np.where(good, near, -np.inf)
+            good &= held >= (np.partition(held, len(b.ids) - k - 1, axis=1)[:, len(b.ids) - k - 1] - 2 * slack)[:, None]
+            if metric == "lorentz":  # products that are held at the least are equally near
+                good |= (near >= -least - slack[:, None]) & (held > -np.inf)
+        i, j = np.nonzero(good)
+        other = a.ids[i] != b.ids[j]
+        i, j = i[other], j[other]
+        for begin in range(0, len(i), OUT_ROWS):
+            x, y = i[begin : begin + OUT_ROWS], j[begin : begin + OUT_ROWS]
+            value = _values(a, b, x, y, np.einsum("nd,nd->n", a.product[x], b.product[y]), metric, least, c)
+            kept = np.isfinite(value) & (value >= best.reached[x] if largest else value <= best.reached[x])
+            best.add(x[kept], b.ids[y[kept]], value[kept])
 
 
 def nearest(
@@ -98,23 +239,163 @@ def nearest(
     With apart, an integer column, only ids of another group count: those of the same one are left out before the k are taken.
     With inside as well, only ids of the same group count; a null group holds nothing.
     """
+    spark = df.sparkSession
+    a = _rows(df, vector, apart)
+    b = a if others is None else _rows(others, vector, apart)
+    a = staged(a, "near-left")
+    b = a if others is None else staged(b, "near-right")
+    (n_a, width), (n_b, _) = _size(a), _size(b)
+    g_a, g_b = tiles.strips(n_a, n_b, width, _tasks(df))
+    if others is None:
+        g_a = g_b = max(g_a, g_b)
+    found = "id_i bigint, id_j bigint, value double"
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _search(batches, k, metric, largest, least, c, apart is not None, inside)
+
+    def tiled(left: DataFrame, right: DataFrame) -> DataFrame:
+        """left has (strip, other) and reached, right (other, strip): a row for each tile that it is in."""
+        columns = ["id", "v", "apart", "reached"]
+        tile = (F.col("strip") * width_b + F.col("other")).cast("int").alias("tile")
+        return tiles.dealt(left.select(tile, *columns), right.withColumn("reached", F.lit(None).cast("double")).select(tile, *columns), n_strips * width_b).mapInArrow(search, found)
 
-    def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                (ia, va), (ib, vb) = _unpacked(batch.column("a"), at), _unpacked(batch.column("b"), at)
-                value = distances(va, vb, metric, least, c)
-                out = ia[:, None] == ib[None, :]
-                if apart is not None:
-                    out |= _together(batch.column("a"), batch.column("b"), at) != inside
-                key = np.where(out, np.inf, -value if largest else value)
-                top = np.argsort(key, axis=1, kind="stable")[:, :k]  # ids are sorted in a block, so ties go by id
-                rows = np.repeat(np.arange(len(ia)), top.shape[1])
-                kept = np.isfinite(key[rows, top.ravel()])
-                rows, top = rows[kept], top.ravel()[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(ia[rows]), pa.array(ib[top]), pa.array(value[rows, top])], ["id_i", "id_j", "value"])
-
-    found = _paired(df, others, vector, True, apart).mapInArrow(best, "id_i bigint, id_j bigint, value double")
     order = F.desc("value") if largest else F.asc("value")
-    nth = F.row_number().over(Window.partitionBy("id_i").orderBy(order, "id_j"))
-    return found.withColumn("nth", nth).where(F.col("nth") <= k)
+    ranked = lambda rows: rows.withColumn("nth", F.row_number().over(Window.partitionBy("id_i").orderBy(order, "id_j"))).where(F.col("nth") <= k)
+    bare = F.lit(None).cast("double").alias("reached")
+    if g_a * g_b == 1:
+        n_strips, width_b = 1, 1
+        return ranked(tiled(a.withColumns({"strip": F.lit(0), "other": F.lit(0), "reached": F.lit(None).cast("double")}), b.withColumns({"strip": F.lit(0), "other": F.lit(0)})))
+    bounded = metric in TRIANGLE and (metric != "lorentz" or (_on_manifold(a) and (others is None or _on_manifold(b))))
+    cells = _Cells(b, metric, g_b, n_b, c) if bounded else None
+    if bounded:
+        own_b = cells.placed(b)
+        own_a = own_b if others is None else cells.placed(a)
+        n_right = cells.n_strips
+    else:
+        own_b = b.withColumns({"strip": tiles.strip_of("id", g_b), "cell": F.lit(0), "far": F.lit(0.0)})
+        own_a = own_b if others is None else a.withColumns({"strip": tiles.strip_of("id", g_b), "cell": F.lit(0), "far": F.lit(0.0)})
+        n_right = g_b
+    own_b = staged(own_b, "near-right-placed")
+    own_a = own_b if others is None else staged(own_a, "near-left-placed")
+    # the left's rows lie in blocks that fit; those that look at the same strip first lie together
+    blocks = 1
+    if others is not None:
+        fullest = own_a.groupBy("strip").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        blocks = max(1, math.ceil(fullest * width * 8 / tiles.STRIP_BYTES))
+    n_strips, width_b = n_right * blocks, n_right
+    block = (F.col("strip") * blocks + F.pmod(F.xxhash64("id"), F.lit(blocks))).cast("int")
+    left = own_a.withColumns({"lead": F.col("strip"), "strip": block})
+    # of each strip of the right, the blocks that look at it first; in the second pass all of them
+    shared = lambda which: own_b.withColumn("other", F.col("strip")).withColumn("strip", F.explode(which)).select("strip", "other", "id", "v", "apart")
+    every = F.sequence(F.lit(0), F.lit(n_strips - 1))
+    leads = lambda s: F.floor(s / blocks).cast("int")
+    first = staged(ranked(tiled(left.select("strip", F.col("lead").alias("other"), "id", "v", "apart", bare), shared(F.filter(every, lambda s: leads(s) == F.col("strip"))))), "near-first")
+    kth = first.where(F.col("nth") == k).select(F.col("id_i").alias("id"), F.col("value").alias("reached"))
+    known = left.join(kth, "id", "left").select("strip", "lead", "id", "v", "apart", "reached", "cell", "far")
+    if bounded:
+        rest = cells.visits(known)
+    else:
+        rest = known.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_right - 1)), lambda s: s != F.col("lead"))))
+    rest = staged(rest.select("strip", "other", "id", "v", "apart", "reached"), "near-visits") if bounded else rest
+    if bounded:  # tiles that no row looks into are not shipped
+        asked = rest.groupBy("other").agg(F.array_sort(F.collect_set("strip")).alias("asked"))
+        right = own_b.withColumnRenamed("strip", "other").join(asked, "other").select(F.explode("asked").alias("strip"), "other", "id", "v", "apart")
+    else:
+        right = shared(F.filter(every, lambda s: leads(s) != F.col("strip")))
+    return ranked(first.drop("nth").unionByName(tiled(rest, right)))
+
+
+def _on_manifold(rows: DataFrame) -> bool:
+    """Whether all vectors lie on the hyperboloid, so that their distances obey the triangle inequality."""
+    x = F.col("v")
+    norm = F.aggregate(x, F.lit(0.0), lambda s, e: s + e * e)
+    off = F.abs(2 * x[0] * x[0] - norm - 1) / F.greatest(norm, F.lit(1.0))
+    return (rows.agg(F.max(F.coalesce(off, F.lit(1.0)))).first()[0] or 0.0) < OFF
+
+
+class _Cells:
+    """Cells around pivots: rows go to the nearest pivot's cell, cells are packed into strips, a very large one is cut into several.
+
+    Per cell there are the greatest distance to its pivot and its strips: PIVOTS rows at most, which tasks get as arrays.
+    """
+
+    def __init__(self, b: DataFrame, metric: str, g: int, n: int, c: float):
+        self.metric, self.c = metric, c
+        wanted = min(PIVOTS, max(2, 4 * g))
+        rows = b.orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(SAMPLED * wanted).select("v").collect()  # SAMPLED * PIVOTS at most
+        sample = np.array([list(r.v) for r in rows])
+        # each next pivot is the row of the sample farthest from those so far, so cells are small
+        chosen, gap = [0], distances(sample, sample[:1], metric, 1.0, c)[:, 0]
+        while len(chosen) < min(wanted, len(sample)):
+            chosen.append(int(np.nan_to_num(gap, nan=-1.0).argmax()))
+            gap = np.minimum(gap, distances(sample, sample[chosen[-1:]], metric, 1.0, c)[:, 0])
+        pivots = sample[chosen]
+        between = distances(pivots, pivots, metric, 1.0, c)
+        chain, left = [0], set(range(1, len(pivots)))
+        while left:  # neighbours in the chain are near each other, so they share strips
+            step = min(left, key=lambda p: (between[chain[-1], p], p))
+            chain.append(step)
+            left.remove(step)
+        self.pivots = pivots[chain]
+        assigned = self._assigned(b)
+        stats = {r.cell: (r.n, r.far) for r in assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # a row a cell
+        most = math.ceil(n / g)
+        self.first, self.copies, self.far = [], [], []
+        strip, filled = 0, 0
+        for cell in range(len(self.pivots)):
+            count, far = stats.get(cell, (0, -1.0))
+            own = max(1, math.ceil(count / most))
+            if own > 1 or filled + count > most:
+                strip, filled = strip + (filled > 0), 0
+            self.first.append(strip)
+            self.copies.append(own)
+            self.far.append(far)
+            strip, filled = (strip + own, 0) if own > 1 else (strip, filled + count)
+        self.n_strips = strip + (filled > 0) or 1
+
+    def _assigned(self, rows: DataFrame) -> DataFrame:
+        pivots, metric, c = self.pivots, self.metric, self.c
+
+        def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                    d = np.nan_to_num(distances(v, pivots, metric, 1.0, c), nan=np.inf)
+                    cell = d.argmin(1)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])], ["id", "v", "apart", "cell", "far"])
+
+        return rows.select("id", "v", "apart").mapInArrow(assign, "id bigint, v array<double>, apart bigint, cell int, far double")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Rows with the strip of their cell."""
+        of = lambda values: F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("cell") + 1)
+        return self._assigned(rows).withColumn("strip", (of(self.first) + F.pmod(F.xxhash64("id"), of(self.copies))).cast("int"))
+
+    def visits(self, known: DataFrame) -> DataFrame:
+        """A row for each strip other than the lead that may hold something as near as reached: pivot's distance less the cell's radius."""
+        pivots, metric, n_strips, c = self.pivots, self.metric, self.n_strips, self.c
+        first, copies, far = np.array(self.first), np.array(self.copies), np.array(self.far)
+        strip_cell = np.repeat(np.arange(len(first)), copies)
+        strip = np.repeat(first, copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        names = ["strip", "lead", "id", "v", "apart", "reached"]
+
+        def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                d = distances(v, pivots, metric, 1.0, c)
+                reached = batch.column("reached").to_numpy(zero_copy_only=False).astype(float)
+                reached = np.where(np.isnan(reached), np.inf, reached)
+                slack = 1e-4 + 1e-6 * np.abs(d)
+                may = ~(d - far[None, :] - slack > reached[:, None]) & (far >= 0)[None, :]
+                to = np.zeros((len(v), n_strips), dtype=bool)
+                for cell, s in zip(strip_cell, strip):
+                    to[:, s] |= may[:, cell]
+                to[np.arange(len(v)), batch.column("lead").to_numpy()] = False
+                row, other = np.nonzero(to)
+                for begin in range(0, len(row), 10_000):
+                    some = pa.array(row[begin : begin + 10_000])
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(some) for c in names], pa.array(other[begin : begin + 10_000], pa.int32())], [*names, "other"])
+
+        return known.select(*names).mapInArrow(visit, "strip int, lead int, id bigint, v array<double>, apart bigint, reached double, other int")

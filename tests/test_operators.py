@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cladeworks import config
 from cladeworks.functions import vectors as V
-from cladeworks.operators import cluster, control, graph, losses, metrics, mining, pairwise, textetl
+from cladeworks.operators import cluster, control, graph, losses, metrics, mining, pairwise, textetl, tiles
 from cladeworks.sources import artifacts
 
 
@@ -96,7 +96,7 @@ def test_geometry_against_numpy(spark, three):
 
 
 def test_pairs_and_neighbours_against_numpy(spark, monkeypatch):
-    monkeypatch.setattr(pairwise, "BLOCK", 7)
+    monkeypatch.setattr(tiles, "TILE_PAIRS", 100)
     rng = np.random.default_rng(0)
     data = rng.normal(size=(30, 4))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id bigint, v array<double>")
@@ -111,7 +111,7 @@ def test_pairs_and_neighbours_against_numpy(spark, monkeypatch):
 def test_hard_cache_walks_past_positives(spark, monkeypatch):
     from cladeworks.operators import sampling
 
-    monkeypatch.setattr(pairwise, "BLOCK", 9)
+    monkeypatch.setattr(tiles, "TILE_PAIRS", 150)
     rng = np.random.default_rng(4)
     labels = [0 if i % 3 == 0 else i % 4 + 1 for i in range(45)]  # a third in one tight cluster
     labels[7] = None
@@ -128,7 +128,7 @@ def test_hard_cache_walks_past_positives(spark, monkeypatch):
 def test_router_negatives_come_from_all_vectors(spark, tmp_path, monkeypatch):
     from cladeworks.plans import vector_plans
 
-    monkeypatch.setattr(pairwise, "BLOCK", 9)
+    monkeypatch.setattr(tiles, "TILE_PAIRS", 150)
     data = np.random.default_rng(5).normal(size=(40, 64))
     ids = [i * 100 for i in range(40)]  # no id lies close behind another
     spark.createDataFrame([(i, 0, v.tolist()) for i, v in zip(ids, data)], "vec_id bigint, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
