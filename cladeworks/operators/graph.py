@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeworks.operators.quantiles import exact
 from cladeworks.sources.stages import staged, unstaged
 
 
@@ -109,8 +110,9 @@ def relation_cardinality(relations: DataFrame, limit: float = 1.5) -> DataFrame:
 def difficulty_thresholds(pairs: DataFrame, triplets: DataFrame) -> DataFrame:
     """One row: distance and margin limits of the four phases over all rows, fixed relation limits, statistics."""
     def of(df, column, name, shares):
+        limits = exact(df, column, shares)[None]
         return df.agg(
-            F.percentile(column, F.array(*[F.lit(s) for s in shares])).alias(f"{name}_p"), F.min(column).alias(f"{name}_min"), F.max(column).alias(f"{name}_max"),
+            F.array(*[F.nullif(F.lit(x), F.lit(float("nan"))) for x in limits]).alias(f"{name}_p"), F.min(column).alias(f"{name}_min"), F.max(column).alias(f"{name}_max"),
             F.avg(column).alias(f"{name}_mean"), F.stddev_pop(column).alias(f"{name}_std"),
         )
 

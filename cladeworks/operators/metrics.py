@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeworks.operators.quantiles import exact
 from cladeworks.operators.ranking import numbered
 
 LEAST_TREE = 0.1  # pairs nearer than this in the tree don't count
@@ -85,10 +86,8 @@ def distortion(pairs: DataFrame) -> DataFrame:
     """Ratios of distances: mean, extremes, sample deviation and lower median."""
     ratio = F.col("d") / F.greatest("t", F.lit(1e-10))
     r = pairs.where(F.col("t") >= LEAST_TREE).select(ratio.alias("r"))
-    return r.agg(
-        F.avg("r").alias("mean"), F.max("r").alias("max"), F.min("r").alias("min"), F.stddev_samp("r").alias("std"),
-        F.expr("percentile_disc(0.5) within group (order by r)").alias("median"),
-    )
+    median = F.nullif(F.lit(exact(r, "r", [0.5], lower=True)[None][0]), F.lit(float("nan")))
+    return r.agg(F.avg("r").alias("mean"), F.max("r").alias("max"), F.min("r").alias("min"), F.stddev_samp("r").alias("std"), median.alias("median"))
 
 
 def collapse(norms: DataFrame, pairs: DataFrame, variance: DataFrame) -> DataFrame:
@@ -96,10 +95,14 @@ def collapse(norms: DataFrame, pairs: DataFrame, variance: DataFrame) -> DataFra
 
     norms has n, pairs d, variance v (the variance of each dimension).
     """
+    return collapse_of(norms, pairs.agg(F.avg("d").alias("distance_mean"), F.stddev_samp("d").alias("distance_std")), variance)
+
+
+def collapse_of(norms: DataFrame, spread: DataFrame, variance: DataFrame) -> DataFrame:
+    """collapse() from the spread of distances, one row (distance_mean, distance_std)."""
     a = norms.agg(F.avg("n").alias("norm_mean"), F.stddev_samp("n").alias("norm_std"))
-    b = pairs.agg(F.avg("d").alias("distance_mean"), F.stddev_samp("d").alias("distance_std"))
     c = variance.agg(F.avg("v").alias("variance_mean"))
-    one = a.crossJoin(b).crossJoin(c)  # one row each
+    one = a.crossJoin(spread).crossJoin(c)  # one row each
     cv = one.withColumns(
         {"norm_cv": F.col("norm_std") / F.greatest("norm_mean", F.lit(1e-8)), "distance_cv": F.col("distance_std") / F.greatest("distance_mean", F.lit(1e-8))}
     )
@@ -110,7 +113,8 @@ def collapse(norms: DataFrame, pairs: DataFrame, variance: DataFrame) -> DataFra
 
 def radius_structure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Level separation and monotonicity of radii: nodes (id, level, radius), edges (parent, child)."""
-    levels = nodes.groupBy("level").agg(F.avg("radius").alias("mean"), F.percentile("radius", F.lit(0.75)).alias("p75"), F.percentile("radius", F.lit(0.25)).alias("p25"))
+    quartiles = nodes.sparkSession.createDataFrame([(level, *q) for level, q in exact(nodes, "radius", [0.75, 0.25], by="level").items()], f"level {dict(nodes.dtypes)['level']}, p75 double, p25 double")
+    levels = nodes.groupBy("level").agg(F.avg("radius").alias("mean")).join(F.broadcast(quartiles), "level")  # a handful of levels
     order = Window.orderBy("level")  # a handful of levels
     gaps = levels.select((F.lead("mean").over(order) - F.col("mean") - F.greatest(F.col("p75") - F.lead("p25").over(order), F.lit(0.0))).alias("gap")).where("gap is not null")
     a = nodes.select(F.col("id").alias("parent"), F.col("radius").alias("rp"))

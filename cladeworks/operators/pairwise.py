@@ -11,7 +11,7 @@ pivot; the k-th distance found there rules out strips that lie farther away than
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,10 @@ class Encoded:
         self.grouped = group.is_valid().to_numpy(zero_copy_only=False) if isinstance(group, pa.Array) else group.is_valid().combine_chunks().to_numpy(zero_copy_only=False)
         self.group = group.fill_null(0).to_numpy()
 
+    def label(self) -> np.ndarray:
+        """The groups as numbers, null as NaN."""
+        return np.where(self.grouped, self.group.astype(float), np.nan)
+
 
 def encoded(v: np.ndarray, metric: str, left: bool) -> tuple[np.ndarray, np.ndarray]:
     """Rows whose inner products are greater the nearer they are, and per row what a distance is made of besides."""
@@ -131,23 +135,29 @@ def each_block(batches: Iterable[pa.RecordBatch], metric: str, both_ways: bool,
         yield strip, b, value, counts
 
 
-def all_pairs(df: DataFrame, metric: str, vector: str = "v", both_ways: bool = False, least: float = 1 + 1e-5, c: float = 1.0) -> DataFrame:
-    """(id_i, id_j, value) for id_i < id_j, or for all id_i <> id_j."""
+def all_pairs(
+    df: DataFrame, metric: str, vector: str = "v", both_ways: bool = False, least: float = 1 + 1e-5, c: float = 1.0,
+    label: str | None = None, tree: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+) -> DataFrame:
+    """(id_i, id_j, value) for id_i < id_j, or for all id_i <> id_j; with tree also t, a function of the two integer labels (null as NaN)."""
+    names = ["id_i", "id_j", "value", *(["t"] if tree else [])]
 
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in each_block(batches, metric, both_ways, least, c):
             if block is None:
                 continue
             a, b, value, counts = block
+            la, lb = a.label(), b.label()
             i, j = np.nonzero(counts)
             for begin in range(0, len(i), OUT_ROWS):
                 x, y = i[begin : begin + OUT_ROWS], j[begin : begin + OUT_ROWS]
                 left, right = a.ids[x], b.ids[y]
+                t = [pa.array(np.asarray(tree(la[x], lb[y]), dtype=float))] if tree else []
                 if not both_ways:
                     left, right = np.minimum(left, right), np.maximum(left, right)
-                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(value[x, y])], ["id_i", "id_j", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(value[x, y]), *t], names)
 
-    return pair_tiles(df, vector, both_ways).mapInArrow(compute, "id_i bigint, id_j bigint, value double")
+    return pair_tiles(df, vector, both_ways, label).mapInArrow(compute, "id_i bigint, id_j bigint, value double" + ", t double" * bool(tree))
 
 
 class _Best:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeworks.operators.pairwise import nearest
+from cladeworks.operators.quantiles import exact
 from cladeworks.operators.ranking import numbered
 
 MISSING_DISTANCE = 12.0  # of the sampler
@@ -198,8 +199,7 @@ def shard(row_number: Column, workers: int) -> Column:
 
 def hub_candidates(scores: DataFrame, top: float = 0.2) -> DataFrame:
     """Nodes whose composite score reaches the (1 - top) quantile."""
-    limit = scores.agg(F.percentile("composite", F.lit(1 - top)).alias("limit"))
-    return scores.crossJoin(F.broadcast(limit)).where("composite >= limit").drop("limit")  # one row
+    return scores.where(F.col("composite") >= exact(scores, "composite", [1 - top])[None][0])
 
 
 def difficulty_weight(margin: Column) -> Column:

@@ -5,6 +5,7 @@ Telemetry: run = user_id mod 6, epoch = day since the first event; losses and th
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cladeworks.functions import vectors as V
@@ -12,7 +13,7 @@ from cladeworks.operators import control as C
 from cladeworks.operators import evaluation as R
 from cladeworks.operators import losses as L
 from cladeworks.operators import metrics as E
-from cladeworks.operators import pairwise as P
+from cladeworks.operators.pair_stats import PairStatistics
 from cladeworks.operators.pairs import pair_table
 from cladeworks.plans.binding import CUSTOMER_TAX, PAIRS, VECTORS, customer_nodes, table, vectors
 from cladeworks.sources import artifacts as A
@@ -153,10 +154,7 @@ def wide_embeddings(spark, sf):
 def epoch_record(spark, sf):
     """One row with the metrics of an epoch."""
     v = vectors(spark, sf)
-    pairs = P.all_pairs(v, "lorentz", "x").withColumnRenamed("value", "d")
-    li, lj = v.select(F.col("id").alias("id_i"), F.col("label").alias("a")), v.select(F.col("id").alias("id_j"), F.col("label").alias("b"))
-    t = pairs.join(li, "id_i").join(lj, "id_j").withColumn("t", F.when(F.col("a") == F.col("b"), 0.5).otherwise(4.0))
-    return _rounded(R.epoch_record(t, v))
+    return _rounded(R.epoch_record(PairStatistics(v, "lorentz", lambda a, b: np.where(a == b, 0.5, 4.0), "x"), v))
 
 
 def trend_report(spark, sf):

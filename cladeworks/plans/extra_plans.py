@@ -11,10 +11,11 @@ from cladeworks.operators import control as C
 from cladeworks.operators import mining as M
 from cladeworks.operators import sampling as S
 from cladeworks.operators.pairs import pair_table
+from cladeworks.operators.quantiles import exact
 from cladeworks.operators.ranking import numbered
 from cladeworks.plans.binding import CUSTOMER_TAX, PAIRS, VECTORS, customer_nodes, table, vectors
 from cladeworks.plans.control_plans import _history
-from cladeworks.sources.stages import stage_root
+from cladeworks.sources.stages import stage_root, staged
 from cladeworks.streaming import windows as W
 from cladeworks.streaming.controller_stream import stream_controller as controller_over
 
@@ -87,11 +88,14 @@ def manifold_projection(spark, sf):
 
 def ground_truth_distances(spark, sf):
     """Distribution of tree distances over the matched pairs."""
-    d = pair_table(customer_nodes(spark, sf)).where("distance < 99").agg(
+    matched = staged(pair_table(customer_nodes(spark, sf)).where("distance < 99").select("distance"), "matched")
+    shares = (25, 50, 75, 95)
+    limits = exact(matched, "distance", [p / 100 for p in shares])[None]
+    d = matched.agg(
         F.count("*").alias("n"), F.min("distance").alias("least"), F.max("distance").alias("most"), F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("std"),
-        F.percentile("distance", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, 0.95)])).alias("p"), F.count_distinct("distance").alias("n_distinct"),
+        *[F.lit(x).alias(f"p{p}") for p, x in zip(shares, limits)], F.count_distinct("distance").alias("n_distinct"),
     )
-    return _rounded(d.select("n", "least", "most", "mean", "std", *[F.col("p")[i].alias(f"p{q}") for i, q in enumerate((25, 50, 75, 95))], "n_distinct"))
+    return _rounded(d)
 
 
 def _streamed(frame, spark, mode):

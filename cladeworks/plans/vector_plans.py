@@ -16,6 +16,7 @@ from cladeworks.operators import losses as L
 from cladeworks.operators import metrics as E
 from cladeworks.operators import mining as M
 from cladeworks.operators import pairwise as P
+from cladeworks.operators.pair_stats import PairStatistics, collapse
 from cladeworks.plans.binding import VECTORS, vectors
 
 K_NEGATIVES = 5
@@ -24,19 +25,20 @@ EXPERTS = 8
 
 
 def _tree(a, b):
-    return F.when(a == b, 0.5).when(F.floor(a / 2) == F.floor(b / 2), 2.0).otherwise(4.0)
+    """Tree distances of arrays of labels."""
+    return np.where(a == b, 0.5, np.where(np.floor(a / 2) == np.floor(b / 2), 2.0, 4.0))
 
 
-def _with_tree(pairs, vecs):
-    li = vecs.select(F.col("id").alias("id_i"), F.col("label").alias("label_i"))
-    lj = vecs.select(F.col("id").alias("id_j"), F.col("label").alias("label_j"))
-    joined = pairs.withColumnRenamed("value", "d").join(li, "id_i").join(lj, "id_j")
-    return joined.withColumn("t", _tree(F.col("label_i"), F.col("label_j")))
+def _pairs(spark, sf, both=False, least=1 + 1e-5):
+    return _tree_pairs(vectors(spark, sf), both, least)
 
 
-def _pairs(spark, sf, both=False, least=1 + 1e-5):
-    vecs = vectors(spark, sf)
-    return _with_tree(P.all_pairs(vecs, "lorentz", "x", both, least), vecs)
+def _tree_pairs(vecs, both=False, least=1 + 1e-5):
+    return P.all_pairs(vecs, "lorentz", "x", both, least, label="label", tree=_tree).withColumnRenamed("value", "d")
+
+
+def _statistics(spark, sf):
+    return PairStatistics(vectors(spark, sf), "lorentz", _tree, "x")
 
 
 def _rounded(df, digits=6):
@@ -325,7 +327,7 @@ def ndcg_ranking(spark, sf):
 
 
 def cophenetic(spark, sf):
-    return _rounded(E.cophenetic(_pairs(spark, sf)))
+    return _rounded(_statistics(spark, sf).cophenetic())
 
 
 def spearman_ordinal(spark, sf):
@@ -333,13 +335,13 @@ def spearman_ordinal(spark, sf):
 
 
 def distortion(spark, sf):
-    return _rounded(E.distortion(_pairs(spark, sf)))
+    return _rounded(_statistics(spark, sf).distortion())
 
 
 def collapse_check(spark, sf):
     v = vectors(spark, sf)
     dims = v.select(F.posexplode("v").alias("i", "e")).groupBy("i").agg(F.var_samp("e").alias("v"))
-    return _rounded(E.collapse(v.select(V.norm(F.col("v")).alias("n")), P.all_pairs(v, "euclidean").withColumnRenamed("value", "d"), dims))
+    return _rounded(collapse(v, V.norm(F.col("v")), dims))
 
 
 def radius_structure(spark, sf):
@@ -370,8 +372,7 @@ def downstream_suite(spark, sf):
 
 def evaluation_run(spark, sf):
     """All metrics of an epoch over the lifted vectors."""
-    pairs = _pairs(spark, sf, both=True)
-    return _rounded(R.evaluate(pairs.withColumn("d", F.round("d", 9)), vectors(spark, sf), F.col("t") == 0.5))
+    return _rounded(R.evaluate(vectors(spark, sf), _tree, 0.5))
 
 
 def validation_metrics(spark, sf):
@@ -384,7 +385,7 @@ def verify_before_after(spark, sf):
     half = v.withColumn("x", V.lift(F.slice("v", 1, 32)))
 
     def bundle(vecs):
-        pairs = _with_tree(P.all_pairs(vecs, "lorentz", "x", True), vecs)
+        pairs = _tree_pairs(vecs, True)
         _, edges = _heap(vecs)
         coph = E.cophenetic(pairs.where("id_i < id_j")).select(F.lit("cophenetic").alias("metric"), F.col("correlation").alias("value"))
         ndcg = E.ndcg_ranking(pairs, (10,)).select(F.lit("ndcg_10").alias("metric"), F.col("ndcg").alias("value"))
