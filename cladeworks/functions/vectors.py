@@ -34,6 +34,11 @@ def added(u: Column, v: Column) -> Column:
     return F.zip_with(u, v, lambda x, y: x + y)
 
 
+def summed(v: Column, width: int, weight: Column | float = 1.0) -> Column:
+    """Aggregate: the weighted sum of vectors of that width, an accumulator an entry, so that tasks add up before they shuffle."""
+    return F.array(*[F.sum(v[i] * weight) for i in range(width)])
+
+
 def unit(v: Column, least: float = 1e-12) -> Column:
     return scaled(v, 1 / F.greatest(norm(v), F.lit(least)))
 

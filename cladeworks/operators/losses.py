@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeworks.functions import vectors as V
+from cladeworks.operators.recurrence import last_value
+from cladeworks.sources.stages import staged, unstaged
 
 LOWEST = -3.4028234663852886e38  # least single-precision number: what a masked similarity is set to
 
@@ -85,17 +87,24 @@ def attention_layers(vecs: DataFrame, edges: DataFrame, layers: int, most: float
     """(id, x) after some rounds of messages: vecs (id, x) on the hyperboloid, edges (src, dst, score).
 
     In a round every tangent vector takes what comes along its edges, weighted by the softmax of the scores per target; its norm is
-    held at most and it goes back to the hyperboloid. Nodes without edges keep theirs.
+    held at most and it goes back to the hyperboloid. Nodes without edges keep theirs. A message is summed by the tasks that make it, entry by entry in one
+    row a target, before it is shuffled, and each round is a staged table, so the plan of a round is the same however many there are.
     """
-    weighed = softmax_by(edges, "dst", F.col("score")).select("src", "dst", "attention")
-    now = vecs.select("id", "x")
+    rows = vecs.select("id", "x")
+    width = (rows.agg(F.max(F.size("x"))).first()[0] or 1) - 1
+    tops = edges.groupBy("dst").agg(F.max("score").alias("_top"))
+    weighed = staged(edges.join(tops, "dst").select("src", "dst", F.exp(F.col("score") - F.col("_top")).alias("weight")), "layer-edges")
+    table = None
     for _ in range(layers):
-        tangent = now.select("id", V.space(V.log_zero(F.col("x"))).alias("t"))
-        sent = weighed.join(tangent.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), F.posexplode("t").alias("i", "e"), "attention")
-        got = sent.groupBy("id", "i").agg(F.sum(F.col("attention") * F.col("e")).alias("m")).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda r: r["m"]).alias("m"))
-        moved = tangent.join(got, "id", "left").withColumn("t", F.when(F.col("m").isNull(), F.col("t")).otherwise(V.added(F.col("t"), F.col("m"))))
-        now = moved.select("id", V.exp_zero(V.capped(F.col("t"), most)).alias("x"))
-    return now
+        tangent = rows.select("id", V.space(V.log_zero(F.col("x"))).alias("t"))
+        sent = weighed.join(tangent.withColumnRenamed("id", "src"), "src")
+        got = sent.groupBy(F.col("dst").alias("id")).agg(V.summed(F.col("t"), width, F.col("weight")).alias("m"), F.sum("weight").alias("w"))
+        moved = tangent.join(got, "id", "left").withColumn("t", F.when(F.col("m").isNull(), F.col("t")).otherwise(V.added(F.col("t"), V.scaled(F.col("m"), 1 / F.col("w")))))
+        before, table = table, staged(moved.select("id", V.exp_zero(V.capped(F.col("t"), most)).alias("x")), "layer")
+        if before is not None:
+            unstaged(before)
+        rows = table
+    return rows
 
 
 def triplet(dp: Column, dn: Column, margin: Column | float, temperature: float = 1.0) -> Column:
@@ -137,10 +146,13 @@ def confidence_margin(base: float, confidence: Column, difficulty: Column) -> Co
 
 
 def confidence(observations: DataFrame, rate: float = 0.1, start: float = 0.5) -> DataFrame:
-    """Per node, the running mean of 1 - clip(d / 10) over its observations (node, ord, d) in order."""
-    seen = observations.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("ord", "d"))).alias("s"))
-    value = F.aggregate("s", F.lit(start), lambda acc, x: (1 - rate) * acc + rate * (1 - clamped(x["d"] / 10, 0.0, 1.0)))
-    return seen.select("node", value.alias("confidence"), F.size("s").alias("n"))
+    """Per node, the running mean of 1 - clip(d / 10) over its observations (node, ord, d) in order, and their number.
+
+    A step is (1 - rate) * x + rate * seen, so a node with very many observations is shared by tasks.
+    """
+    seen = rate * (1 - clamped(F.col("d") / 10, 0.0, 1.0))
+    last = last_value(observations, "node", ["ord", "d"], F.lit(1 - rate), seen, start)
+    return last.select("node", F.col("value").alias("confidence"), F.col("n").cast("int").alias("n"))
 
 
 def distillation(student: Column, teacher: Column, temperature: float = 2.0) -> Column:
