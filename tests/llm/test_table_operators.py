@@ -1,9 +1,11 @@
 """Operators 2, 3, 4 and 10 and the pipeline against brute force and SQL."""
 
 import itertools
+import math
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -171,33 +173,99 @@ def test_every_document_once_near_its_weight(spark):
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
     # until the first source runs out each one stays within a block of its share at every slot
     seen, placed = Counter(), Counter((r.slot, r.source or "") for r in got)
-    slots = mixing.whole_weights(weights, mixing.PERIOD)
     by_slot = {slot: s for slot, s in placed}
     for t in range(max(by_slot) + 1):
         if t not in by_slot:
             break
         seen[by_slot[t]] += 1
-        assert all(abs(seen[s] - slots[s] * (t + 1) / mixing.PERIOD) < 1 for s in slots)
+        assert all(abs(seen[s] - Fraction(str(w)) * (t + 1)) < 1 for s, w in weights.items())
     assert t > 5
     again = mixing.mix(df.repartition(7), weights).collect()
     assert {r.doc_id: r.position for r in again} == {r.doc_id: r.position for r in got}
     assert mixing.mix(df.limit(0)).count() == 0
 
 
-def test_period_is_earliest_deadline_first():
+def some_weights(rng):
+    kind = rng.randrange(4)
+    n = rng.randint(1, 12)
+    if kind == 0:
+        return [Fraction(rng.random() + 0.01) for _ in range(n)]
+    if kind == 1:
+        return [Fraction(rng.randint(1, 6)) for _ in range(n)]
+    if kind == 2:
+        return [Fraction(2.0 ** -rng.randint(0, 12)) for _ in range(n)]
+    return [Fraction(math.sqrt(2)), Fraction(math.pi), Fraction(0.0001)] + [Fraction(0.01)] * n
+
+
+def test_slots_are_earliest_deadline_first_whatever_the_ranges():
+    """Every slot gets the released block of the earliest deadline, and a range that starts anywhere goes on as one that started at 0."""
     rng = random.Random(6)
-    for _ in range(20):
-        slots = mixing.whole_weights({f"s{i}": rng.random() + 0.01 for i in range(rng.randint(1, 12))}, 64)
-        assert sum(slots.values()) == 64
-        done = Counter()
-        for t, source in enumerate(mixing.one_period(slots)):
-            ready = {s: -(-(done[s] + 1) * 64 // n) for s, n in slots.items() if done[s] < n and done[s] * 64 // n <= t}
-            assert ready[source] == min(ready.values()) and ready[source] >= t + 1
-            done[source] += 1
+    for _ in range(60):
+        shares = mixing.whole_weights(some_weights(rng))
+        assert sum(shares.parts.tolist()) == shares.whole
+        done, whole = [0] * len(shares.parts), []
+        for t in range(400):
+            assert mixing.placed_before(shares, t).tolist() == done
+            ready = {i: (shares.due(i, n), i) for i, n in enumerate(done) if shares.released(i, n) <= t}
+            i = min(ready, key=ready.get)
+            assert ready[i][0] >= t + 1  # no deadline is missed
+            whole.append((t, i, done[i]))
+            done[i] += 1
+            assert all(abs(n - Fraction(int(p), shares.whole) * (t + 1)) < 1 for n, p in zip(done, shares.parts))
+        cuts = sorted({0, 400, *(rng.randrange(400) for _ in range(6))})
+        assert [x for a, b in zip(cuts, cuts[1:]) for x in mixing.scheduled(shares, a, b)] == whole
+
+
+def test_shares_hold_far_out():
+    """A million slots on, and at the last slot of a stage, blocks are within one of the given weights."""
+    weights = [Fraction(0.70043), Fraction(0.29947), Fraction(0.0001), Fraction(math.pi / 100)]
+    shares = mixing.whole_weights(weights)
+    for begin in (1_000_000, 204_800, mixing.LAST_SLOT - 3000):
+        done = mixing.placed_before(shares, begin).tolist()
+        for t, i, block in mixing.scheduled(shares, begin, begin + 3000):
+            assert block == done[i]
+            done[i] += 1
+            assert all(abs(n - w / sum(weights) * (t + 1)) < 1 for n, w in zip(done, weights))
+
+
+def test_stages_place_every_block_once():
+    rng = random.Random(8)
+    for _ in range(40):
+        weights = some_weights(rng)
+        blocks = np.array([rng.choice([1, 3, 50, 200]) for _ in weights])
+        stages = mixing.staged_plan(weights, blocks)
+        seen = Counter()
+        for s in stages:
+            for _, i, block in mixing.scheduled(s.shares, 0, s.slots):
+                if s.before[i] + block < s.after[i]:
+                    seen[s.sources[i], int(s.before[i] + block)] += 1
+        assert seen == Counter((i, j) for i, n in enumerate(blocks) for j in range(n))
+        assert sum(s.slots for s in stages) <= 2 * blocks.sum() + 4 * len(blocks) * len(stages)
+
+
+def test_shares_of_many_ranges(spark, monkeypatch):
+    """Weights that are no fractions of a small period, over 200 ranges: each source is within a block of its given weight at every slot."""
+    weights = {"a": 0.70043, "b": 0.29947, "c": 0.0001}
+    df = spark.range(24_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 14_000, "a").when(F.col("id") < 23_900, "b").otherwise("c").alias("source"))
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+    rows = mixing.mix(df, weights, range_slots=32).collect()
+    assert sorted(r.position for r in rows) == list(range(24_000))
+    by_slot = {r.slot: r.source for r in rows}
+    blocks, seen = {"a": 3500, "b": 2475, "c": 25}, Counter()
+    for t in range(4990):  # until a runs out
+        seen[by_slot.get(t)] += 1
+        assert all(abs(seen[s] - w * (t + 1) / sum(weights.values())) < 1 for s, w in weights.items() if seen[s] < blocks[s]), t
+    assert len({r.slot for r in rows}) == 6000
+
+
+def test_a_hundred_thousand_sources(spark):
+    df = spark.range(150_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 50_000, "hot").otherwise(F.concat(F.lit("s"), F.col("id").cast("string"))).alias("source"))
+    got = mixing.mix(df).agg(F.count("*").alias("n"), F.count_distinct("position").alias("d"), F.min("position").alias("lo"), F.max("position").alias("hi")).first()
+    assert tuple(got) == (150_000, 150_000, 0, 149_999)
 
 
 def test_many_sources_and_odd_columns(spark, monkeypatch):
-    """5,000 sources: one row per slot, no product of sources; input columns keep their names and values."""
+    """5,000 sources; input columns keep their names and values."""
     monkeypatch.setattr(mixing, "BUCKET_DOCS", 50)
     df = spark.range(12_000).select(
         F.col("id").alias("doc_id"), F.when(F.col("id") < 4000, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 4999).cast("string"))).alias("source"),
