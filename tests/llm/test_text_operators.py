@@ -389,6 +389,26 @@ def test_many_path_rules_on_one_host(spark):
         assert (row.rule, row.verdict, row.found) == (best[1], best[2], "k"), row.url
 
 
+def test_a_key_that_all_hosts_share_is_swept_once(spark, monkeypatch):
+    """Root pages of very many hosts under one rule, and hosts of thousands of labels."""
+    seen = {}
+    real = url_filters.cut
+    monkeypatch.setattr(url_filters, "cut", lambda df, label: seen.setdefault(label, real(df, label)))
+    deep = ".".join(f"l{i}" for i in range(10_000)) + ".com"
+    many = spark.range(40_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id").cast("string"), F.lit(".com/")).alias("url"))
+    odd = spark.createDataFrame([(-1, f"http://{deep}/x"), (-2, f"http://{deep}"), (-3, "http://h7.com/x"), (-4, "http://com/")], "page_id bigint, url string")
+    rules = url_filters.rule_table(spark, [("block", "com/"), ("allow", "h7.com/"), ("block", "l9999.com/x")])
+    got = url_filters.filter_urls(many.unionByName(odd), rules)
+    told = {(r.rule, r.verdict): r["count"] for r in got.where("page_id >= 0").groupBy("rule", "verdict").count().collect()}
+    assert told == {("com/", "block"): 39_999, ("h7.com/", "allow"): 1}
+    assert {r.page_id: (r.rule, r.verdict) for r in got.where("page_id < 0").collect()} == {-1: ("l9999.com/x", "block"), -2: (None, "allow"), -3: ("h7.com/", "allow"), -4: ("com/", "block")}
+    sweep = seen["url-sweep"]
+    assert sweep.where(F.col("key") == F.encode(F.lit("com.//"), "UTF-8")).count() == 2  # where the rule opens, and the pages
+    sizes = sweep.groupBy("range").count().collect()
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 20_000
+    assert seen["url-points"].agg(F.max(F.length("key"))).first()[0] < 30
+
+
 # --- 8: secrets
 
 def simple_secrets(text):
