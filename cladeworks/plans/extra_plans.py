@@ -16,8 +16,9 @@ from cladeworks.operators.ranking import numbered
 from cladeworks.plans.binding import CUSTOMER_TAX, PAIRS, VECTORS, customer_nodes, table, vectors
 from cladeworks.plans.control_plans import _history
 from cladeworks.sources.stages import stage_root, staged
+from cladeworks.streaming import controller_stream as CS
+from cladeworks.streaming import sinks
 from cladeworks.streaming import windows as W
-from cladeworks.streaming.controller_stream import stream_controller as controller_over
 
 
 def _rounded(df, digits=6):
@@ -101,15 +102,8 @@ def ground_truth_distances(spark, sf):
 def _streamed(frame, spark, mode):
     """What a stream has written once all there is has been read."""
     root = f"{stage_root(spark)}/streams/{uuid.uuid4().hex}"
-    rows = []
-    schema = frame.schema
-
-    def keep(batch, number):
-        batch.write.mode("append").parquet(f"{root}/out")
-        rows.append(number)
-
-    frame.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{root}/out")
+    sinks.run(frame, f"{root}/out", f"{root}/checkpoint", mode).awaitTermination()
+    return sinks.read_batches(spark, f"{root}/out", frame.schema)
 
 
 def stream_sessions(spark, sf):
@@ -122,11 +116,18 @@ def stream_sessions(spark, sf):
 
 
 def stream_controller(spark, sf):
-    """The controller over a stream of epochs."""
+    """The controller over a stream of epochs, which arrive out of order: the files are in no order, and all runs' epochs lie in all of them."""
     path = f"{stage_root(spark)}/streams/in-{uuid.uuid4().hex}"
-    _history(spark, sf).coalesce(1).write.parquet(path)
-    stream = W.read_stream(spark, path, "run bigint, epoch bigint, train_loss double, val_loss double, mrr double")
-    return _streamed(controller_over(stream, C.ControllerConfig(gap_tolerance=1.0, plateau_threshold=0.5)), spark, "append")
+    history = CS.ended(CS.timed_epochs(_history(spark, sf)), "400 days")
+    history.repartition(4, F.xxhash64("epoch", "run")).write.parquet(path)
+    stream = W.read_stream(spark, path, history.schema, files_per_batch=2)
+    cfg = C.ControllerConfig(gap_tolerance=1.0, plateau_threshold=0.5)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", CS.STORE)
+    try:
+        return _streamed(CS.stream_controller(stream, cfg, "400 days"), spark, "append")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
 QUERIES = {

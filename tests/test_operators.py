@@ -248,22 +248,6 @@ def test_controller_advances_rolls_back_and_stops(spark):
     assert step(state, 1.0, 1.0, 0.0, cfg) == "STAY"
 
 
-def test_stream_controller_equals_replay(spark, tmp_path):
-    from cladeworks.streaming.controller_stream import stream_controller
-
-    rng = np.random.default_rng(3)
-    rows = [(int(r), e, float(1 / (e + 1)), float(1 / (e + 1) + rng.random() * 0.8), float(rng.random())) for r in range(3) for e in range(12)]
-    schema = "run bigint, epoch bigint, train_loss double, val_loss double, mrr double"
-    history = spark.createDataFrame(rows, schema)
-    for part in range(3):
-        history.where(F.floor(F.col("epoch") / 4) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = stream_controller(stream).writeStream.format("memory").queryName("ctl").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    pick = lambda df: sorted((r.run, r.epoch, r.phase, r.action) for r in df.collect())
-    assert pick(spark.table("ctl")) == pick(control.controller_replay(history))
-
-
 def test_stream_sessions_equal_sessions_whatever_the_files(spark, tmp_path):
     from cladeworks.plans import control_plans, extra_plans
 
@@ -276,20 +260,6 @@ def test_stream_sessions_equal_sessions_whatever_the_files(spark, tmp_path):
     assert sum(r[2] for r in got) == events.count()
 
 
-def test_event_handlers_that_fail_do_not_stop_others(spark, tmp_path):
-    from cladeworks.streaming.controller_stream import publish
-
-    spark.createDataFrame([("a", 1), ("b", 2)], "kind string, n int").write.parquet(str(tmp_path / "in"))
-    seen = []
-
-    def broken(rows):
-        raise RuntimeError("no")
-
-    stream = spark.readStream.schema("kind string, n int").parquet(str(tmp_path / "in"))
-    publish(stream, {"a": broken, "b": lambda rows: seen.extend(r.n for r in rows.collect())}, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    assert seen == [2] and spark.read.parquet(str(tmp_path / "out")).count() == 2
-
-
 def test_channel_tokens_cover_whole_texts(spark):
     from cladeworks.operators import textetl
     from cladeworks.plans import graph_text_plans
