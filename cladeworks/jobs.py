@@ -4,7 +4,7 @@ preprocess reads titles, descriptions, cross_references and examples and writes
 relations and distances read taxonomy, triplets reads distances and relations; all runs them in order.
 curriculum reads taxonomy, relations, distances and training_pairs and writes node_scores, relation_cardinality and
 difficulty_thresholds. verify compares encodings before and after; investigate describes the distances, report a training history;
-check looks whether the tables are there; config prints the settings (--settings FILE, and changes like sampling.seed=7).
+tokens reads taxonomy and vocabulary (piece, id) and writes tokens, once; check looks whether the tables are there; config prints the settings (--settings FILE, and changes like sampling.seed=7).
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeworks import config
-from cladeworks.operators import control, evaluation, graph, metrics, pairs, pairwise, textetl, triplets
+from cladeworks.operators import control, evaluation, graph, metrics, pairs, pairwise, subwords, textetl, triplets
 from cladeworks.session import session
-from cladeworks.sources import artifacts
+from cladeworks.sources import artifacts, leases
 from cladeworks.sources.stages import staged
 
 REQUIRED = {
@@ -84,6 +84,20 @@ def investigate(spark: SparkSession, data: str) -> None:
     pairs.counts_by(read(spark, data, "distances"), "distance").orderBy("distance").show(50)
 
 
+CHANNELS = {"title": 24, "description": 512, "excluded": 512, "examples": 512}
+
+
+def tokens(spark: SparkSession, data: str) -> None:
+    """Sub-word ids of all channels, by the pieces of the table vocabulary (piece, id); made once, however many of these jobs run."""
+    token_cache(spark, data).groupBy().agg(*[F.count_if(F.aggregate(f"{c}_mask", F.lit(0), lambda s, x: s + x) > 0).alias(c) for c in CHANNELS]).show()
+
+
+def token_cache(spark: SparkSession, data: str) -> DataFrame:
+    """What tokens() has made, or makes."""
+    texts = lambda: read(spark, data, "taxonomy").select("index", *CHANNELS)
+    return leases.made_once(spark, f"{data}/tokens", lambda: subwords.encoded(texts(), "index", CHANNELS, read(spark, data, "vocabulary")))
+
+
 def curriculum(spark: SparkSession, data: str) -> None:
     """Scores of nodes, classes of relations and difficulty limits, each written as a table."""
     both = staged(read(spark, data, "relations").join(read(spark, data, "distances"), ["idx_i", "idx_j", "code_i", "code_j"]), "pairs")
@@ -116,7 +130,7 @@ def check(spark: SparkSession, data: str) -> None:
 JOBS: dict[str, list[Callable[[SparkSession, str], None]]] = {
     "preprocess": [preprocess], "relations": [relations], "distances": [distances], "triplets": [training_pairs],
     "all": [preprocess, relations, distances, training_pairs], "verify": [verify], "investigate": [investigate],
-    "curriculum": [curriculum], "report": [report], "check": [check],
+    "curriculum": [curriculum], "tokens": [tokens], "report": [report], "check": [check],
 }
 
 

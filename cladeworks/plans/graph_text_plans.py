@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cladeworks.operators import graph as G
+from cladeworks.operators import subwords as S
 from cladeworks.operators import textetl as X
 from cladeworks.operators.pairs import pair_table
 from cladeworks.operators.sampling import hub_candidates as hubs
@@ -146,6 +147,21 @@ def channel_tokens(spark, sf):
     return t.select("doc_id", "window", F.array_join("title_tokens", "|").alias("title"), F.md5(F.array_join("description_tokens", "|")).alias("digest"), F.aggregate("description_mask", F.lit(0), lambda s, x: s + x).alias("n"))
 
 
+# A small vocabulary: characters, and some endings and beginnings of words, at the front of words and inside of them; signs only as words.
+_PARTS = [*"abcdefghijklmnopqrstuvwxyz0123456789", *"er en in the ch ung st tion al an on or re es ti nd th ion ing ver der sch heit keit lich que ent aire des".split()]
+_SIGNS = list(".,;:!?-()|@+/%=")
+TITLE, BODY = 8, 256
+
+
+def subword_tokens(spark, sf):
+    """Source and whole text of every document as sub-word ids in windows of 8 and 256 places."""
+    vocab = S.vocabulary(spark, [*_PARTS, *_SIGNS, *[S.INSIDE + p for p in _PARTS]])
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")).alias("body"))
+    t = S.encoded(d, "doc_id", {"title": TITLE, "body": BODY}, vocab)
+    ids = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return t.select("doc_id", "window", ids("title_ids").alias("title"), F.md5(ids("body_ids")).alias("digest"), F.aggregate("body_mask", F.lit(0), lambda s, x: s + x).alias("n"))
+
+
 def html_strip(spark, sf):
     p = table(spark, sf, "pages").select("page_id", X.html_stripped(F.col("html")).alias("t"))
     return p.select("page_id", F.length("t").alias("n"), F.md5("t").alias("digest"))
@@ -155,7 +171,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         edge_index_weights, degree_centrality, pagerank, kcore, node_composite, hub_candidates, relation_cardinality, difficulty_thresholds,
-        doc_blocks, doc_blocks_clean, doc_last_block, doc_codes_extracted, doc_code_lists, doc_examples_merge, doc_fill_missing, channel_tokens, html_strip,
+        doc_blocks, doc_blocks_clean, doc_last_block, doc_codes_extracted, doc_code_lists, doc_examples_merge, doc_fill_missing, channel_tokens, subword_tokens, html_strip,
     )
 }
 
@@ -189,6 +205,27 @@ def _clean_sql(c):
 
 _KNOWN = "known AS (SELECT CAST(doc_id + 100000 AS VARCHAR) AS code FROM documents UNION SELECT CAST(doc_id % 10000 AS VARCHAR) FROM documents)"
 
+def _subword_sql():
+    quoted = lambda xs: "[" + ", ".join("'" + x + "'" for x in xs) + "]"
+    parts = "|".join(sorted(_PARTS, key=len, reverse=True))
+    first, signs = len(S.SPECIAL), len(_PARTS)
+    words = r"""regexp_extract_all(translate(coalesce(t, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x60\x7B-\x7E]')"""
+    window = lambda n: f"[2] || ids[k * {n - 2} + 1:k * {n - 2} + {n - 2}] || [3]"
+    padded = lambda n, x: f"array_to_string(list_resize({x}, {n}, 0), ',')"
+    return f"""WITH t AS (SELECT doc_id, 0 AS c, source AS t FROM documents UNION ALL SELECT doc_id, 1, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END FROM documents),
+      w AS MATERIALIZED (SELECT doc_id, c, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM (SELECT doc_id, c, {words} AS ws FROM t)),
+      cut AS (SELECT word, regexp_extract_all(word, '{parts}') AS p FROM (SELECT DISTINCT word FROM w)),
+      known AS MATERIALIZED (SELECT word, CASE WHEN list_position({quoted(_SIGNS)}, word) > 0 THEN [CAST({first + signs - 1} + list_position({quoted(_SIGNS)}, word) AS INTEGER)]
+        WHEN length(array_to_string(p, '')) = length(word) AND length(word) <= 100 THEN list_transform(p, lambda x, i: CAST(CASE WHEN i = 1 THEN {first - 1} ELSE {first + signs + len(_SIGNS) - 1} END + list_position({quoted(_PARTS)}, x) AS INTEGER))
+        ELSE [1] END AS ids FROM cut),
+      body AS (SELECT doc_id, c, flatten(list(ids ORDER BY place)) AS ids FROM w JOIN known USING (word) GROUP BY 1, 2),
+      whole AS (SELECT doc_id, c, CASE WHEN t IS NULL OR t = '' THEN [4] ELSE coalesce(ids, CAST([] AS INTEGER[])) END AS ids FROM t LEFT JOIN body USING (doc_id, c)),
+      k AS (SELECT doc_id, c, ids, unnest(range(greatest(CAST(ceil(len(ids) / CASE c WHEN 0 THEN {TITLE - 2}.0 ELSE {BODY - 2}.0 END) AS INTEGER), 1))) AS k FROM whole),
+      a AS (SELECT doc_id, k, {window(TITLE)} AS x FROM k WHERE c = 0), b AS (SELECT doc_id, k, {window(BODY)} AS x FROM k WHERE c = 1)
+      SELECT doc_id, CAST(k AS INTEGER) AS "window", {padded(TITLE, "coalesce(a.x, CAST([] AS INTEGER[]))")} AS title, md5({padded(BODY, "coalesce(b.x, CAST([] AS INTEGER[]))")}) AS digest,
+        CAST(coalesce(len(b.x), 0) AS INTEGER) AS n FROM a FULL JOIN b USING (doc_id, k)"""
+
+
 SQL = {
     "edge_index_weights": f"""WITH {CUSTOMER_TAX}, {PAIRS}, k AS (SELECT * FROM pairs WHERE relation IN ('child', 'sibling', 'grandchild')), t AS (SELECT relation, row_number() OVER (ORDER BY relation) - 1 AS type FROM (SELECT DISTINCT relation FROM k)),
       o AS (SELECT idx_i AS s, idx_j AS d, type, greatest(0.05, 1.0 / (1 + 0.2 * greatest(0, relation_id - 1))) AS w FROM k JOIN t USING (relation)), nd AS (SELECT s FROM o UNION SELECT d FROM o),
@@ -233,6 +270,7 @@ SQL = {
       a AS (SELECT * FROM w UNION ALL SELECT * FROM f),
       o AS (SELECT k.code, arg_min(a.t, s) AS t FROM k, (VALUES (1), (2), (3), (4), (9)) v(s) JOIN a ON a.code = k.code || CAST(s AS VARCHAR) WHERE length(k.code) = 4 AND k.t = '' GROUP BY 1)
       SELECT code, md5(t) AS digest FROM a UNION ALL SELECT code, md5(CASE WHEN starts_with(t, 'This NAICS industry') THEN 'This industry group' || substr(t, 20) ELSE 'This industry group' || substr(t, 14) END) FROM o""",
+    "subword_tokens": _subword_sql(),
     "channel_tokens": r"""WITH d AS (SELECT doc_id, coalesce(nullif(source, ''), '[EMPTY]') AS s, CASE WHEN doc_id % 5 = 0 THEN '[EMPTY]' ELSE coalesce(nullif(text, ''), '[EMPTY]') END AS t FROM documents),
       a AS (SELECT doc_id, regexp_split_to_array(s, '\s+') AS s, regexp_split_to_array(t, '\s+') AS t FROM d),
       k AS (SELECT doc_id, s, t, unnest(range(0, greatest((len(s) - 1) // 512, (len(t) - 1) // 512) + 1)) AS k FROM a),

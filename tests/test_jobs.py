@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from cladeworks import jobs
-from cladeworks.operators import graph
+from cladeworks.operators import graph, subwords
 from cladeworks.operators.inference import embedded
 from cladeworks.sources import stages
 
@@ -24,6 +24,11 @@ def test_jobs_from_texts_to_triplets(spark, tmp_path, capsys):
     assert [(r.code_i, r.code_j) for r in excluded] == [("111111", "112111")]
     rows = spark.read.parquet(f"{data}/training_pairs")
     assert rows.count() > 0 and "anchor" in rows.columns and rows.where("margin <= 0").count() == 0
+    subwords.vocabulary(spark, ["t", "about", "##1", "##2", "1", "2", "not", "e"]).write.parquet(f"{data}/vocabulary")
+    jobs.tokens(spark, data)
+    top = spark.read.parquet(f"{data}/taxonomy").where("code = '11'").first()["index"]
+    first = jobs.token_cache(spark, data).where(f"index = {top} and window = 0").first()
+    assert first.title_ids[:6] == [2, 5, 7, 7, 3, 0] and len(first.title_ids) == 24 and first.description_ids[:3] == [2, 6, 9] and sum(first.excluded_mask) == 3
     rng = np.random.default_rng(0)
     for name in ("before", "after"):
         v = [(i, c, *[float(x) for x in (1.5, *rng.normal(size=2))]) for i, c in enumerate(codes)]
