@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import functions as F
 
+from cladeworks.functions import manifold as MF
 from cladeworks.functions import vectors as V
 from cladeworks.operators import control as C
 from cladeworks.operators import mining as M
@@ -87,6 +89,25 @@ def manifold_projection(spark, sf):
     return _rounded(v.select("id", moved.alias("m")).select("id", (V.off_manifold(F.col("m")) < 1e-4).alias("was_on"), F.col("m")[0].alias("before"), back[0].alias("after")))
 
 
+LEARNED = {1: 5.0, 2: 0.01, 3: 1.7, 4: 60.0}
+
+
+def manifold_counts(spark, sf):
+    """By phase: the curvature, points of it that were pushed off (every third, unless they were pushed by nothing), and where the points are after they were kept on it."""
+    v = vectors(spark, sf).select("id", "v")
+    rows = []
+    for phase, learned in LEARNED.items():
+        m = MF.Manifold(MF.Curvature(learned).at(phase))
+        x = V.lift(F.col("v"), m.c)
+        pushed = v.select("id", F.when(F.col("id") % 3 == 0, F.concat(F.array(x[0] + (F.col("id") % 2) * 0.25), V.space(x))).otherwise(x).alias("x"))
+        points, seen = m.kept(pushed, "x", f"phase-{phase}-{uuid.uuid4().hex}")
+        points = staged(points, "points")  # the one action: it writes the points and counts
+        told = m.diagnostics(seen)
+        after = points.agg(F.count_if(m.off(F.col("x")) > MF.TOLERANCE).alias("left_off"), F.avg(V.radius(F.col("x"))).alias("mean_radius"))
+        rows.append(after.select(F.lit(phase).alias("phase"), *[F.lit(told[k]).alias(k) for k in ("curvature", "points", "violations", "projected", "worst")], "left_off", "mean_radius"))
+    return _rounded(functools.reduce(lambda a, b: a.unionByName(b), rows))
+
+
 def ground_truth_distances(spark, sf):
     """Distribution of tree distances over the matched pairs."""
     matched = staged(pair_table(customer_nodes(spark, sf)).where("distance < 99").select("distance"), "matched")
@@ -134,7 +155,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hard_negative_cache, hard_negative_sample, blended_sample, evaluation_codes, consecutive_anchors, masked_pooling, moe_forward,
-        manifold_projection, ground_truth_distances, stream_sessions, stream_controller,
+        manifold_projection, manifold_counts, ground_truth_distances, stream_sessions, stream_controller,
     )
 }
 
@@ -154,6 +175,10 @@ SQL = {
       w AS (SELECT id, v[e * 16 + 1:e * 16 + 16] AS q, exp(l) / sum(exp(l)) OVER (PARTITION BY id) AS w FROM t WHERE nth <= 2), u AS (SELECT id, w, unnest(q) AS x, unnest(range(1, 17)) AS i FROM w), y AS (SELECT id, i, sum(w * x) AS y FROM u GROUP BY 1, 2)
       SELECT id, round(max(y) FILTER (i = 1), 6) AS first, round(sqrt(sum(y * y)), 6) AS norm FROM y GROUP BY 1""",
     "manifold_projection": f"WITH {VECTORS} SELECT id, id % 2 = 1 AS was_on, round(x[1] + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END, 6) AS before, round(x[1], 6) AS after FROM lifted",
+    "manifold_counts": f"""WITH {VECTORS}, c(phase, c) AS (VALUES (1, 2.0::DOUBLE), (2, 0.1::DOUBLE), (3, 1.7::DOUBLE), (4, 10.0::DOUBLE)),
+      p AS (SELECT phase, c, id, list_inner_product(v, v) AS s, sqrt(list_inner_product(v, v) + 1 / c) AS t, CASE WHEN id % 6 = 3 THEN 0.25::DOUBLE ELSE 0 END AS push FROM vec, c),
+      o AS (SELECT *, abs(s - (t + push) * (t + push) + 1 / c) AS off FROM p)
+      SELECT CAST(phase AS INTEGER) AS phase, any_value(c) AS curvature, count(*) AS points, count(*) FILTER (off > 1e-4) AS violations, count(*) FILTER (off > 1e-4) AS projected, round(max(off), 6) AS worst, 0 AS left_off, round(avg(t), 6) AS mean_radius FROM o GROUP BY phase""",
     "ground_truth_distances": f"""WITH {CUSTOMER_TAX}, {PAIRS}, q AS (SELECT quantile_cont(distance, [0.25, 0.5, 0.75, 0.95]) AS p, count(*) AS n, min(distance) AS lo, max(distance) AS hi, avg(distance) AS m, stddev_pop(distance) AS s, count(DISTINCT distance) AS k FROM pairs WHERE distance < 99)
       SELECT n, lo AS least, hi AS most, round(m, 6) AS mean, round(s, 6) AS std, p[1] AS p25, p[2] AS p50, p[3] AS p75, p[4] AS p95, k AS n_distinct FROM q""",
 }
