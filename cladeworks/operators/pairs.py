@@ -32,6 +32,11 @@ RELATIONS = {
 }
 
 
+def kept(level_i: Column, code_i: Column, level_j: Column, code_j: Column) -> Column:
+    """Whether kept_pairs() has the pair, told from its two nodes."""
+    return (level_i <= level_j) & ((F.substring(code_i, 1, 2) != F.substring(code_j, 1, 2)) | (code_i < code_j))
+
+
 def kept_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs in which the first is not the deeper: ordered inside a raw prefix, both ways across prefixes.
 

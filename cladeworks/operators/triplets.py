@@ -5,9 +5,14 @@ Input is a pair table with idx_i, idx_j, code_i, code_j, relation_id, distance.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeworks.operators.pairs import kept, pair_table
+from cladeworks.sources.stages import stage_root, staged
+
 UNRELATED = 99.0
 # Margins of special cases and the weights of the two margins.
 EXCLUDED_MARGIN, UNRELATED_RELATION, UNRELATED_DISTANCE = 0.1, 15.0, 10.0
@@ -74,12 +79,43 @@ def with_margins(df: DataFrame) -> DataFrame:
 def triplets(pairs: DataFrame) -> DataFrame:
     """All triplets with positive margins: the negative is a pair of the positive and of the anchor."""
     joined = positives(pairs).join(negative_candidates(pairs), "positive_code").join(negatives(pairs), ["anchor_code", "negative_code"])
-    return with_margins(joined).select(
-        "anchor_idx", "positive_idx", "negative_idx", "anchor_code", "positive_code", "negative_code",
-        F.length("anchor_code").alias("anchor_level"), F.length("positive_code").alias("positive_level"), F.length("negative_code").alias("negative_level"),
-        "excluded", "unrelated", "relation_margin", "distance_margin", "margin",
-        "positive_relation", "negative_relation", "positive_distance", "negative_distance",
-    )
+    return with_margins(joined).withColumns({f"{c}_level": F.length(f"{c}_code") for c in ("anchor", "positive", "negative")}).select(*COLUMNS)
+
+
+COLUMNS = (
+    "anchor_idx", "positive_idx", "negative_idx", "anchor_code", "positive_code", "negative_code", "anchor_level", "positive_level", "negative_level",
+    "excluded", "unrelated", "relation_margin", "distance_margin", "margin", "positive_relation", "negative_relation", "positive_distance", "negative_distance",
+)
+
+
+class Layout:
+    """Positives and negatives of a taxonomy's own pair table, as tables bucketed and sorted by anchor.
+
+    A pair table that is made from the nodes has every pair that pairs.kept() keeps, so whether a negative is a pair of the positive is told from their two codes. That leaves one
+    join, on the anchor, whose sides lie in the same buckets: triplets are made without an exchange, however many they are.
+    """
+
+    def __init__(self, nodes: DataFrame, excluded: DataFrame | None = None, buckets: int | None = None):
+        spark = nodes.sparkSession
+        pairs = staged(pair_table(nodes, excluded), "layout-pairs")
+        buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        negative = negatives(pairs).join(F.broadcast(nodes.select(F.col("code").alias("anchor_code"), F.col("index").alias("anchor_idx"))), "anchor_code")  # a row a node
+        self.positives = self._table(positives(pairs).where("positive_distance > 0"), buckets, "positives")
+        self.negatives = self._table(negative.drop("anchor_code"), buckets, "negatives")
+
+    @staticmethod
+    def _table(df: DataFrame, buckets: int, name: str) -> DataFrame:
+        spark, table = df.sparkSession, f"cladeworks_{name}_{uuid.uuid4().hex}"
+        # dealt by the bucket's own hash, so each bucket is one sorted file
+        df.repartition(buckets, "anchor_idx").write.bucketBy(buckets, "anchor_idx").sortBy("anchor_idx").option("path", f"{stage_root(spark)}/{table}").saveAsTable(table)
+        return spark.table(table)
+
+    def triplets(self) -> DataFrame:
+        """What triplets() gives for the pair table."""
+        level = lambda code: F.length(code)
+        fits = kept(level("positive_code"), F.col("positive_code"), level("negative_code"), F.col("negative_code"))
+        joined = self.positives.join(self.negatives.hint("merge"), "anchor_idx").where(fits)
+        return with_margins(joined).withColumns({f"{c}_level": level(f"{c}_code") for c in ("anchor", "positive", "negative")}).select(*COLUMNS)
 
 
 def cap_unrelated(df: DataFrame, order: Column, most: int = CAP) -> DataFrame:

@@ -25,7 +25,8 @@ def _pairs(spark, sf):
 
 
 def _triplets(spark, sf):
-    return R.triplets(_pairs(spark, sf))
+    nodes = supplier_nodes(spark, sf)
+    return R.Layout(nodes, exclusions(nodes)).triplets()
 
 
 def _order():
@@ -57,6 +58,13 @@ def triplet_stats(spark, sf):
     return R.stats(_triplets(spark, sf)).select("positive_relation", "negative_relation", "n", F.round("pct", 6).alias("pct"))
 
 
+def triplet_stats_large(spark, sf):
+    """The same over the large taxonomy, whose triplets are made and counted where their anchors lie."""
+    nodes = customer_nodes(spark, sf)
+    counts = R.stats(R.Layout(nodes, exclusions(nodes)).triplets())
+    return counts.select("positive_relation", "negative_relation", "n", F.round("pct", 6).alias("pct"))
+
+
 def triplets_capped(spark, sf):
     return _digest(R.cap_unrelated(_triplets(spark, sf), _order(), 20))
 
@@ -131,7 +139,7 @@ def nested_negatives(spark, sf):
 
 def multi_level_positives(spark, sf):
     nodes = supplier_nodes(spark, sf)
-    lists = S.nested(R.triplets(staged(pair_table(nodes, exclusions(nodes)), "pairs")))
+    lists = S.nested(R.Layout(nodes, exclusions(nodes)).triplets())
     return S.multi_level(lists, T.ancestors(nodes)).select("anchor_code", "positive_code", "steps", "n_negatives")
 
 
@@ -165,7 +173,7 @@ def worker_shards(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        positive_pairs, negative_pairs, triplet_margins, triplet_stats, triplets_capped, triplets_partition_scan, filtered_candidates,
+        positive_pairs, negative_pairs, triplet_margins, triplet_stats, triplet_stats_large, triplets_capped, triplets_partition_scan, filtered_candidates,
         phase1_weights, scheduler_weights, sans_weights, sans_metadata, phase1_sample, sans_sample, uniform_sample, weighted_topn, margin_weights,
         nested_negatives, multi_level_positives, padded_negatives, curriculum_negatives, difficulty_weights, train_split, worker_shards,
     )

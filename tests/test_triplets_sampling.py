@@ -76,3 +76,25 @@ def test_split_keeps_one_row_each(spark):
     two = S.ordered_split(spark.range(2), ["id"])
     assert rows(two, "id", "split") == [(0, "train"), (1, "validation")]
     assert S.ordered_split(spark.range(100), ["id"]).where("split = 'train'").count() == 95
+
+
+def odd_nodes(spark):
+    codes = ["11", "111", "1111", "11111", "111111", "111112", "112", "31", "311", "32", "321", "3211", "32111", "321111", "321112", "44", "441", "45", "451", "4511", "45111", "451111"]
+    return spark.createDataFrame([(i, c, len(c)) for i, c in enumerate(codes)], "index int, code string, level int")
+
+
+def test_triplets_laid_out_are_those_of_three_joins(spark):
+    from cladeworks.operators.pairs import pair_table
+
+    nodes = odd_nodes(spark)
+    excluded = spark.createDataFrame([("111111", ["111112", "321111"]), ("3211", ["45"])], "code string, excluded_codes array<string>")
+    layout = R.Layout(nodes, excluded, 3)
+    want = sorted(map(tuple, R.triplets(pair_table(nodes, excluded)).collect()))
+    assert want and sorted(map(tuple, layout.triplets().collect())) == want
+    counts = {(r.positive_relation, r.negative_relation): r.n for r in R.stats(layout.triplets()).collect()}
+    assert sum(counts.values()) == len(want)
+
+
+def test_triplets_laid_out_need_no_exchange(spark):
+    plan = R.Layout(odd_nodes(spark), None, 4).triplets()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
