@@ -21,9 +21,9 @@ import math
 import random
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -138,7 +138,9 @@ class Segment(NamedTuple):
 
 ANY, GLUED_LEFT, GLUED_RIGHT, LINE_START, LINE_END = (AT[x] for x in ("any", "glued_left", "glued_right", "line_start", "line_end"))
 CHAIN_LEFT, CHAIN_RIGHT = AT["chain_left"], AT["chain_right"]
-DATES = ([4, 2, 2], [2, 2, 4], [4, 1, 2], [4, 2, 1])
+DATES = frozenset(((4, 2, 2), (2, 2, 4), (4, 1, 2), (4, 2, 1)))
+DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)  # a digit twice, its digits summed
+KNOWN = 50_000  # looks of runs that a task remembers before it starts anew
 
 
 def _left(text: str, start: int) -> tuple[int, ...]:
@@ -194,8 +196,22 @@ def address_segments(text: str) -> Iterator[Segment]:
             label = follows
 
 
+Judge = Callable[[int, tuple[int, ...]], Any]
+
+
 def number_segments(text: str) -> Iterator[Segment]:
     """Runs of neighbouring groups of digits that an address, a card or a phone number can have, with a sign or bracket before them."""
+    for at, stop, kinds in number_runs(text, lambda rank, features: 0, {}):
+        for rank, features, _ in kinds:
+            yield Segment(at, stop, rank, features)
+
+
+def number_runs(text: str, judge: Judge, known: dict) -> Iterator[tuple[int, int, list[tuple[int, tuple[int, ...], Any]]]]:
+    """(start, stop, kinds) of the same runs, where judge has something to say on one kind at least: kinds has (rank, features, judge's word).
+
+    What a run looks like is kept up to date group by group, from its last group backwards, and runs that look the same share their kinds through known, so
+    a long table of numbers costs a few steps for each group that a number can have.
+    """
     chain: list[tuple[int, int, str]] = []  # start, stop, what stands before it in the number
     lefts: dict[int, tuple[int, ...]] = {}
     ahead = GROUP.search(text)
@@ -210,21 +226,64 @@ def number_segments(text: str) -> Iterator[Segment]:
             chain, lefts = [], {}
             continue
         right: tuple[int, ...] | None = None
-        n = 0
+        n = groups = fours = widest = check = 0
+        alike, slash, open_, point = True, False, 0, True
+        last, sep, behind = stop - start, "", ""
+        second = third = 0  # sizes of the groups behind the first
         for first in range(len(chain) - 1, -1, -1):
-            begin = chain[first][0]
-            n += chain[first][1] - begin
-            if n > MOST_DIGITS:
+            begin, end, before = chain[first]
+            size = end - begin
+            if n + size > MOST_DIGITS:
                 break
-            groups = chain[first:]
-            if n >= 7 or (len(groups) == 4 and n >= 4):
+            if groups:  # behind stands between this group and the one after it
+                if groups == 1:
+                    sep = behind
+                elif behind != sep:
+                    alike = False
+                if behind != ".":
+                    point = False
+                    if behind != " ":
+                        slash = slash or "/" in behind
+                        open_ += behind.count("(") - behind.count(")")
+            for c in text[end - 1 : begin - 1 if begin else None : -1]:
+                d = ord(c) - 48
+                check += d if n % 2 == 0 else DOUBLED[d]
+                n += 1
+            groups += 1
+            fours += size == 4
+            if size > widest:
+                widest = size
+            if n >= 7 or (groups == 4 and n >= 4):
                 if right is None:
                     linked = ahead and ahead.start() - stop <= 3 and BETWEEN.issuperset(text[stop : ahead.start()])
                     right = (*_right(text, stop), CHAIN_RIGHT) if linked else _right(text, stop)
-                for at in _begins(text, begin):
-                    if at not in lefts:
-                        lefts[at] = (*_left(text, at), CHAIN_LEFT) if first else _left(text, at)
-                    yield from _numbers(text, at, stop, n, groups, lefts[at] + right)
+                left = lefts.get(begin)
+                if left is None:
+                    left = lefts[begin] = (*_left(text, begin), CHAIN_LEFT) if first else _left(text, begin)
+                quad = groups == 4 and widest <= 3 and point
+                if n >= 7 or quad:
+                    dated = slash or (groups > 2 and (size, second, third) in DATES)
+                    in_fours = groups > 2 and last <= 4 and size == 4 and fours >= groups - 1
+                    key = (
+                        n, groups if groups < 4 else 4, alike and sep == ".", alike, open_ != 0, dated, quad and all([_byte(text[x:y]) for x, y, _ in chain[first:]]), quad,
+                        n >= 12 and check % 10 == 0, in_fours, groups == 3 and (size, second, third) == (3, 3, 4), left, right,
+                    )
+                    kinds = known.get(key)
+                    if kinds is None:
+                        if len(known) > KNOWN:
+                            known.clear()
+                        kinds = known[key] = [(s.rank, s.features, word) for s in _numbers(text, begin, stop, n, chain[first:], left + right) if (word := judge(s.rank, s.features)) is not None]
+                    if kinds:
+                        yield begin, stop, kinds
+                if begin and text[begin - 1] in "+(":
+                    for at in _begins(text, begin):
+                        if at < begin:
+                            if at not in lefts:
+                                lefts[at] = (*_left(text, at), CHAIN_LEFT) if first else _left(text, at)
+                            kinds = [(s.rank, s.features, word) for s in _numbers(text, at, stop, n, chain[first:], lefts[at] + right) if (word := judge(s.rank, s.features)) is not None]
+                            if kinds:
+                                yield at, stop, kinds
+            second, third, behind = size, second, before
         # groups further back than the digits of a number can't start one any more; one more shows that the number goes on
         if len(chain) > 2 * MOST_DIGITS:
             chain = chain[-MOST_DIGITS - 1 :]
@@ -262,7 +321,7 @@ def _numbers(text: str, at: int, stop: int, n: int, groups: list, around: tuple[
         own.append(AT["few"])
     elif n > 15:
         own.append(AT["many"])
-    if sizes[:3] in DATES or "/" in body:
+    if tuple(sizes[:3]) in DATES or "/" in body:
         own.append(AT["calendar"])
     shared = (*own, *around)
     if len(groups) == 4 and at == begin and max(sizes) <= 3 and between == [".", ".", "."]:
@@ -504,15 +563,34 @@ def field_spans(text: str, field: Field) -> list[Span]:
     weights = field.weights.T.tolist()
     kept: list[Segment] = []
     scores: list[float] = []
-    for s in segments(text):
-        own = weights[s.rank]
-        score = sum([own[i] for i in s.features])
-        if score > least:
+
+    def judged(rank: int, features: tuple[int, ...]) -> float | None:
+        own = weights[rank]
+        score = sum([own[i] for i in features])
+        return score if score > least else None
+
+    for s in address_segments(text):
+        if (score := judged(s.rank, s.features)) is not None:
             kept.append(s)
             scores.append(score)
+    for at, stop, kinds in number_runs(text, judged, _looks(field)):
+        for rank, features, score in kinds:
+            kept.append(Segment(at, stop, rank, features))
+            scores.append(score)
     return sorted(Span(kept[k].start, kept[k].rank, kept[k].stop) for k in best_segments(kept, scores, field.pairs))
 
 
+_LOOKS: dict[int, tuple[Field, dict]] = {}
+
+
+def _looks(field: Field) -> dict:
+    """What a process remembers of the runs that it has judged by this field."""
+    if id(field) not in _LOOKS:
+        _LOOKS.clear()
+        _LOOKS[id(field)] = (field, {})  # the field is held, so its id stays its own
+    return _LOOKS[id(field)][1]
+
+
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """Base spans, and those with the ones that the field adds where no base span is touched."""
     base = base_spans(text)
