@@ -24,7 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeworks.llm.common import cut, runs, shuffle_width, text_or_empty
@@ -143,7 +143,9 @@ def forest(classes: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
     """A row for each class and tree, with the node at that depth (its tree and prefix) and the whole path; lone nodes are left out."""
     rows = classes.select("node", "sig", "paths", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     keyed = rows.select(F.concat(F.unhex(F.lpad(F.hex("tree"), 4, "0")), _path(F.col("tree"), depth)).alias("key"), _path(F.col("tree")).alias("path"), "node", "sig")
-    return keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    # counted by the tasks that have the rows; the counts are read from a table, so Spark can split a node of very many classes
+    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
+    return keyed.join(sizes, "key")
 
 
 def in_blocks(df: DataFrame, size: str, block: Column) -> DataFrame:
