@@ -98,9 +98,11 @@ def node_scores(edges: DataFrame, nodes: DataFrame, rounds: int = 100, tolerance
 def relation_cardinality(relations: DataFrame, limit: float = 1.5) -> DataFrame:
     """Per relation: mean distinct tails per head and heads per tail, the class these give, a difficulty tier, edges."""
     keys = ["relation", "relation_id"]
-    tails = relations.groupBy(*keys, "idx_i").agg(F.count_distinct("idx_j").alias("n")).groupBy(*keys).agg(F.avg("n").alias("tails_per_head"))
-    heads = relations.groupBy(*keys, "idx_j").agg(F.count_distinct("idx_i").alias("n")).groupBy(*keys).agg(F.avg("n").alias("heads_per_tail"))
-    edges = relations.groupBy(*keys).agg(F.count("*").alias("num_edges"))
+    # each edge once; after that both sides are plain counts, which tasks sum before they shuffle
+    relations = staged(relations.groupBy(*keys, "idx_i", "idx_j").agg(F.count("*").alias("times")), "distinct-edges")
+    tails = relations.groupBy(*keys, "idx_i").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.avg("n").alias("tails_per_head"))
+    heads = relations.groupBy(*keys, "idx_j").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.avg("n").alias("heads_per_tail"))
+    edges = relations.groupBy(*keys).agg(F.sum("times").alias("num_edges"))
     many_heads, many_tails = F.col("heads_per_tail") > limit, F.col("tails_per_head") > limit
     kind = F.concat(F.when(many_heads, "N").otherwise("1"), F.lit("-"), F.when(many_tails, "N").otherwise("1"))
     tier = F.when(F.col("relation_id") <= 1, "easy").when(F.col("relation_id") <= 4, "medium").otherwise("hard")

@@ -1,7 +1,7 @@
 """Sampling of negatives and positives: weights as columns, one primitive to draw by them.
 
 Draws are exponential races: in each group the n rows with the least -ln(u)/weight are a weighted
-sample without replacement. u is a hash of seed and keys, so a draw doesn't depend on partitions.
+sample without replacement. u is a digest of seed and keys, so a draw doesn't depend on partitions.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ NEAR_LIMIT, NEAR_SHARE, FAR_SHARE = 4.0, 0.65, 0.35
 
 
 def uniform(seed: int, *keys: str) -> Column:
-    """A number in (0, 1) by hash of seed and keys."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 31)) + 0.5) / float(1 << 31)
+    """A number in (0, 1): the first 48 bits of the MD5 of seed and keys, comma-joined, so any other engine can draw it too."""
+    digest = F.md5(F.concat_ws(",", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") + 0.5) / float(1 << 48)
 
 
 def race(weight: Column, u: Column) -> Column:

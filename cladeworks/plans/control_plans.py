@@ -79,7 +79,9 @@ def controller_replay(spark, sf):
 
 
 def controller_phases(spark, sf):
-    return C.phase_settings(spark)
+    """The settings of every phase, with the epochs and runs that the controller spent in it."""
+    spent = controller_replay(spark, sf).groupBy("phase").agg(F.count("*").alias("epochs"), F.count_distinct("run").alias("runs"))
+    return C.phase_settings(spark).join(spent, "phase", "left").fillna(0, ["epochs", "runs"])
 
 
 def confidence_ema(spark, sf):

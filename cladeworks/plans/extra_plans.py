@@ -17,6 +17,7 @@ from cladeworks.operators.quantiles import exact
 from cladeworks.operators.ranking import numbered
 from cladeworks.plans.binding import CUSTOMER_TAX, PAIRS, VECTORS, customer_nodes, table, vectors
 from cladeworks.plans.control_plans import _history
+from cladeworks.plans.triplet_plans import uniform_sql
 from cladeworks.sources.stages import stage_root, staged
 from cladeworks.streaming import controller_stream as CS
 from cladeworks.streaming import sinks
@@ -43,7 +44,7 @@ def _pool(v):
     drawn = numbered(v.select(F.col("id").alias("negative"), F.col("label").alias("other")), ["negative"], "place")
     n = v.agg(F.count("*").alias("n"))  # one row
     places = v.crossJoin(F.broadcast(n)).select(F.col("id").alias("anchor"), "label", "n", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("i"))
-    asked = places.select("anchor", "label", F.pmod(F.xxhash64(F.lit(42), "anchor", "i"), F.col("n")).alias("place")).distinct()
+    asked = places.select("anchor", "label", F.floor(S.uniform(42, "anchor", "i") * F.col("n")).alias("place")).distinct()
     return asked.join(drawn, "place").where("label <> other").select("anchor", "negative")
 
 
@@ -159,7 +160,20 @@ QUERIES = {
     )
 }
 
+def _mixed_sql(share):
+    """Ten negatives of an anchor, as many hard ones as the share says."""
+    return f"""WITH {VECTORS}, c AS (SELECT a.id AS anchor, b.id AS negative FROM vec a JOIN vec b ON a.label <> b.label QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) <= {int(10 * share)}),
+      h AS (SELECT anchor, negative, 0 AS tier, CAST(row_number() OVER (PARTITION BY anchor ORDER BY d, negative) AS DOUBLE) AS key FROM (SELECT anchor, negative, list_distance(a.v, b.v) AS d FROM c JOIN vec a ON a.id = anchor JOIN vec b ON b.id = negative)),
+      numbered AS (SELECT id AS negative, label AS other, row_number() OVER (ORDER BY id) - 1 AS place FROM vec),
+      asked AS (SELECT DISTINCT anchor, label, CAST(floor({uniform_sql('anchor', 'i')} * (SELECT count(*) FROM vec)) AS BIGINT) AS place FROM (SELECT id AS anchor, label, unnest(range(1, 41)) AS i FROM vec)),
+      pool AS (SELECT anchor, negative FROM asked JOIN numbered USING (place) WHERE label <> other),
+      u AS (SELECT * FROM h UNION ALL SELECT anchor, negative, 1, {uniform_sql('anchor', 'negative')} FROM pool ANTI JOIN h USING (anchor, negative))
+      SELECT anchor, negative, tier = 0 AS hard, CAST(row_number() OVER (PARTITION BY anchor ORDER BY tier, key, negative) AS INTEGER) AS nth FROM u QUALIFY nth <= 10"""
+
+
 SQL = {
+    "hard_negative_sample": _mixed_sql(S.HARD_SHARES["hard_negative"]),
+    "blended_sample": _mixed_sql(S.HARD_SHARES["blended"]),
     "hard_negative_cache": f"""WITH {VECTORS}, p AS (SELECT a.id AS anchor, b.id AS negative, list_distance(a.v, b.v) AS d FROM vec a JOIN vec b ON a.label <> b.label),
       n AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY d, negative) AS nth FROM p) SELECT anchor, negative, nth, round(d, 6) AS value FROM n WHERE nth <= 50""",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS new FROM events),

@@ -111,11 +111,11 @@ def sans_metadata(spark, sf):
 
 
 def phase1_sample(spark, sf):
-    return S.text_sample(_triplets(spark, sf), "phase1", 8, 42, ALPHA).select(*KEYS, "weight", "explicit_exclusion")
+    return S.text_sample(_triplets(spark, sf), "phase1", 8, 42, ALPHA).select(*KEYS, F.round("weight", 8).alias("weight"), "explicit_exclusion")
 
 
 def sans_sample(spark, sf):
-    return S.text_sample(_triplets(spark, sf), "sans", 8, 42).select(*KEYS, "near", "weight")
+    return S.text_sample(_triplets(spark, sf), "sans", 8, 42).select(*KEYS, "near", F.round("weight", 8).alias("weight"))
 
 
 def uniform_sample(spark, sf):
@@ -123,7 +123,7 @@ def uniform_sample(spark, sf):
 
 
 def weighted_topn(spark, sf):
-    return S.graph_sample(_triplets(spark, sf), 4, 8, 42).select(*KEYS, "sample_wgt")
+    return S.graph_sample(_triplets(spark, sf), 4, 8, 42).select(*KEYS, F.round("sample_wgt", 8).alias("sample_wgt"))
 
 
 def margin_weights(spark, sf):
@@ -208,6 +208,22 @@ sides AS (SELECT *, sum(n) FILTER (near) OVER w AS nn, sum(n) FILTER (NOT near)
 sans AS (SELECT *, CAST(CASE WHEN near THEN 0.65 ELSE 0.35 END AS DOUBLE) / n
   / CAST(CASE WHEN nn IS NOT NULL THEN 0.65 ELSE 0 END + CASE WHEN nf IS NOT NULL THEN 0.35 ELSE 0 END AS DOUBLE) AS weight FROM sides)"""
 _WEIGHT = "CASE WHEN excluded THEN 100.0::DOUBLE WHEN {0} THEN 0.0::DOUBLE WHEN negative_distance > 0 THEN pow(negative_distance, -1.5) ELSE 0.0::DOUBLE END"
+_GROUP = "PARTITION BY anchor_idx, positive_idx"
+
+
+def uniform_sql(*keys: str, seed: int = 42) -> str:
+    """The draw of operators.sampling.uniform()."""
+    return f"((CAST('0x' || substr(md5(concat_ws(',', {seed}, {', '.join(keys)})), 1, 12) AS BIGINT) + 0.5) / CAST(281474976710656 AS DOUBLE))"
+
+
+def _drawn(source: str, weight: str, n: int = 8) -> str:
+    """The rows that win the races of their pairs, from rows with a weight."""
+    u = uniform_sql(*KEYS)
+    return f"""summed AS (SELECT *, {weight} AS w0, sum({weight}) OVER ({_GROUP}) AS total FROM {source}),
+      timed AS (SELECT *, CASE WHEN total > 0 THEN w0 ELSE 1.0::DOUBLE END AS w1 FROM summed),
+      drawn AS (SELECT * FROM timed QUALIFY row_number() OVER ({_GROUP} ORDER BY CASE WHEN w1 > 0 THEN -ln({u}) / w1 ELSE CAST('infinity' AS DOUBLE) END, negative_idx) <= {n})"""
+
+
 _LISTS = "lists AS (SELECT anchor_idx, positive_idx, anchor_code, positive_code, list(negative_idx ORDER BY negative_idx) AS ids FROM trip GROUP BY ALL)"
 
 SQL = {
@@ -222,6 +238,14 @@ SQL = {
     "scheduler_weights": f"""WITH {_TRIPLETS}, w AS (SELECT *, {_WEIGHT.format('negative_distance BETWEEN 2 AND 4')} AS weight FROM trip),
       t AS (SELECT anchor_idx, positive_idx, sum(weight) AS s, max(weight) AS m, count(*) AS n FROM w GROUP BY 1, 2)
       SELECT anchor_idx, positive_idx, 1.0::DOUBLE AS total, round(CASE WHEN s > 0 THEN m / s ELSE 1.0::DOUBLE / n END, 6) AS top FROM t""",
+    "phase1_sample": f"WITH {_TRIPLETS}, {_drawn('trip', _WEIGHT.format('negative_distance = 2'))} SELECT {', '.join(KEYS)}, round(w0, 8) AS weight, excluded AS explicit_exclusion FROM drawn",
+    "uniform_sample": f"WITH {_TRIPLETS}, {_drawn('trip', '1.0::DOUBLE')} SELECT {', '.join(KEYS)} FROM drawn",
+    "sans_sample": f"""WITH {_TRIPLETS}, {_NEAR}, t AS (SELECT trip.*, near, weight FROM trip JOIN sans ON trip.anchor_idx = sans.anchor_idx AND trip.positive_idx = sans.positive_idx AND (negative_distance <= 4.0) = near),
+      {_drawn('t', 'weight')} SELECT {', '.join(KEYS)}, near, round(weight, 8) AS weight FROM drawn""",
+    "weighted_topn": f"""WITH {_TRIPLETS}, p AS (SELECT DISTINCT anchor_idx, positive_idx FROM trip),
+      few AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY anchor_idx ORDER BY {uniform_sql('anchor_idx', 'positive_idx')}, positive_idx) <= 4),
+      t AS (SELECT trip.*, 2 / (relation_margin + distance_margin + CASE WHEN excluded THEN 2 ELSE 0 END) AS wgt FROM trip JOIN few USING (anchor_idx, positive_idx)),
+      {_drawn('t', 'wgt')} SELECT {', '.join(KEYS)}, round(wgt, 8) AS sample_wgt FROM drawn""",
     "sans_weights": f"WITH {_TRIPLETS}, {_NEAR} SELECT anchor_idx, positive_idx, near, n, round(weight, 8) AS weight FROM sans",
     "sans_metadata": f"""WITH {_TRIPLETS}, {_NEAR}, g AS (SELECT anchor_idx, positive_idx, coalesce(sum(n) FILTER (near), 0) AS cn, coalesce(sum(n) FILTER (NOT near), 0) AS cf,
       coalesce(sum(n * weight) FILTER (near), 0) AS en, coalesce(sum(n * weight) FILTER (NOT near), 0) AS ef FROM sans GROUP BY 1, 2)
