@@ -45,6 +45,12 @@ class Store:
         stream.close()
         return True
 
+    def written(self, path: str, text: str) -> None:
+        """Write a file, over one that is there."""
+        stream = self.files.create(self._path(path), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
     def age(self, path: str) -> float | None:
         """Seconds since a file was written; None if it is gone."""
         try:
