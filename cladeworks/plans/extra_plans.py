@@ -5,11 +5,13 @@ from __future__ import annotations
 import functools
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cladeworks.functions import manifold as MF
 from cladeworks.functions import vectors as V
 from cladeworks.operators import control as C
+from cladeworks.operators import encoder as EN
 from cladeworks.operators import mining as M
 from cladeworks.operators import sampling as S
 from cladeworks.operators.pairs import pair_table
@@ -82,6 +84,30 @@ def moe_forward(spark, sf):
     return _rounded(out.select("id", F.col("y")[0].alias("first"), V.norm(F.col("y")).alias("norm")))
 
 
+FUSED = ("title", "description", "excluded", "examples")
+HIDDEN, OUT = 8, 16
+
+
+def _wave(rows, columns, shift):
+    """A matrix of sines, which SQL can say too."""
+    return np.sin(0.37 * np.arange(rows)[:, None] + 0.11 * np.arange(columns)[None, :] + shift) / 4
+
+
+def _fusion():
+    experts = tuple(EN.Expert(_wave(HIDDEN, 64, e), np.zeros(HIDDEN), _wave(64, HIDDEN, e + 0.5), np.full(64, 0.01 * e)) for e in range(4))
+    return EN.Fusion(_wave(4, 64, 0.2) * 4, np.arange(4) * 0.1, experts, _wave(OUT, 64, 0.7), np.zeros(OUT))
+
+
+def channel_fusion(spark, sf):
+    """Quarters of a vector as tokens of four channels, some of them masked, pooled and fused by a model of sines."""
+    q = [F.slice("v", 1 + 16 * i, 16) for i in range(4)]
+    odd, third = (F.col("id") % 2).cast("int"), (F.col("id") % 3 == 0)
+    tokens = {"title": ([q[0], q[1]], [F.lit(1), odd]), "description": ([q[1], q[2]], [F.lit(1), F.lit(1)]), "excluded": ([q[2], q[3]], [F.when(third, 0).otherwise(1), F.lit(0)]), "examples": ([q[3]], [F.lit(1)])}
+    rows = vectors(spark, sf).select("id", *[x for c, (t, m) in tokens.items() for x in (F.array(*t).alias(c), F.array(*m).alias(f"{c}_mask"))])
+    out = EN.fused(EN.pooled(rows, FUSED), _fusion(), ["id"])
+    return _rounded(out.select("id", F.array_join(F.col("experts").cast("array<string>"), ",").alias("experts"), F.col("gate_probs")[0].alias("p0"), F.col("embedding")[0].alias("time"), F.col("embedding")[1].alias("first"), V.norm(F.col("embedding_euc")).alias("norm")), 5)
+
+
 def manifold_projection(spark, sf):
     """Every second point is pushed off the hyperboloid and brought back."""
     v = vectors(spark, sf)
@@ -155,7 +181,7 @@ def stream_controller(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        hard_negative_cache, hard_negative_sample, blended_sample, evaluation_codes, consecutive_anchors, masked_pooling, moe_forward,
+        hard_negative_cache, hard_negative_sample, blended_sample, evaluation_codes, consecutive_anchors, masked_pooling, moe_forward, channel_fusion,
         manifold_projection, manifold_counts, ground_truth_distances, stream_sessions, stream_controller,
     )
 }
@@ -189,6 +215,19 @@ SQL = {
       w AS (SELECT id, v[e * 16 + 1:e * 16 + 16] AS q, exp(l) / sum(exp(l)) OVER (PARTITION BY id) AS w FROM t WHERE nth <= 2), u AS (SELECT id, w, unnest(q) AS x, unnest(range(1, 17)) AS i FROM w), y AS (SELECT id, i, sum(w * x) AS y FROM u GROUP BY 1, 2)
       SELECT id, round(max(y) FILTER (i = 1), 6) AS first, round(sqrt(sum(y * y)), 6) AS norm FROM y GROUP BY 1""",
     "manifold_projection": f"WITH {VECTORS} SELECT id, id % 2 = 1 AS was_on, round(x[1] + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END, 6) AS before, round(x[1], 6) AS after FROM lifted",
+    "channel_fusion": f"""WITH {VECTORS}, q AS (SELECT id, v[1:16] AS a, v[17:32] AS b, v[33:48] AS c, v[49:64] AS d, id % 2 AS odd, CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END AS third FROM vec),
+      x AS (SELECT id, [(a[i] + b[i] * odd) / (1.0 + odd) FOR i IN range(1, 17)] || [(b[i] + c[i]) / 2.0 FOR i IN range(1, 17)] || [c[i] * third FOR i IN range(1, 17)] || d AS x FROM q),
+      w AS (SELECT [[sin(CAST(0.37 AS DOUBLE) * i + CAST(0.11 AS DOUBLE) * j + CAST(0.2 AS DOUBLE)) FOR j IN range(0, 64)] FOR i IN range(0, 4)] AS g, [[sin(CAST(0.37 AS DOUBLE) * i + CAST(0.11 AS DOUBLE) * j + CAST(0.7 AS DOUBLE)) / 4 FOR j IN range(0, 64)] FOR i IN range(0, 16)] AS p),
+      ew AS (SELECT e, [[sin(CAST(0.37 AS DOUBLE) * i + CAST(0.11 AS DOUBLE) * j + e) / 4 FOR j IN range(0, 64)] FOR i IN range(0, 8)] AS a, [[sin(CAST(0.37 AS DOUBLE) * i + CAST(0.11 AS DOUBLE) * j + e + CAST(0.5 AS DOUBLE)) / 4 FOR j IN range(0, 8)] FOR i IN range(0, 64)] AS b FROM range(0, 4) t(e)),
+      l AS (SELECT id, x, e, list_inner_product(x, g[e + 1]) + CAST(0.1 AS DOUBLE) * e AS l FROM x, w, range(0, 4) t(e)),
+      t AS (SELECT *, exp(l) / sum(exp(l)) OVER (PARTITION BY id) AS p, row_number() OVER (PARTITION BY id ORDER BY l DESC, e) AS nth FROM l),
+      k AS (SELECT id, e, nth, exp(l) / sum(exp(l)) OVER (PARTITION BY id) AS weight, x FROM t WHERE nth <= 2),
+      h AS (SELECT id, e, weight, b, [greatest(list_inner_product(x, a[i]), 0) FOR i IN range(1, 9)] AS h FROM k JOIN ew USING (e)),
+      y AS (SELECT id, unnest(range(1, 65)) AS i, weight * unnest([list_inner_product(h, b[i]) + CAST(0.01 AS DOUBLE) * e FOR i IN range(1, 65)]) AS y FROM h),
+      m AS (SELECT id, list(y ORDER BY i) AS m FROM (SELECT id, i, sum(y) AS y FROM y GROUP BY 1, 2) GROUP BY 1),
+      f AS (SELECT id, [list_inner_product(m, p[i]) FOR i IN range(1, 17)] AS f FROM m, w), n AS (SELECT id, f, sqrt(list_inner_product(f, f)) AS n FROM f)
+      SELECT id, (SELECT string_agg(e, ',' ORDER BY nth) FROM k WHERE k.id = n.id) AS experts, round((SELECT any_value(p) FROM t WHERE t.id = n.id AND e = 0), 5) AS p0, round(cosh(least(n, 3)), 5) AS time,
+        round(f[1] / n * sinh(least(n, 3)), 5) AS first, round(n, 5) AS norm FROM n""",
     "manifold_counts": f"""WITH {VECTORS}, c(phase, c) AS (VALUES (1, 2.0::DOUBLE), (2, 0.1::DOUBLE), (3, 1.7::DOUBLE), (4, 10.0::DOUBLE)),
       p AS (SELECT phase, c, id, list_inner_product(v, v) AS s, sqrt(list_inner_product(v, v) + 1 / c) AS t, CASE WHEN id % 6 = 3 THEN 0.25::DOUBLE ELSE 0 END AS push FROM vec, c),
       o AS (SELECT *, abs(s - (t + push) * (t + push) + 1 / c) AS off FROM p)
