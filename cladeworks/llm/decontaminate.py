@@ -7,7 +7,7 @@ shingle. Documents are joined with the windows by those shingles; of the windows
 before the document or end behind it (positional and length bounds) are left out, and the rest are
 verified word for word.
 
-A benchmark of at most BLOCK_WORDS words goes to the tasks as a broadcast index, and documents are judged where they
+A benchmark of at most BLOCK_WORDS words and BLOCK_BYTES bytes goes to the tasks as a broadcast index, and documents are judged where they
 lie. A larger one is joined by shuffles: documents send the hashes of their distinct shingles, those that are some window's
 rarest come back to their document, and only what stands around these is compared with the windows.
 """
@@ -28,6 +28,7 @@ from cladeworks.llm.common import cut, shuffle_width
 
 WINDOW = 10  # words
 BLOCK_WORDS = 1_000_000  # of items in a broadcast index: about 500 MB at most; more items are joined by shuffles
+BLOCK_BYTES = 1 << 26  # and bytes: a word may have any length
 
 # Word bytes: digits, letters, everything beyond ASCII; A-Z are lowered, all others separate words.
 WORD_BYTES = bytes(
@@ -107,7 +108,10 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _small(items: DataFrame) -> list[tuple[str, str]] | None:
-    """The items, if they have BLOCK_WORDS words at most: their words are counted before anything comes to the driver."""
+    """The items, if they have BLOCK_BYTES bytes and BLOCK_WORDS words at most: both are counted before anything comes to the driver."""
+    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
+    if size > BLOCK_BYTES:
+        return None
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -311,8 +311,9 @@ def test_windows_against_brute_force(spark, monkeypatch):
                         hit |= set(range(at, at + len(run)))
                         found.add(str(item))
         want.append((i // 2, len(w), len(hit), ",".join(sorted(found))))
-    for block in (decontaminate.BLOCK_WORDS, 60):
-        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    for limit, block in (("BLOCK_WORDS", decontaminate.BLOCK_WORDS), ("BLOCK_BYTES", 300), ("BLOCK_WORDS", 60)):
+        monkeypatch.undo()
+        monkeypatch.setattr(decontaminate, limit, block)
         got = decontaminate.contamination(docs, bench).collect()
         assert sorted((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in got) == sorted(want)
         kept = decontaminate.decontaminate(docs, bench)
