@@ -145,7 +145,7 @@ def forest(classes: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
     keyed = rows.select(F.concat(F.unhex(F.lpad(F.hex("tree"), 4, "0")), _path(F.col("tree"), depth)).alias("key"), _path(F.col("tree")).alias("path"), "node", "sig")
     # counted by the tasks that have the rows; the counts are read from a table, so Spark can split a node of very many classes
     sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
-    return keyed.join(sizes, "key")
+    return keyed.join(sizes.hint("merge"), "key")  # the same plan at every size
 
 
 def in_blocks(df: DataFrame, size: str, block: Column) -> DataFrame:
