@@ -131,7 +131,7 @@ def manifold_counts(spark, sf):
         points = staged(points, "points")  # the one action: it writes the points and counts
         told = m.diagnostics(seen)
         after = points.agg(F.count_if(m.off(F.col("x")) > MF.TOLERANCE).alias("left_off"), F.avg(V.radius(F.col("x"))).alias("mean_radius"))
-        rows.append(after.select(F.lit(phase).alias("phase"), *[F.lit(told[k]).alias(k) for k in ("curvature", "points", "violations", "projected", "worst")], "left_off", "mean_radius"))
+        rows.append(after.select(F.lit(phase).alias("phase"), *[F.lit(told[k]).alias(k) for k in ("curvature", "worst")], *[F.lit(told[k]).cast("bigint").alias(k) for k in ("points", "violations", "projected")], "left_off", "mean_radius"))
     return _rounded(functools.reduce(lambda a, b: a.unionByName(b), rows))
 
 
@@ -231,7 +231,7 @@ SQL = {
     "manifold_counts": f"""WITH {VECTORS}, c(phase, c) AS (VALUES (1, 2.0::DOUBLE), (2, 0.1::DOUBLE), (3, 1.7::DOUBLE), (4, 10.0::DOUBLE)),
       p AS (SELECT phase, c, id, list_inner_product(v, v) AS s, sqrt(list_inner_product(v, v) + 1 / c) AS t, CASE WHEN id % 6 = 3 THEN 0.25::DOUBLE ELSE 0 END AS push FROM vec, c),
       o AS (SELECT *, abs(s - (t + push) * (t + push) + 1 / c) AS off FROM p)
-      SELECT CAST(phase AS INTEGER) AS phase, any_value(c) AS curvature, count(*) AS points, count(*) FILTER (off > 1e-4) AS violations, count(*) FILTER (off > 1e-4) AS projected, round(max(off), 6) AS worst, 0 AS left_off, round(avg(t), 6) AS mean_radius FROM o GROUP BY phase""",
+      SELECT CAST(phase AS INTEGER) AS phase, any_value(c) AS curvature, count(*) AS points, count(*) FILTER (off > 1e-4) AS violations, count(*) FILTER (off > 1e-4) AS projected, round(max(off), 6) AS worst, CAST(0 AS BIGINT) AS left_off, round(avg(t), 6) AS mean_radius FROM o GROUP BY phase""",
     "ground_truth_distances": f"""WITH {CUSTOMER_TAX}, {PAIRS}, q AS (SELECT quantile_cont(distance, [0.25, 0.5, 0.75, 0.95]) AS p, count(*) AS n, min(distance) AS lo, max(distance) AS hi, avg(distance) AS m, stddev_pop(distance) AS s, count(DISTINCT distance) AS k FROM pairs WHERE distance < 99)
       SELECT n, lo AS least, hi AS most, round(m, 6) AS mean, round(s, 6) AS std, p[1] AS p25, p[2] AS p50, p[3] AS p75, p[4] AS p95, k AS n_distinct FROM q""",
 }
