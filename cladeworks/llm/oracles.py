@@ -170,9 +170,12 @@ FROM r
 """
 
 MINING_SQL = """
-WITH v AS MATERIALIZED (
-  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, q) = 1
+), v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, q FROM k
 ), s AS MATERIALIZED (
   SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
@@ -202,12 +205,13 @@ def _codes_sql() -> str:
     last = rounds.pop().split("), m4 AS")[0] + ")"
     return f"""
 WITH kept AS MATERIALIZED (
-  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, q, label NULLS LAST) AS rid, * FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
 ), parts AS MATERIALIZED (
   SELECT rid, vec_id, part, q[part * (len(q) // 4) + 1:(part + 1) * (len(q) // 4)] AS v FROM kept, range(0, 4) r(part)
 ), b0 AS MATERIALIZED (
-  SELECT part, entry, v FROM (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM parts) WHERE entry < 256
+  SELECT part, rid - 1 AS entry, v FROM parts WHERE rid <= 256
 ), {", ".join(rounds)}, {last}, coded AS (
   SELECT rid, string_agg(printf('%02x', best % 1000), '' ORDER BY part) AS code, CAST(sum(best // 1000) AS BIGINT) AS error FROM a4 GROUP BY rid
 ), digest AS (
