@@ -25,6 +25,7 @@ METRICS = ("euclidean", "cosine", "lorentz", "dot", "cosine_similarity", "diverg
 TRIANGLE = ("euclidean", "lorentz")  # metrics whose bounds leave strips out
 FLOOR = 1e-8  # added to every probability before a divergence
 PIECE = 1 << 22  # products that are computed together
+ROW_PAIRS = 1 << 18  # pairs of a tile that gives them back as rows: few, as later steps are as parallel as this one
 OUT_ROWS = 1 << 17  # rows of a batch that leaves a task
 PIVOTS = 256  # cells at most
 SAMPLED = 16  # rows that are looked at for each pivot
@@ -106,11 +107,11 @@ def _tasks(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def pair_tiles(df: DataFrame, vector: str, both_ways: bool, apart: str | None = None) -> DataFrame:
+def pair_tiles(df: DataFrame, vector: str, both_ways: bool, apart: str | None = None, pairs: int = ROW_PAIRS) -> DataFrame:
     """The tiles of a table against itself, each pair once or both ways; tile // n_strips is the left strip, tile % n_strips the right one."""
     rows = staged(_rows(df, vector, apart), "pair-rows")
     n, width = _size(rows)
-    g = max(tiles.strips(n, n, width, 4 * _tasks(df)))
+    g = max(tiles.strips(n, n, width, 4 * _tasks(df), pairs))
     placed = rows.withColumn("strip", tiles.strip_of("id", g))
     others = lambda low, high: F.explode(F.sequence(low, high))
     first, last = (F.lit(0), F.lit(g - 1))

@@ -20,10 +20,10 @@ TILE_PAIRS = 1 << 26  # pairs that make a tile of their own worth while
 LEFT, RIGHT = 0, 1
 
 
-def strips(n_left: int, n_right: int, width: int, tasks: int) -> tuple[int, int]:
-    """How many strips each side gets: as many tiles as there are tasks if there is work for them, strips that fit, rows shipped least."""
+def strips(n_left: int, n_right: int, width: int, tasks: int, pairs: int | None = None) -> tuple[int, int]:
+    """How many strips each side gets: as many tiles as there are tasks if there is work for them (pairs a tile), strips that fit, rows shipped least."""
     n_left, n_right = max(1, n_left), max(1, n_right)
-    tiles = max(1, min(tasks, math.ceil(n_left * n_right / TILE_PAIRS)))
+    tiles = max(1, min(tasks, math.ceil(n_left * n_right / min(pairs or TILE_PAIRS, TILE_PAIRS))))
     most = max(1, STRIP_BYTES // (8 * max(1, width)))
     left = max(math.ceil(n_left / most), min(n_left, round(math.sqrt(tiles * n_left / n_right)) or 1))
     return left, max(math.ceil(n_right / most), min(n_right, math.ceil(tiles / left)))
