@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,6 +146,16 @@ def confidence_margin(base: float, confidence: Column, difficulty: Column) -> Co
     return clamped(base + 0.5 * (1 - confidence) + 0.2 * (1 - difficulty), 0.5, 3.0)
 
 
+def graph_margins(base: float, alpha: float, d: np.ndarray, relation: float, scale: float = 1.0) -> np.ndarray:
+    """graph_margin of arrays."""
+    return np.clip(base + alpha * (1 - np.tanh(d / 4)) + 0.2 * (1 - np.tanh(relation / 6)), 0.4, 2.0) * scale
+
+
+def confidence_margins(base: float, confidence: np.ndarray, difficulty: float) -> np.ndarray:
+    """confidence_margin of arrays."""
+    return np.clip(base + 0.5 * (1 - confidence) + 0.2 * (1 - difficulty), 0.5, 3.0)
+
+
 def confidence(observations: DataFrame, rate: float = 0.1, start: float = 0.5) -> DataFrame:
     """Per node, the running mean of 1 - clip(d / 10) over its observations (node, ord, d) in order, and their number.
 
