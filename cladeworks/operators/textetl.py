@@ -122,32 +122,35 @@ def first_replaced(c: Column, old: str, new: str) -> Column:
     return F.regexp_replace(c, rf"(?s)^(.*?)\Q{old}\E", f"$1{new}")
 
 
-def filled(clean: DataFrame, excluded: DataFrame, example_starts: DataFrame) -> DataFrame:
+def filled(clean: DataFrame, excluded: DataFrame, example_starts: DataFrame, record: str | None = None) -> DataFrame:
     """(code, description): blocks joined, without exclusion and example blocks; empty ones filled from children.
 
     An empty five-digit code takes the text of its child with 0, an empty four-digit code that of its best child by
-    SUFFIXES; codes that stay empty are left out.
+    SUFFIXES; codes that stay empty are left out. With record, a column of all three tables, records that share a code are
+    texts of their own: each has its row, a child with 0 fills as often as there are such, and of equally good children the one of the least record counts.
     """
+    own = [] if record is None else [record]
     kept = (
-        clean.join(excluded, ["code", "description_id"], "left_anti").join(example_starts, "code", "left")
+        clean.join(excluded, ["code", *own, "description_id"], "left_anti").join(example_starts, ["code", *own], "left")
         .where(F.col("description_id") < F.coalesce("description_id_min", F.lit(NO_EXAMPLES)))
-        .groupBy("code").agg(_joined(F.collect_list(F.struct("description_id", F.col("description").alias("text"))), " ").alias("description"))
+        .groupBy("code", *own).agg(_joined(F.collect_list(F.struct("description_id", F.col("description").alias("text"))), " ").alias("description"))
+        .select("code", "description", (F.lit(None) if record is None else F.col(record)).alias("record"))
     )
-    whole, empty = kept.where("description <> ''"), kept.where("description = ''").select("code")
+    whole, empty = kept.where("description <> ''"), kept.where("description = ''").select("code", "record")
     fives = (
-        empty.where("length(code) = 5").select(F.concat("code", F.lit("0")).alias("child"))
-        .join(whole.withColumnRenamed("code", "child"), "child")
-        .select(F.substring("child", 1, 5).alias("code"), first_replaced(F.col("description"), "This industry", "This NAICS industry").alias("description"))
+        empty.where("length(code) = 5").select(F.concat("code", F.lit("0")).alias("child"), "record")
+        .join(whole.select(F.col("code").alias("child"), "description"), "child")
+        .select(F.substring("child", 1, 5).alias("code"), first_replaced(F.col("description"), "This industry", "This NAICS industry").alias("description"), "record")
     )
     known = whole.unionByName(fives)
     order = F.explode(F.array(*[F.struct(F.lit(i).alias("nth"), F.concat("code", F.lit(s)).alias("child")) for i, s in enumerate(SUFFIXES)]))
     fours = (
-        empty.where("length(code) = 4").select("code", order.alias("c")).select("code", "c.nth", "c.child")
+        empty.where("length(code) = 4").select("code", F.col("record").alias("own"), order.alias("c")).select("code", "own", "c.nth", "c.child")
         .join(known.withColumnRenamed("code", "child"), "child")
-        .groupBy("code").agg(F.min_by("description", "nth").alias("description"))
+        .groupBy("code", "own").agg(F.min_by("description", F.struct("nth", "record", "description")).alias("description"))
     )
     reworded = first_replaced(first_replaced(F.col("description"), "This industry", "This industry group"), "This NAICS industry", "This industry group")
-    return known.unionByName(fours.withColumn("description", reworded))
+    return known.select("code", "description").unionByName(fours.select("code", reworded.alias("description")))
 
 
 def description_table(title_rows: DataFrame, descriptions: DataFrame, cross: DataFrame, sheet: DataFrame, separator: str = "\r\n") -> DataFrame:

@@ -134,10 +134,11 @@ def _numbered_blocks(spark, sf):
 
 
 def doc_fill_missing(spark, sf):
+    """Beyond 72,000 documents some share a code (10001 is 1000 and 1, and 10001 and nothing): each is a record of its own."""
     rows = _numbered_blocks(spark, sf)
-    none = rows.where("doc_id % 16 = 1").select("code", "description_id")
-    starts = rows.where("doc_id % 16 = 2").select("code", F.lit(1).alias("description_id_min"))
-    return X.filled(rows.drop("doc_id"), none, starts).select("code", F.md5("description").alias("digest"))
+    none = rows.where("doc_id % 16 = 1").select("code", "doc_id", "description_id")
+    starts = rows.where("doc_id % 16 = 2").select("code", "doc_id", F.lit(1).alias("description_id_min"))
+    return X.filled(rows, none, starts, "doc_id").select("code", F.md5("description").alias("digest"))
 
 
 def channel_tokens(spark, sf):
