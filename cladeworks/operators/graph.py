@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeworks.operators.quantiles import exact
 from cladeworks.sources.stages import staged, unstaged
 
+BLOCK_EDGES = 1 << 19  # edges, both ways, whose nodes a task settles together
+
 
 def mirrored(edges: DataFrame) -> DataFrame:
     """Every edge in both directions."""
@@ -60,19 +67,77 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     return ranks.crossJoin(F.broadcast(total)).select("id", (F.col("rank") / F.col("total")).alias("rank"))
 
 
-def kcore(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, core): core numbers of the mirrored graph as the fixed point of neighbours' h-indices.
+def _settled(rows: pa.Table) -> pa.Table:
+    """(to, h): the greatest numbers of a block's nodes that bear out each other, given those of nodes elsewhere (rows with a value instead of dst).
 
-    Each round replaces a node's number by the greatest h such that h neighbours have h at least; it
-    starts from degrees and only falls, so it ends at the core numbers without peeling one by one.
+    Nodes and edges that lead out go in the order of the number up to which they last, each taking one from what is left of its neighbours.
     """
-    both = edges.where("src <> dst").distinct()
+    inner = rows.column("value").is_null().to_numpy()
+    src = rows.column("src").to_numpy()
+    ids, at = np.unique(src, return_inverse=True)
+    own, to = at[inner], rows.column("dst").drop_null().to_numpy()
+    slot = np.minimum(np.searchsorted(ids, to), len(ids) - 1)
+    there = ids[slot] == to  # a node without an edge of its own has the number 0
+    own, slot = own[there], slot[there]
+    left, value = at[~inner], rows.column("value").drop_null().to_numpy()
+    order = np.argsort(slot, kind="stable")
+    first, into = np.searchsorted(slot[order], np.arange(len(ids) + 1)).tolist(), own[order].tolist()
+    count = (np.bincount(own, minlength=len(ids)) + np.bincount(left, minlength=len(ids))).tolist()
+    span = 2 * len(ids)  # keys: number, then node, or node behind an edge that leads out
+    heap = [n * span + v for v, n in enumerate(count)] + (value * span + len(ids) + left).tolist()
+    heapq.heapify(heap)
+    core, level = [-1] * len(ids), 0
+    while heap:
+        key, which = divmod(heapq.heappop(heap), span)
+        if which >= len(ids):
+            level, less = max(level, key), (which - len(ids),)
+        elif core[which] >= 0 or key != count[which]:
+            continue  # lowered since
+        else:
+            level = max(level, key)
+            core[which], less = level, into[first[which] : first[which + 1]]
+        for v in less:
+            if core[v] < 0 and count[v] > level:
+                count[v] -= 1
+                heapq.heappush(heap, count[v] * span + v)
+    return pa.table({"to": pa.array(ids, pa.int64()), "h": pa.array(core, pa.int64())})
+
+
+def kcore(edges: DataFrame, nodes: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    """(id, core): core numbers of the mirrored graph as the fixed point of neighbours' h-indices; ids are whole numbers.
+
+    Nodes are cut by id into blocks of so many edges. A round settles every block, given the numbers of its neighbours in others, so what falls step by step inside of
+    a block takes one round, and a chain of links as many rounds as it has blocks. Numbers start from degrees and only fall, so they end at the core numbers without peeling
+    one by one. A node with more edges than a block gets its h-index by counts each round.
+    """
+    ids = nodes.select("id")
+    both = edges.where("src <> dst").select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")).distinct()
+    for end in ("src", "dst"):
+        both = both.join(ids.withColumnRenamed("id", end), end, "left_semi")
+    both = staged(both, "kcore-edges")
     degrees = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core"))
-    now = table = staged(nodes.select("id").join(degrees, "id", "left").select("id", F.coalesce("core", F.lit(0).cast("long")).alias("core")), "kcore")
+    now = table = staged(ids.join(degrees, "id", "left").select("id", F.coalesce("core", F.lit(0).cast("long")).alias("core")), "kcore")
+    hubs = now.where(F.col("core") > block_edges).select("id")
+    heavy = None if hubs.isEmpty() else staged(both.join(hubs.withColumnRenamed("id", "src"), "src", "left_semi"), "kcore-hubs")
+    light = both if heavy is None else both.join(hubs.withColumnRenamed("id", "src"), "src", "left_anti")
+    wanted = math.ceil(light.count() / block_edges)
+    bounds = light.approxQuantile("src", [i / wanted for i in range(1, wanted)], 0.1 / wanted) if wanted > 1 else []  # a number a block
+    block = lambda c: F.size(F.filter(F.array(*[F.lit(int(x)) for x in bounds]), lambda x: x < F.col(c))) if bounds else F.lit(0)
+    placed = light.select(block("src").alias("block"), block("dst").alias("other"), "src", "dst")
+    outside = F.col("block") != F.col("other")
+    if heavy is not None:
+        placed = placed.join(hubs.select(F.col("id").alias("dst"), F.lit(True).alias("hub")), "dst", "left")
+        outside |= F.col("hub").isNotNull()
+    placed = staged(placed.select("block", "src", "dst", outside.alias("outside")), "kcore-blocks")
+    inner, outer = placed.where("not outside"), placed.where("outside")
     while True:
-        seen = both.join(now, F.col("dst") == F.col("id")).groupBy("src", "core").agg(F.count("*").alias("n"))
-        atleast = F.sum("n").over(Window.partitionBy("src").orderBy(F.desc("core")))
-        h = seen.withColumn("h", F.least("core", atleast)).groupBy(F.col("src").alias("to")).agg(F.max("h").alias("h"))
+        known = outer.join(now, F.col("dst") == F.col("id")).select("block", "src", F.lit(None).cast("bigint").alias("dst"), F.col("core").alias("value"))
+        rows = inner.select("block", "src", "dst", F.lit(None).cast("bigint").alias("value")).unionByName(known)
+        h = rows.groupBy("block").applyInArrow(_settled, "to bigint, h bigint")
+        if heavy is not None:
+            seen = heavy.join(now, F.col("dst") == F.col("id")).groupBy("src", "core").agg(F.count("*").alias("n"))
+            atleast = F.sum("n").over(Window.partitionBy("src").orderBy(F.desc("core")))
+            h = h.unionByName(seen.withColumn("h", F.least("core", atleast)).groupBy(F.col("src").alias("to")).agg(F.max("h").alias("h")))
         new = staged(now.join(h, F.col("id") == F.col("to"), "left").select("id", F.col("core").alias("old"), F.coalesce("h", F.lit(0).cast("long")).alias("core")), "kcore")
         unstaged(table)
         now, table = new.select("id", "core"), new
