@@ -236,6 +236,11 @@ def cache_is_stale(epoch: int, built: int | None, every: int = 3) -> bool:
 HARD_SHARES = {"hub_uniform": 0.0, "difficulty_weighted": 0.0, "hard_negative": 0.5, "blended": 0.3}
 
 
+def hard_count(sampler: str, n: int) -> int:
+    """How many hard negatives a sampler draws of n at most."""
+    return int(n * HARD_SHARES[sampler])
+
+
 def curriculum_negatives(sampler: str, ranked: DataFrame, pool: DataFrame, n: int, seed: int) -> DataFrame:
     """Negatives by the phase's sampler: hard ones up to its share, uniform ones for the rest."""
     if sampler not in HARD_SHARES:

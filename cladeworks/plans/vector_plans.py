@@ -222,9 +222,10 @@ def cluster_agreement(spark, sf):
 def _rows(spark, sf):
     """Anchors with the distance to the nearest vector of their label as positive, and to the nineteen nearest others, or all there are, as negatives."""
     v = vectors(spark, sf)
-    near = lambda k, inside: P.nearest(v, k, "lorentz", vector="x", least=1.0, apart="label", inside=inside).withColumnRenamed("id_i", "anchor")
-    dn = F.transform(F.array_sort(F.collect_list(F.struct("nth", "value"))), lambda x: x["value"])
-    return near(1, True).select("anchor", F.col("value").alias("dp")).join(near(WINDOW - 1, False).groupBy("anchor").agg(dn.alias("dn")), "anchor")
+    near = P.nearest_in_and_out(v, 1, WINDOW - 1, "lorentz", "label", vector="x", least=1.0)
+    dn = F.transform(F.array_sort(F.collect_list(F.when(~F.col("inside"), F.struct("nth", "value")))), lambda x: x["value"])
+    both = near.groupBy(F.col("id_i").alias("anchor")).agg(F.min(F.when(F.col("inside"), F.col("value"))).alias("dp"), dn.alias("dn"))
+    return both.where(F.col("dp").isNotNull() & (F.size("dn") > 0))
 
 
 def dcl_loss(spark, sf):
