@@ -119,11 +119,15 @@ def _gates(v):
     return V.softmax(F.slice(F.col(v), 1, EXPERTS))
 
 
-def _candidates(v):
+def _candidates(v, beside=None):
     """Candidates of an anchor: the twenty vectors nearest to it, out of all of them."""
-    near = P.nearest(v, WINDOW, "lorentz", vector="x", least=1.0).select(F.col("id_i").alias("anchor"), F.col("id_j").alias("negative"), F.col("value").alias("d"))
-    a = v.select(F.col("id").alias("anchor"), F.col("x").alias("xa"))
-    return near.join(a, "anchor").join(v.select(F.col("id").alias("negative"), F.col("x").alias("xn")), "negative")
+    return P.nearest(v, WINDOW, "lorentz", vector="x", least=1.0, beside=beside).withColumnsRenamed({"id_i": "anchor", "id_j": "negative", "value": "d"})
+
+
+def _space_cosines(x, y):
+    """Cosines of the space parts of rows."""
+    x, y = x[:, 1:], y[:, 1:]
+    return (x * y).sum(1) / (np.maximum(np.linalg.norm(x, axis=1), 1e-12) * np.maximum(np.linalg.norm(y, axis=1), 1e-12))
 
 
 def _gated(v):
@@ -153,7 +157,7 @@ def false_negative_mask(spark, sf):
 
 def false_negative_loss(spark, sf):
     v = vectors(spark, sf)
-    c = _candidates(v).select("anchor", "negative", V.cosine(V.space(F.col("xa")), V.space(F.col("xn"))).alias("cosine"))
+    c = _candidates(v, _space_cosines).select("anchor", "negative", F.col("beside").alias("cosine"))
     return _rounded(M.false_negative_loss(M.false_negatives(c, v.select("id", "label")), "hybrid"))
 
 

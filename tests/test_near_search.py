@@ -91,3 +91,9 @@ def test_losses_of_a_row_take_one_search(spark, monkeypatch):
     monkeypatch.setattr(vector_plans.P, "_nearest", lambda df, wants, *a, **b: asked.append(wants) or real(df, wants, *a, **b))
     assert vector_plans.QUERIES["dcl_loss"](spark, SMALL).first().n == 500
     assert asked == [[(1, True), (19, False)]]
+
+
+def test_cosines_come_from_the_search(spark):
+    """No vector of a candidate is joined to its anchor."""
+    plan = vector_plans.QUERIES["false_negative_loss"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "embedding:" not in plan
