@@ -3,8 +3,8 @@
 import numpy as np
 import pytest
 
-from cladeworks.operators import pairwise, tiles
-from cladeworks.plans import vector_plans
+from cladeworks.operators import pairwise, sampling, tiles
+from cladeworks.plans import extra_plans, vector_plans
 from tests.conftest import SMALL
 from tests.test_tiles import frame, points
 
@@ -86,6 +86,14 @@ def test_what_is_new_waits_no_longer_than_what_is_kept(monkeypatch):
     assert (value == np.concatenate([values[i, o] for i, o in enumerate(order)])).all() and (best.reached == value.reshape(n, k)[:, -1]).all()
 
 
+@pytest.mark.parametrize("name", ["hard_negative_sample", "blended_sample"])
+def test_a_sample_searches_what_it_draws(spark, monkeypatch, name):
+    asked, real = [], sampling.nearest
+    monkeypatch.setattr(sampling, "nearest", lambda df, k, *a, **b: asked.append(k) or real(df, k, *a, **b))
+    hard = {r.hard for r in extra_plans.QUERIES[name](spark, SMALL).where("hard").select("nth", "hard").collect()}
+    assert hard == {True} and asked == [{"hard_negative_sample": 5, "blended_sample": 3}[name]]
+
+
 def test_losses_of_a_row_take_one_search(spark, monkeypatch):
     asked, real = [], vector_plans.P._nearest
     monkeypatch.setattr(vector_plans.P, "_nearest", lambda df, wants, *a, **b: asked.append(wants) or real(df, wants, *a, **b))
