@@ -27,7 +27,8 @@ FLOOR = 1e-8  # added to every probability before a divergence
 PIECE = 1 << 22  # products that are computed together
 ROW_PAIRS = 1 << 18  # pairs of a tile that gives them back as rows: few, as later steps are as parallel as this one
 OUT_ROWS = 1 << 17  # rows of a batch that leaves a task
-BLOCK = 1 << 12  # rows of a strip whose nearest are merged together
+BLOCK = 1 << 12  # rows of a strip whose nearest are merged, or whose squares are summed, together
+EXACT_ROWS = 1 << 13  # pairs whose vectors are laid side by side for their exact values
 PIVOTS = 256  # cells at most
 SAMPLED = 16  # rows that are looked at for each pivot
 OFF = 1e-6  # how far off the hyperboloid, for its size, a vector may be for the triangle inequality to be relied on
@@ -52,6 +53,8 @@ class Encoded:
         self.ids = rows.column("id").to_numpy()
         self.v = matrix(rows)
         self.product, self.half = encoded(self.v, metric, left)
+        if metric == "euclidean":  # the vectors are a part of what is multiplied, and held once
+            self.v = self.product[:, : self.v.shape[1]]
         group = rows.column("apart")
         self.grouped = group.is_valid().to_numpy(zero_copy_only=False) if isinstance(group, pa.Array) else group.is_valid().combine_chunks().to_numpy(zero_copy_only=False)
         self.group = group.fill_null(0).to_numpy()
@@ -61,6 +64,11 @@ class Encoded:
         return np.where(self.grouped, self.group.astype(float), np.nan)
 
 
+def by_rows(of: Callable[[np.ndarray], np.ndarray], v: np.ndarray) -> np.ndarray:
+    """A number for each row, some rows at a time, so that no copy of all of them is made."""
+    return np.concatenate([of(v[i : i + BLOCK]) for i in range(0, max(1, len(v)), BLOCK)])
+
+
 def encoded(v: np.ndarray, metric: str, left: bool) -> tuple[np.ndarray, np.ndarray]:
     """Rows whose inner products are greater the nearer they are, and per row what a distance is made of besides."""
     none = np.zeros(len(v))
@@ -69,7 +77,7 @@ def encoded(v: np.ndarray, metric: str, left: bool) -> tuple[np.ndarray, np.ndar
     if metric == "dot":
         return v, none
     if metric == "euclidean":
-        half = (v * v).sum(1) / 2
+        half = by_rows(lambda x: (x * x).sum(1), v) / 2
         return (np.hstack([v, np.ones((len(v), 1))]) if left else np.hstack([v, -half[:, None]])), half
     if metric == "divergence":
         p = (v + FLOOR) / (v + FLOOR).sum(1, keepdims=True)
@@ -257,7 +265,7 @@ def _search(
         reached = _lists(rows.column("reached"), rows.num_rows).astype(float)
         reached = np.where(np.isnan(reached), none, reached)
         best = [_Best(a, reached[:, i].copy(), k, largest, inside) for i, (k, inside) in enumerate(wants)]
-        return a, best, a.product.astype(np.float32), np.linalg.norm(a.product, axis=1)
+        return a, best, a.product.astype(np.float32), by_rows(lambda x: np.linalg.norm(x, axis=1), a.product)
 
     for (a, bests, single, norms), some in tiles.by_tile(batches, opened, lambda s: PIECE // max(1, len(s[0].ids))):
         if some is None:
@@ -298,8 +306,8 @@ def _search(
                 together = (a.group[i] == b.group[j]) & a.grouped[i] & b.grouped[j]
                 other &= together if inside else ~together
             i, j = i[other], j[other]
-            for begin in range(0, len(i), OUT_ROWS):
-                x, y = i[begin : begin + OUT_ROWS], j[begin : begin + OUT_ROWS]
+            for begin in range(0, len(i), EXACT_ROWS):
+                x, y = i[begin : begin + EXACT_ROWS], j[begin : begin + EXACT_ROWS]
                 value = _values(a, b, x, y, np.einsum("nd,nd->n", a.product[x], b.product[y]), metric, least, c)
                 kept = np.isfinite(value) & (value >= best.reached[x] if largest else value <= best.reached[x])
                 x, y = x[kept], y[kept]
