@@ -157,7 +157,7 @@ TITLE, BODY = 8, 256
 def subword_tokens(spark, sf):
     """Source and whole text of every document as sub-word ids in windows of 8 and 256 places."""
     vocab = S.vocabulary(spark, [*_PARTS, *_SIGNS, *[S.INSIDE + p for p in _PARTS]])
-    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")).alias("body"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("body"))
     t = S.encoded(d, "doc_id", {"title": TITLE, "body": BODY}, vocab)
     ids = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     return t.select("doc_id", "window", ids("title_ids").alias("title"), F.md5(ids("body_ids")).alias("digest"), F.aggregate("body_mask", F.lit(0), lambda s, x: s + x).alias("n"))
@@ -213,7 +213,7 @@ def _subword_sql():
     words = r"""regexp_extract_all(translate(coalesce(t, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x60\x7B-\x7E]')"""
     window = lambda n: f"[2] || ids[k * {n - 2} + 1:k * {n - 2} + {n - 2}] || [3]"
     padded = lambda n, x: f"array_to_string(list_resize({x}, {n}, 0), ',')"
-    return f"""WITH t AS (SELECT doc_id, 0 AS c, source AS t FROM documents UNION ALL SELECT doc_id, 1, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END FROM documents),
+    return f"""WITH t AS (SELECT doc_id, 0 AS c, source AS t FROM documents UNION ALL SELECT doc_id, 1, text FROM documents),
       w AS MATERIALIZED (SELECT doc_id, c, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM (SELECT doc_id, c, {words} AS ws FROM t)),
       cut AS (SELECT word, regexp_extract_all(word, '{parts}') AS p FROM (SELECT DISTINCT word FROM w)),
       known AS MATERIALIZED (SELECT word, CASE WHEN list_position({quoted(_SIGNS)}, word) > 0 THEN [CAST({first + signs - 1} + list_position({quoted(_SIGNS)}, word) AS INTEGER)]
