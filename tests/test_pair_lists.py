@@ -32,3 +32,22 @@ def test_lists_give_what_pairs_give(spark, monkeypatch, copies):
     want = {r.anchor: r.loss for r in losses.lambda_rank(lists, 6).collect()}
     got = {r.anchor: r.loss for r in pair_lists.lambda_rank(vecs, _tree, lambda t: 4.5 - t, 6).collect()}
     assert got.keys() == want.keys() and all(got[a] == pytest.approx(want[a], abs=1e-7) for a in want)
+
+
+def test_tiles_go_in_rounds(spark, monkeypatch):
+    """A round ships a copy of all vectors for each of its tiles, and no more than those lie on disk at once."""
+    vecs, at_once, dealt = points(spark, 70, 4, False), [], tiles.dealt
+    want = [pair_lists.rank_order(vecs, _tree).first(), pair_lists.mean_average_precision(vecs, _tree, 0.5).first()]
+    monkeypatch.setattr(tiles, "TILE_PAIRS", 100)
+    monkeypatch.setattr(pair_lists, "LIST_BYTES", 600)
+    monkeypatch.setattr(pair_lists, "ROUND_TILES", 3, raising=False)
+
+    def told(left, right, n_tiles, *order):
+        at_once.append(n_tiles)
+        return dealt(left, right, n_tiles, *order)
+
+    monkeypatch.setattr(tiles, "dealt", told)
+    got = [pair_lists.rank_order(vecs, _tree).first(), pair_lists.mean_average_precision(vecs, _tree, 0.5).first()]
+    assert max(at_once) <= 2 * spark.sparkContext.defaultParallelism and len(at_once) > 3
+    assert got[0].n_active == want[0].n_active and got[0].loss == pytest.approx(want[0].loss, abs=1e-12)
+    assert got[1].map == pytest.approx(want[1].map, abs=1e-12)
