@@ -61,3 +61,13 @@ def test_ndcg_by_counts_of_labels(spark):
     got = {r.k: (r.ndcg, r.n_queries) for r in pair_ranks.ndcg_ranking(vecs, _tree).collect()}
     assert got.keys() == want.keys() == {5, 10, 20} and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
     assert pair_ranks.ndcg_ranking(vecs.where("id < 60"), _tree).count() == 0  # not enough others
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_places_from_blocks_of_sorted_products(spark, monkeypatch, copies):
+    monkeypatch.setattr(pair_ranks, "SIDE", 7)  # products are sorted in blocks of some rows and columns
+    monkeypatch.setattr(pair_ranks, "PIECE", 50)
+    vecs = points(spark, 40, 6, copies)
+    want = {(r.id_i, r.id_j): r.nth for r in metrics.ranked(pairs_of(vecs).withColumn("d", vector_plans.F.round("d", 12))).collect()}
+    got = {(r.id_i, r.id_j): r.nth for r in pair_ranks.places(vecs, spark.createDataFrame(list(want), "id_i bigint, id_j bigint")).collect()}
+    assert got == want
