@@ -1,5 +1,6 @@
 """Losses and metrics of whole lists against those over pairs as rows."""
 
+import numpy as np
 import pytest
 from test_pair_ranks import SMALL, pairs_of, points
 
@@ -51,3 +52,19 @@ def test_tiles_go_in_rounds(spark, monkeypatch):
     assert max(at_once) <= 2 * spark.sparkContext.defaultParallelism and len(at_once) > 3
     assert got[0].n_active == want[0].n_active and got[0].loss == pytest.approx(want[0].loss, abs=1e-12)
     assert got[1].map == pytest.approx(want[1].map, abs=1e-12)
+
+
+def test_sums_of_logarithms_need_few_of_them(monkeypatch):
+    rng, taken, log = np.random.default_rng(3), [], np.log
+    for n in (0, 1, 2, 7, 1000):
+        for top in (0.1, 5.0, 300.0, 800.0):
+            raised, by = np.exp(rng.uniform(0, min(top, 700.0), (n, 4))), np.exp(-rng.uniform(0, 3, 4))
+            monkeypatch.setattr(np, "log", lambda x: taken.append(np.size(x)) or log(x))
+            got = pair_lists.log_sums(raised, by)
+            monkeypatch.setattr(np, "log", log)
+            assert got == pytest.approx(np.log1p(raised * by).sum(0), rel=1e-12)
+    taken.clear()
+    monkeypatch.setattr(np, "log", lambda x: taken.append(np.size(x)) or log(x))
+    pair_lists.log_sums(np.exp(rng.uniform(0, 5, (1000, 4))), np.ones(4))
+    assert sum(taken) <= 4 * 1000 / 32
+    assert np.isnan(pair_lists.log_sums(np.array([[np.nan], [1.0]]), np.ones(1))).all()
